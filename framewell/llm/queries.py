@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .langid import identify_language
+from .pii import pseudonymize
 from .quality import quality_rules
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(documents(spark, sf_dir)).drop("found")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -20,7 +25,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op8_language_id)}
+    return {f.__name__: f for f in (op3_pii, op5_quality_rules, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
