@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .langid import identify_language
+from .linededup import line_dedup
+from .mixing import mix_sources
 from .pii import pseudonymize
 from .quality import quality_rules
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed_lines")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(documents(spark, sf_dir)).drop("found")
 
@@ -24,9 +30,36 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(documents(spark, sf_dir))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii, op5_quality_rules, op8_language_id)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_pii, op5_quality_rules, op8_language_id, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": OP9}
+
+
+#: The slots of a source tile its target's words, so a document is taken once for each whole lap of the source and once
+#: more as far as the last, unfinished lap reaches into it.
+OP9 = r"""
+WITH d AS (
+    SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
+           CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\x0b\x0c\r]+')), 0) AS BIGINT) AS size,
+           md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+    FROM documents),
+s AS (SELECT skey, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY skey),
+w AS (SELECT skey, s, CAST((row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS DOUBLE) AS w FROM s),
+f AS (
+    SELECT skey, s, w, (sum(s) OVER () - coalesce(3 * sum(s) OVER (ORDER BY s / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(w) OVER (ORDER BY s / w, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, s / w AS r
+    FROM w),
+l AS (SELECT arg_min(level, (r, skey)) AS level FROM f WHERE 3 * s / w > level),
+t AS (SELECT f.skey, f.s, CASE WHEN 3 * f.s / f.w > f.level OR f.r >= (SELECT min(r) FROM f WHERE 3 * s / w > level) THEN l.level * f.w ELSE CAST(3 * f.s AS DOUBLE) END AS t FROM f, l),
+p AS (SELECT doc_id, skey, size, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d)
+SELECT doc_id, size, s AS source_size, t AS target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE (CAST(floor(t) AS BIGINT) // s) * size + greatest(0, least(a + size, CAST(floor(t) AS BIGINT) % s) - a) END AS BIGINT) AS taken
+FROM p JOIN t USING (skey)
+"""
