@@ -12,6 +12,7 @@ from .linededup import line_dedup
 from .mixing import mix_sources
 from .pii import pseudonymize
 from .quality import quality_rules
+from .toxicity import toxicity
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(documents(spark, sf_dir)).drop("found")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -35,7 +40,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_pii, op5_quality_rules, op8_language_id, op9_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_pii, op4_toxicity, op5_quality_rules, op8_language_id, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

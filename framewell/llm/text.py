@@ -18,9 +18,8 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
         for k, b in enumerate((_BASE, _INVERSE)):
-            x = np.full(n, b, np.uint64)
+            x = np.full(max(n, 1 << 20), b, np.uint64)
             x[0] = 1
             _powers[k] = np.multiply.accumulate(x)
     return _powers[0][:n], _powers[1][:n]
