@@ -10,6 +10,7 @@ from .common import documents
 from .langid import identify_language
 from .linededup import line_dedup
 from .mixing import mix_sources
+from .neardup import near_duplicates
 from .pii import pseudonymize
 from .quality import quality_rules
 from .toxicity import toxicity
@@ -19,6 +20,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed_lines")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(documents(spark, sf_dir)).drop("found")
 
@@ -40,7 +45,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_pii, op4_toxicity, op5_quality_rules, op8_language_id, op9_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_pii, op4_toxicity, op5_quality_rules, op8_language_id, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
