@@ -14,6 +14,7 @@ from .neardup import near_duplicates
 from .pii import pseudonymize
 from .quality import quality_rules
 from .toxicity import toxicity
+from .vectordup import embedding_duplicates
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +45,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_pii, op4_toxicity, op5_quality_rules, op8_language_id, op9_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_pii, op4_toxicity, op5_quality_rules, op8_language_id, op9_mixing, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9}
+    return {"op9_mixing": OP9, "op10_embeddings": OP10}
 
 
 #: The slots of a source tile its target's words, so a document is taken once for each whole lap of the source and once
@@ -73,3 +78,17 @@ SELECT doc_id, size, s AS source_size, t AS target,
        CAST(CASE WHEN size = 0 THEN 0 ELSE (CAST(floor(t) AS BIGINT) // s) * size + greatest(0, least(a + size, CAST(floor(t) AS BIGINT) % s) - a) END AS BIGINT) AS taken
 FROM p JOIN t USING (skey)
 """
+
+OP10 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a),
+c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id
+"""
