@@ -1,20 +1,59 @@
-"""Corpus pipeline: STAGES applied to the documents table in order."""
+"""Corpus pipeline over the documents table: language, lines, near-duplicates, source mix, pieces.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of documents;
+the last one returns the piece ids. run() applies them to the table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.llm.common import documents
+from framewell.llm.common import WORD, documents
 from framewell.llm.langid import identify_language
+from framewell.llm.linededup import line_dedup
+from framewell.llm.mixing import mix_sources
+from framewell.llm.neardup import near_duplicates
+from framewell.llm.pieces import decode, encode
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with enough confidence."""
+    """Documents whose language is told with enough confidence; rejected ones go."""
     return identify_language(docs, carry=True).where(~F.col("rejected")).select(*docs.columns)
 
 
-STAGES = [("language", language)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the runs of lines that occur earlier; one whose every line goes is left out."""
+    left = line_dedup(docs).where((F.col("n_removed_lines") == 0) | (F.regexp_count("text", F.lit(WORD)) > 0))
+    return left.withColumn("n_chars", F.when(F.col("n_removed_lines") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the one at which a source's last lap ends is cut after its taken words."""
+    takes = mix_sources(docs).select(F.col("doc_id").alias("id"), F.col("size").alias("size_"), "taken").dropDuplicates(["id", "size_"])
+    sized = docs.withColumn("size_", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    both = sized.join(takes, sized["doc_id"].eqNullSafe(takes["id"]) & (sized["size_"] == takes["size_"])).drop(takes["size_"])
+    both = both.where("taken > 0").withColumn("laps", F.expr("taken div size_")).withColumn("rest", F.col("taken") % F.col("size_"))
+    copies = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("laps") + (F.col("rest") > 0).cast("long"))))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("rest").cast("int")), " ")
+    text = F.when(F.col("copy") <= F.col("laps"), F.col("text")).otherwise(part)
+    whole = F.col("copy") <= F.col("laps")
+    return copies.withColumn("text", text).withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of each document of the mix, and whether they decode to its text."""
+    spelled = decode(encode(docs))
+    return spelled.select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+STAGES = [("language", language), ("line_dedup", lines), ("minhash", near), ("mixing", mix), ("pieces", pieces)]
 ORACLE_SQL = None
 
 

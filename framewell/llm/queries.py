@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .langid import identify_language
 from .linededup import line_dedup
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .pieces import decode, encode
 from .pii import pseudonymize
 from .quality import quality_rules
 from .toxicity import toxicity
@@ -37,6 +39,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every text, and whether they decode to it again."""
+    spelled = decode(encode(documents(spark, sf_dir).select("doc_id", "text")))
+    return spelled.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(documents(spark, sf_dir))
 
@@ -50,7 +58,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_pii, op4_toxicity, op5_quality_rules, op8_language_id, op9_mixing, op10_embeddings)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_pii, op4_toxicity, op5_quality_rules, op7_pieces, op8_language_id, op9_mixing, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
