@@ -8,7 +8,7 @@ drawn from k = 256 values a pair at 0.85 is missed with a chance below one in a
 classes are cut to blocks of `block` members, every two blocks of a list meet in one task, and there the union
 sketch (all values up to the smaller of both largest retained ones) estimates each pair: it is exact where both
 sets are retained whole. No pairs leave a block but those that pass: a spanning forest of the exact ones and, for
-longer sets, all within six standard errors. Each is then confirmed on the full sets of both texts. Links are
+longer sets, all within six standard errors; the list of its smallest shared key alone gives a pair back. Each is then confirmed on the full sets of both texts. Links are
 joined to components by repeated large-star and small-star steps, written to the shared folder.
 
 Defined results: null and empty texts have empty sets and link with nothing. With fewer than five words the whole
@@ -53,9 +53,9 @@ def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _sketch(s: np.ndarray, k: int, keys: int) -> tuple[np.ndarray, bytes]:
-    """List keys and retained values (their upper halves, ascending) of a set."""
-    kept = s[:k]
+def _list_keys(kept: np.ndarray, keys: int) -> np.ndarray:
+    """Keys of the inverted lists that a set with these retained values (upper halves, ascending) is in."""
+    kept = kept.astype(np.uint64)
     if len(kept) < 3:
         lists = tx.mix(kept.sum(keepdims=True) + np.uint64(len(kept))) if len(kept) else kept
     else:
@@ -65,8 +65,29 @@ def _sketch(s: np.ndarray, k: int, keys: int) -> tuple[np.ndarray, bytes]:
             order = np.lexsort((lists, part))
             part = part[order]
             lists = lists[order][np.concatenate([[True], part[1:] != part[:-1]])]
-        lists = np.unique(lists)
-    return lists, (kept >> np.uint64(32)).astype("<u4").tobytes()
+    return np.unique(lists)
+
+
+def _sketch(s: np.ndarray, k: int, keys: int) -> tuple[np.ndarray, bytes]:
+    kept = s[:k] >> np.uint64(32)
+    return _list_keys(kept, keys), kept.astype("<u4").tobytes()
+
+
+def _first_shared(values: list[np.ndarray], keys: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest list key that both members of each pair have."""
+    used = np.unique(np.concatenate([i, j]))
+    rows = np.full((len(used), keys), -1, np.int64)
+    none = np.iinfo(np.int64).max
+    for at, x in enumerate(used):
+        own = _list_keys(values[x], keys).view(np.int64)
+        rows[at, : len(own)] = own
+    a, b = np.searchsorted(used, i), np.searchsorted(used, j)
+    out = np.empty(len(i), np.int64)
+    for x in range(0, len(i), 4096):
+        p, q = rows[a[x : x + 4096]], rows[b[x : x + 4096]]
+        hit = (p[:, :, None] == q[:, None, :]).any(2) & (p != -1)
+        out[x : x + 4096] = np.where(hit, p, none).min(1)
+    return out
 
 
 def _sets(docs: DataFrame, shingle: int, k: int, keys: int) -> DataFrame:
@@ -145,8 +166,8 @@ def _forest(a: np.ndarray, b: np.ndarray, exact: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _candidates(classes: DataFrame, k: int, percent: int, block: int) -> DataFrame:
-    """a, b: pairs of classes (a < b) that pass the estimate in some inverted list."""
+def _candidates(classes: DataFrame, k: int, keys: int, percent: int, block: int) -> DataFrame:
+    """a, b: pairs of classes (a < b) that pass the estimate; the list of its smallest shared key gives a pair back."""
     import pyarrow as pa
 
     lists = classes.select("id", F.explode("keys").alias("key"))
@@ -155,7 +176,7 @@ def _candidates(classes: DataFrame, k: int, percent: int, block: int) -> DataFra
     # a member meets its own block and all others, the lower number first
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("id", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("second"))
-    rows = members.join(classes.select("id", "n", "sketch"), "id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    rows = members.join(classes.select("id", "n", "sketch").hint("merge"), "id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     names = ["id", "key", "p", "q", "second", "n"]
 
     def meet(g: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +188,11 @@ def _candidates(classes: DataFrame, k: int, percent: int, block: int) -> DataFra
         if not len(l) or not len(r) or len(ids) < 2:
             return ids[:0], ids[:0]
         i, j, exact = _passing([values[x] for x in l], [values[x] for x in r], n[l], n[r], k, percent, same)
-        a, b = ids[l[i]], ids[r[j]]
+        i, j = l[i], r[j]
+        if len(i):
+            mine = _first_shared(values, keys, i, j) == g["key"][0]
+            i, j, exact = i[mine], j[mine], exact[mine]
+        a, b = ids[i], ids[j]
         a, b = np.minimum(a, b), np.maximum(a, b)
         a, b, exact = a[a != b], b[a != b], exact[a != b]
         keep = _forest(a, b, exact)
@@ -207,7 +232,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     import pyarrow as pa
 
     texts = docs.select("id", "text")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text")), "b")
+    # pairs grow with the input, so neither side of these joins is sent to all tasks
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text")).hint("merge"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -254,10 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     owned = stored(known.select("id", "h1", "h2", "n").join(first, ["h1", "h2", "n"]).select("id", "rep").distinct(), "near-classes")
     classes = known.join(first.select(F.col("rep").alias("id"), "h1", "h2", "n"), ["id", "h1", "h2", "n"], "left_semi").dropDuplicates(["id", "h1", "h2"])
-    pairs = stored(_candidates(classes, k, percent, block), "near-pairs")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = rows.join(ends, "id", "left_semi")
-    links = _confirmed(pairs, texts, shingle, percent)
+    pairs = stored(_candidates(classes, k, keys, percent, block), "near-pairs")
+    links = _confirmed(pairs, rows.where("id is not null"), shingle, percent)
     found = components(links.select("a", "b").unionByName(owned.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     out = sets.select("id", "n").join(found, "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
