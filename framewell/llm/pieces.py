@@ -194,7 +194,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", pat
     source = docs.select(*(F.col(f"`{c}`") for c in cols), F.col(text_col).cast("string").alias("text_"), F.coalesce(F.col(key_col).cast("string"), F.lit("")).alias("key_"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text_", 8 << 20):
+        for b in slices(batches, "text_", 2 << 20):
             texts = b.column("text_").to_pylist()
             ids, n = encode_texts(texts, b.column("key_").to_pylist(), voc.value, sharpness, seed)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts]))
@@ -215,9 +215,12 @@ def decode(encoded: DataFrame, path: str = PATH, out_col: str = "decoded") -> Da
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = raw.value.__getitem__
         for b in batches:
-            lists = b.column("piece_ids")
-            texts = [None if x is None else b"".join(map(spell, x)).decode("utf-8", "surrogatepass") for x in lists.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out_col])
+            for at in range(0, b.num_rows, 256):  # few rows at a time, as Python numbers are large
+                part = b.slice(at, 256)
+                lists = part.column("piece_ids")
+                ids, ends, none = lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_null().to_pylist()
+                texts = [None if none[k] else b"".join(map(spell, ids[ends[k] : ends[k + 1]].tolist())).decode("utf-8", "surrogatepass") for k in range(len(lists))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*b.schema.names, out_col])
 
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in cols)
     return source.mapInArrow(rows, f"{schema}, `{out_col}` string")
