@@ -15,6 +15,7 @@ from .neardup import near_duplicates
 from .pieces import decode, encode
 from .pii import pseudonymize
 from .quality import quality_rules
+from .substringdup import substring_dedup
 from .toxicity import toxicity
 from .vectordup import embedding_duplicates
 
@@ -39,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir)).drop("spans")
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled piece ids of every text, and whether they decode to it again."""
     spelled = decode(encode(documents(spark, sf_dir).select("doc_id", "text")))
@@ -58,7 +63,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_pii, op4_toxicity, op5_quality_rules, op7_pieces, op8_language_id, op9_mixing, op10_embeddings)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_pii, op4_toxicity, op5_quality_rules, op6_substrings, op7_pieces, op8_language_id, op9_mixing, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
