@@ -160,10 +160,10 @@ def _(t: Tables) -> DataFrame:
     return flat(t.boxes.select("annotation_id", x.alias("nx"), h.alias("nh")))
 
 
-@query("prj2_area_ratio", f"WITH {SIZED} SELECT annotation_id, round(ratio, 6) AS ratio, round(CASE WHEN width > 0 AND height > 0 THEN bbox_width * bbox_height / (width * height) END, 6) AS map_ratio FROM sized")
+@query("prj2_area_ratio", f"WITH {SIZED} SELECT annotation_id, round(ratio, 9) AS ratio, round(CASE WHEN width > 0 AND height > 0 THEN bbox_width * bbox_height / (width * height) END, 9) AS map_ratio FROM sized")
 def _(t: Tables) -> DataFrame:
     w, h, iw, ih = (F.col(c) for c in ("bbox_width", "bbox_height", "width", "height"))
-    return flat(t.boxes.select("annotation_id", fn.area_ratio(F.col("annotation_format"), w, h, iw, ih).alias("ratio"), fn.map_area_ratio(w, h, iw, ih).alias("map_ratio")))
+    return flat(t.boxes.select("annotation_id", fn.area_ratio(F.col("annotation_format"), w, h, iw, ih).alias("ratio"), fn.map_area_ratio(w, h, iw, ih).alias("map_ratio")), 9)
 
 
 @query("prj4_crop_window", f"""WITH {SIZED}, w AS (SELECT annotation_id, width, height, round(ax, 6) AS ax, round(ay, 6) AS ay, round(aw, 6) AS aw, round(ah, 6) AS ah FROM sized),
