@@ -37,7 +37,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir))
+    return quality_rules(documents(spark, sf_dir)).drop("covered_words", "longest_repeat")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9, "op10_embeddings": OP10}
+    return {"op2_minhash": OP2, "op5_quality_rules": OP5, "op9_mixing": OP9, "op10_embeddings": OP10}
 
 
 #: The slots of a source tile its target's words, so a document is taken once for each whole lap of the source and once
@@ -105,3 +105,44 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id
 """
+
+_WORDS = r"regexp_extract_all({}, '[^ \t\n\x0b\x0c\r]+')"
+
+#: All pairs by shared shingles; links and components on full sets.
+OP2 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+k AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a),
+c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+def _repeats(size: int) -> str:
+    """doc_id and start of the windows of so many words that are found twice or more in their text."""
+    return f"""(SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, md5(array_to_string(w[i:i + {size - 1}], ' '))) AS c
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {size - 2})) AS i FROM d WHERE len(w) >= {size})) WHERE c > 1)"""
+
+
+def _covered(size: int) -> str:
+    return f"(SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i, i + {size})) AS x FROM {_repeats(size)}) GROUP BY doc_id)"
+
+
+#: Repeats of ten words or more cover what repeated ten-word windows cover; a repeat beyond 150 words has a repeated window of 151.
+OP5 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE len({_WORDS.format("x")}) > 0 GROUP BY doc_id),
+m AS (
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+           CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(a.n, 0) AS n_repeat_words,
+           coalesce(b.n, 0) > 0.4 * len(w) OR d.doc_id IN (SELECT doc_id FROM {_repeats(151)}) AS repeated
+    FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN {_covered(3)} a ON a.doc_id = d.doc_id LEFT JOIN {_covered(10)} b ON b.doc_id = d.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT repeated AS kept
+FROM m
+"""
