@@ -125,8 +125,9 @@ FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 
 def _repeats(size: int) -> str:
     """doc_id and start of the windows of so many words that are found twice or more in their text."""
-    return f"""(SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, md5(array_to_string(w[i:i + {size - 1}], ' '))) AS c
-        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {size - 2})) AS i FROM d WHERE len(w) >= {size})) WHERE c > 1)"""
+    return f"""(SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (
+        SELECT doc_id, i, n, md5(string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING)) AS g
+        FROM x) WHERE i + {size} <= n) WHERE c > 1)"""
 
 
 def _covered(size: int) -> str:
@@ -136,6 +137,7 @@ def _covered(size: int) -> str:
 #: Repeats of ten words or more cover what repeated ten-word windows cover; a repeat beyond 150 words has a repeated window of 151.
 OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i, len(w) AS n FROM d),
 l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE len({_WORDS.format("x")}) > 0 GROUP BY doc_id),
 m AS (
     SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
