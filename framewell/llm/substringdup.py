@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import slices
+from .common import slices, stored
 
 Q = 32  # bytes of a hashed piece
 _MUL = 0x9E3779B97F4A7C15
@@ -78,7 +78,7 @@ def sorted_suffixes(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for d in range(7):
         key = (key << np.uint64(9)) | pad[d : d + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     ks = key[sa]
     new = np.concatenate([[True], ks[1:] != ks[:-1]])
     rank = np.empty(n + 1, np.int64)
@@ -91,10 +91,11 @@ def sorted_suffixes(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         s = sa[slot]
         r = rank[s]
         nxt = rank[np.minimum(s + h, n)]
-        order = np.lexsort((nxt, r))
-        s, r, nxt = s[order], r[order], nxt[order]
+        both = r * (n + 2) + nxt  # a group keeps its places, so ranks and what follows fit in one key
+        order = np.argsort(both)
+        s, both = s[order], both[order]
         sa[slot] = s
-        new = np.concatenate([[True], (r[1:] != r[:-1]) | (nxt[1:] != nxt[:-1])])
+        new = np.concatenate([[True], both[1:] != both[:-1]])
         rank[s] = slot[np.flatnonzero(new)][np.cumsum(new) - 1]
         slot = slot[~(new & np.concatenate([new[1:], [True]]))]
         h *= 2
@@ -113,7 +114,7 @@ def classes(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     lcp[some + 1] = 6 - (np.log2(differ[some].astype(np.float64)) // 9).astype(np.int16)
     bwt = t[sa - 1].copy()
     bwt[sa == 0] = 0
-    order = np.argsort(bwt, kind="stable")
+    order = np.argsort(bwt.astype(np.int16), kind="stable")
     lf = np.empty(n, np.int64)
     lf[order] = np.arange(n)  # C[c] + Occ(c, i), as the first column holds the same symbols in order
     shift = n - int(np.count_nonzero(t)) - int(np.count_nonzero(bwt == 0))
@@ -135,11 +136,13 @@ def classes(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         ok = bwt[member] != 0
         member, owner = member[ok], owner[ok]
         key = owner * 512 + bwt[member]
-        by = np.argsort(key, kind="stable")
-        key, to = key[by], lf[member[by]]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        last = np.concatenate([new[1:], [len(key)]]) - 1 if len(key) else new
-        lo, hi = np.concatenate([one, to[new]]), np.concatenate([one, to[last]]) + 1
+        if len(key):
+            by = np.argsort(key)
+            key, to = key[by], lf[member[by]]
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            lo, hi = np.concatenate([one, np.minimum.reduceat(to, new)]), np.concatenate([one, np.maximum.reduceat(to, new)]) + 1
+        else:
+            lo, hi = one, one + 1
         open_ = lcp[hi] < 0
         lo, hi = lo[open_], hi[open_]
         lcp[hi] = level
@@ -176,12 +179,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     if length < 2 * Q:
         raise ValueError(f"length must be {2 * Q} or more")
+    none = -(1 << 63)  # stands for a null id and sorts first
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.shiftrightunsigned(F.xxhash64(text), 48).alias("v"), text.alias("text"))
-    long_rows = rows.where(F.octet_length("text") >= length)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("k"), F.shiftrightunsigned(F.xxhash64(text), 48).alias("v"), text.alias("text"))
     # equal texts: the first one speaks for all
-    same = long_rows.select("k", "v", F.sha2("text", 256).alias("sha")).groupBy("sha").agg(F.min(F.struct("k", "v")).alias("a"), F.max(F.struct("k", "v")).alias("b")).where("a != b")
-    copies = long_rows.select("k", "v", F.sha2("text", 256).alias("sha")).join(same.select("sha", "a").hint("merge"), "sha").where(F.struct("k", "v") != F.col("a")).select("k", "v", F.lit(True).alias("copy")).distinct()
+    signs = rows.where(F.octet_length("text") >= length).select("k", "v", F.sha2("text", 256).alias("sha"))
+    same = signs.groupBy("sha").agg(F.min(F.struct("k", "v")).alias("a"), F.max(F.struct("k", "v")).alias("b")).where("a != b").select("sha", "a")
+    copies = stored(signs.join(same.hint("merge"), "sha").where(F.struct("k", "v") != F.col("a")).select("k", "v", F.lit(True).alias("copy")).distinct(), "sub-copies")
+    # all joins to texts are on (k, v), so the texts are dealt out once and those files are read again
+    first = rows.join(copies.hint("merge"), ["k", "v"], "left").where(F.col("copy").isNull() & (F.octet_length("text") >= length))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -193,11 +199,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             k, v = (b.column(c).to_numpy()[idx] for c in ("k", "v"))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(k), pa.array((v << 40) | np.concatenate(at))], ["h", "k", "p"])
 
-    marks = long_rows.mapInArrow(found, "h long, k long, p long")
-    shared = marks.groupBy("h").agg(F.min(F.struct("k", "p")).alias("a"), F.max(F.struct("k", "p")).alias("b")).where("a != b").select("h")
+    marks = first.select("k", "v", "text").mapInArrow(found, "h long, k long, p long")
+    shared = marks.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     per_doc = marks.join(shared.hint("merge"), "h", "left_semi").groupBy("k", F.shiftrightunsigned("p", 40).alias("v")).agg(F.collect_set(F.col("p").bitwiseAND(_PLACE)).alias("at"))
-    with_marks = rows.join(per_doc.hint("merge"), ["k", "v"], "left").join(copies.hint("merge"), ["k", "v"], "left")
-
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             out: list[tuple] = []
@@ -216,7 +220,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["h", "k", "s", "c"])
 
-    parts = with_marks.where("at is not null and copy is null").select("k", "v", "text", "at").mapInArrow(contexts, "h long, k long, s long, c binary")
+    parts = first.join(per_doc.hint("merge"), ["k", "v"]).select("k", "v", "text", "at").mapInArrow(contexts, "h long, k long, s long, c binary")
     parts = parts.repartition("h").sortWithinPartitions("h", "c", "k", "s")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +272,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     covered = parts.mapInArrow(judged, "k long, p long, n long")
     spans = covered.groupBy("k", F.shiftrightunsigned("p", 40).alias("v")).agg(F.collect_list(F.struct(F.col("p").bitwiseAND(_PLACE).alias("a"), "n")).alias("spans"))
-    ids = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.shiftrightunsigned(F.xxhash64(text), 48).alias("v"), text.alias("text"))
-    both = ids.join(spans.hint("merge"), ["k", "v"], "left").join(copies.hint("merge"), ["k", "v"], "left")
+    both = rows.join(copies.hint("merge"), ["k", "v"], "left").join(spans.hint("merge"), ["k", "v"], "left")
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -289,8 +292,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rest.update(raw[at:])
                 out.append((len(raw), sum(y - x for x, y in runs), len(runs), rest.hexdigest(), [{"start": x, "end": y} for x, y in runs]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, kind) for c, kind in zip(zip(*out), kinds))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), *(pa.array(c, kind) for c, kind in zip(zip(*out), kinds))], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = both.select("id", "text", "spans", "copy").mapInArrow(left, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
-    return out.withColumnRenamed("id", id_col)
+    out = both.select("k", "text", "spans", "copy").mapInArrow(left, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return out.select(F.when(F.col("k") != none, F.col("k").cast(kind)).alias(id_col), *out.columns[1:])
