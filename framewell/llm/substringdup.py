@@ -187,13 +187,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = signs.groupBy("sha").agg(F.min(F.struct("k", "v")).alias("a"), F.max(F.struct("k", "v")).alias("b")).where("a != b").select("sha", "a")
     copies = stored(signs.join(same.hint("merge"), "sha").where(F.struct("k", "v") != F.col("a")).select("k", "v", F.lit(True).alias("copy")).distinct(), "sub-copies")
     # all joins to texts are on (k, v), so the texts are dealt out once and those files are read again
-    first = rows.join(copies.hint("merge"), ["k", "v"], "left").where(F.col("copy").isNull() & (F.octet_length("text") >= length))
+    # (short texts are passed over in the tasks, as a filter here would make another exchange)
+    first = rows.join(copies.hint("merge"), ["k", "v"], "left").where(F.col("copy").isNull())
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             hs, at, n = [], [], []
             for t in b.column("text").to_pylist():
-                p, h, _ = anchors(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), length)
+                raw = t.encode("utf-8", "surrogatepass")
+                p, h, _ = anchors(np.frombuffer(raw, np.uint8), length) if len(raw) >= length else (np.zeros(0, np.int64), np.zeros(0, np.uint64), None)
                 hs.append(h.view(np.int64)), at.append(p), n.append(len(p))
             idx = np.repeat(np.arange(b.num_rows), n)
             k, v = (b.column(c).to_numpy()[idx] for c in ("k", "v"))
