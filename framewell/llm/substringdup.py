@@ -173,7 +173,7 @@ def _stretches(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + length
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch: int = 4 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch: int = 1 << 20) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of each removed stretch) for each document."""
     import pyarrow as pa
 
