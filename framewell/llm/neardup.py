@@ -7,8 +7,11 @@ U - I end a run of three, so two whole sets of similarity 0.8 or more always sha
 drawn from k = 256 values a pair at 0.85 is missed with a chance below one in a million. Lists with two or more
 classes are cut to blocks of `block` members, every two blocks of a list meet in one task, and there the union
 sketch (all values up to the smaller of both largest retained ones) estimates each pair: it is exact where both
-sets are retained whole. No pairs leave a block but those that pass: a spanning forest of the exact ones and, for
-longer sets, all within six standard errors; the list of its smallest shared key alone gives a pair back. Each is then confirmed on the full sets of both texts. Links are
+sets are retained whole. No pairs leave a block but those that can pass: a spanning forest of the whole sets' pairs
+that pass by the integer test, all pairs of whole sets in which upper halves coincide and that may pass, and, for
+longer sets, all within six standard errors; the list of its smallest shared key alone gives a pair back. Each is
+then confirmed on the full sets of both texts. (Upper halves that coincide across two sets are not seen; at 80 they
+touch a pair of 256 shingles with a chance below 2e-7, and matter only where it is one shingle above the threshold.) Links are
 joined to components by repeated large-star and small-star steps, written to the shared folder.
 
 Defined results: null and empty texts have empty sets and link with nothing. With fewer than five words the whole
@@ -111,7 +114,10 @@ def _sets(docs: DataFrame, shingle: int, k: int, keys: int) -> DataFrame:
 
 
 def _passing(left: list[np.ndarray], right: list[np.ndarray], nl: np.ndarray, nr: np.ndarray, k: int, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs whose union sketch passes, and which of them are decided exactly."""
+    """Index pairs whose union sketch can pass, and which of them pass for certain: whole sets by the integer test.
+
+    Equal upper halves within a set make its counts too small; such pairs pass with room for them, but never for certain.
+    """
     vl, vr = np.concatenate(left), np.concatenate(right)
     il, ir = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
     shared = np.intersect1d(vl, vr)
@@ -141,13 +147,16 @@ def _passing(left: list[np.ndarray], right: list[np.ndarray], nl: np.ndarray, nr
     b = np.array([np.searchsorted(right[y], t, side="right") for y, t in zip(j, lim)], np.int64)
     both = common[i, j].astype(np.int64)
     union = np.maximum(a + b - both, 1)
-    slack = np.where(exact, 0.002, 6 * np.sqrt(percent / 100 * (1 - percent / 100) / union))
-    ok = both / union >= percent / 100 - slack
-    return i[ok], j[ok], exact[ok]
+    fold_l, fold_r = (np.array([len(x) - len(np.unique(x)) for x in side], np.int64) for side in (left, right))
+    folds = fold_l[i] + fold_r[j]
+    slack = 6 * np.sqrt(percent / 100 * (1 - percent / 100) / union)
+    ok = np.where(exact, 100 * (both + folds) >= percent * (union - folds), both / union >= percent / 100 - slack)
+    sure = exact & (folds == 0) & (100 * both >= percent * union)
+    return i[ok], j[ok], sure[ok]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, exact: np.ndarray) -> np.ndarray:
-    """Which pairs to keep: all that are not exact, and of the exact ones those that join two trees."""
+def _forest(a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Which pairs to keep: all that are not sure to pass, and of the sure ones those that join two trees."""
     parent: dict = {}
 
     def root(x):
@@ -156,9 +165,9 @@ def _forest(a: np.ndarray, b: np.ndarray, exact: np.ndarray) -> np.ndarray:
             x = parent[x]
         return x
 
-    keep = ~exact
+    keep = ~sure
     for p in np.lexsort((b, a)):
-        if exact[p]:
+        if sure[p]:
             x, y = root(a[p]), root(b[p])
             if x != y:
                 parent[max(x, y)] = min(x, y)
@@ -187,15 +196,15 @@ def _candidates(classes: DataFrame, k: int, keys: int, percent: int, block: int)
         r = l if same else np.flatnonzero(second)
         if not len(l) or not len(r) or len(ids) < 2:
             return ids[:0], ids[:0]
-        i, j, exact = _passing([values[x] for x in l], [values[x] for x in r], n[l], n[r], k, percent, same)
+        i, j, sure = _passing([values[x] for x in l], [values[x] for x in r], n[l], n[r], k, percent, same)
         i, j = l[i], r[j]
         if len(i):
             mine = _first_shared(values, keys, i, j) == g["key"][0]
-            i, j, exact = i[mine], j[mine], exact[mine]
+            i, j, sure = i[mine], j[mine], sure[mine]
         a, b = ids[i], ids[j]
         a, b = np.minimum(a, b), np.maximum(a, b)
-        a, b, exact = a[a != b], b[a != b], exact[a != b]
-        keep = _forest(a, b, exact)
+        a, b, sure = a[a != b], b[a != b], sure[a != b]
+        keep = _forest(a, b, sure)
         return a[keep], b[keep]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,6 +131,15 @@ def test_near_duplicates(spark):
     assert {i: (r.component_id, r.n_shingles, r.kept) for i, r in got.items()} == {i: (find(i), len(s), find(i) == i) for i, s in enumerate(sets)}
 
 
+def test_pairs_just_below_the_threshold_displace_no_link(spark):
+    texts = []
+    for g in range(30):  # windows of 30, 31 and 31 shingles: 28 of 33 in common (below 85), 29 of 32 and 30 of 32
+        w = [f"g{g}x{i}" for i in range(37)]
+        texts += [" ".join(w[a:b]) for a, b in ((3, 37), (0, 35), (1, 36))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts), percent=85).collect()}
+    assert got == {i: i - i % 3 for i in range(len(texts))}
+
+
 def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 90) if i != 40] + [(200, 300), (300, 250)], "a long, b long")
     got = {r.id: r.component for r in neardup.components(edges).collect()}
