@@ -212,6 +212,18 @@ def test_sampling(spark, mode):
     assert small.select("image_id").distinct().count() >= 40
 
 
+@pytest.mark.parametrize("mode", ["diverse", "balanced"])
+def test_sampling_of_a_target_beyond_one_group(spark, mode):
+    rng = np.random.default_rng(3)
+    # 180 near copies of one vector come first by id; the other 60 images have directions of their own
+    v = np.concatenate([np.eye(1, 24) + 0.001 * rng.normal(size=(180, 24)), rng.normal(size=(60, 24))])
+    d = spark.createDataFrame([(f"t{i:03}", f"i{i:03}", x.tolist()) for i, x in enumerate(v)], "target_id string, image_id string, vector array<double>")
+    got = sampling.select(d, 120, mode, exact=60).collect()
+    assert len(got) == len({r.image_id for r in got}) == 120
+    assert sum(r.image_id >= "i180" for r in got) >= 55 and len({r.pick for r in got}) > 20
+    assert sorted(got) == sorted(sampling.select(d.repartition(3), 120, mode, exact=60).collect())
+
+
 def test_outlier_floor(spark):
     scores = spark.createDataFrame([(f"t{i}", float(i)) for i in range(10)], "target_id string, score double")
     classes = spark.createDataFrame([(f"t{i}", None if i > 7 else "a") for i in range(10)], "target_id string, class_id string")
