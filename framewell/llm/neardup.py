@@ -2,9 +2,12 @@
 
 A document's set holds the hashes of its distinct five-word shingles (lower-cased A-Z). Sets that are equal are
 one class. Of each class the `k` smallest hashes are retained. Runs of three neighbouring retained values are the
-keys of inverted lists, `keys` of them a class (the smallest of each residue). In U values of a union at most
-U - I end a run of three, so two whole sets of similarity 0.8 or more always share a run; with `keys` of them
-drawn from k = 256 values a pair at 0.85 is missed with a chance below one in a million. Lists with two or more
+keys of inverted lists, `keys` of them a class (the smallest of each residue; key_count(percent) unless given). In U
+values of a union at most U - I end a run of three, so two sets that give all their runs (up to keys + 2 values) and
+pass share one where I > 2 (U - I) + 2. The few sizes for which that can fail (4 and 5 values at 80) give the values
+of their prefix as keys, too: of n ascending values the first n - ceil(n percent / 100) + 1, one of which two such
+sets share. Of larger sets, simulated pairs right at the threshold were missed with a chance below one in a million
+(worst of nested and evenly differing ones with 20 to 3000 values: 4e-7 at 80 with 40 keys, at 85 with 29). Lists with two or more
 classes are cut to blocks of `block` members, every two blocks of a list meet in one task, and there the union
 sketch (all values up to the smaller of both largest retained ones) estimates each pair: it is exact where both
 sets are retained whole. No pairs leave a block but those that can pass: a spanning forest of the whole sets' pairs
@@ -21,6 +24,7 @@ link with nothing; their component_id is null and they are kept. Other input col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,9 +60,26 @@ def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _list_keys(kept: np.ndarray, keys: int) -> np.ndarray:
+def key_count(percent: int) -> int:
+    """List keys a class, so many that a pair right at the threshold is missed with a chance below one in a million."""
+    run = (percent / 100) ** 3
+    shared = min(max(run / (2 - run), 0.01), 0.9)  # of the runs of both sets, for nested sets longer than a sketch
+    return math.ceil(16.8 / -math.log(1 - shared))
+
+
+def _prefixed(percent: int, keys: int) -> int:
+    """Largest set for which a pair can pass without a shared run, as far as sets give all their runs."""
+    d = 0
+    while 3 * d + 2 <= keys + 2 and -(-percent * (d + 1) // max(100 - percent, 1)) <= 2 * (d + 1) + 2:
+        d += 1
+    return min(3 * d + 2, keys + 2)
+
+
+def _list_keys(kept: np.ndarray, keys: int, percent: int) -> np.ndarray:
     """Keys of the inverted lists that a set with these retained values (upper halves, ascending) is in."""
     kept = kept.astype(np.uint64)
+    n = len(kept)
+    prefix = tx.mix(kept[: n - -(-percent * n // 100) + 1] * _P[7] + _P[8]) if n <= _prefixed(percent, keys) else kept[:0]
     if len(kept) < 3:
         lists = tx.mix(kept.sum(keepdims=True) + np.uint64(len(kept))) if len(kept) else kept
     else:
@@ -68,21 +89,21 @@ def _list_keys(kept: np.ndarray, keys: int) -> np.ndarray:
             order = np.lexsort((lists, part))
             part = part[order]
             lists = lists[order][np.concatenate([[True], part[1:] != part[:-1]])]
-    return np.unique(lists)
+    return np.unique(np.concatenate([lists, prefix]))
 
 
-def _sketch(s: np.ndarray, k: int, keys: int) -> tuple[np.ndarray, bytes]:
+def _sketch(s: np.ndarray, k: int, keys: int, percent: int) -> tuple[np.ndarray, bytes]:
     kept = s[:k] >> np.uint64(32)
-    return _list_keys(kept, keys), kept.astype("<u4").tobytes()
+    return _list_keys(kept, keys, percent), kept.astype("<u4").tobytes()
 
 
-def _first_shared(values: list[np.ndarray], keys: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _first_shared(values: list[np.ndarray], keys: int, percent: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest list key that both members of each pair have."""
     used = np.unique(np.concatenate([i, j]))
-    rows = np.full((len(used), keys), -1, np.int64)
+    lists = [_list_keys(values[x], keys, percent).view(np.int64) for x in used]
+    rows = np.full((len(used), max(map(len, lists))), -1, np.int64)
     none = np.iinfo(np.int64).max
-    for at, x in enumerate(used):
-        own = _list_keys(values[x], keys).view(np.int64)
+    for at, own in enumerate(lists):
         rows[at, : len(own)] = own
     a, b = np.searchsorted(used, i), np.searchsorted(used, j)
     out = np.empty(len(i), np.int64)
@@ -93,7 +114,7 @@ def _first_shared(values: list[np.ndarray], keys: int, i: np.ndarray, j: np.ndar
     return out
 
 
-def _sets(docs: DataFrame, shingle: int, k: int, keys: int) -> DataFrame:
+def _sets(docs: DataFrame, shingle: int, k: int, keys: int, percent: int) -> DataFrame:
     import pyarrow as pa
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +124,7 @@ def _sets(docs: DataFrame, shingle: int, k: int, keys: int) -> DataFrame:
                 n.append(len(s))
                 h1.append(int(tx.mix(s + _P[5]).sum(dtype=np.uint64).view(np.int64)))
                 h2.append(int(tx.mix(s ^ _P[6]).sum(dtype=np.uint64).view(np.int64)))
-                a, c = _sketch(s, k, keys)
+                a, c = _sketch(s, k, keys, percent)
                 lists.append(a.view(np.int64))
                 sketches.append(c)
             arrays = [b.column("id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
@@ -199,7 +220,7 @@ def _candidates(classes: DataFrame, k: int, keys: int, percent: int, block: int)
         i, j, sure = _passing([values[x] for x in l], [values[x] for x in r], n[l], n[r], k, percent, same)
         i, j = l[i], r[j]
         if len(i):
-            mine = _first_shared(values, keys, i, j) == g["key"][0]
+            mine = _first_shared(values, keys, percent, i, j) == g["key"][0]
             i, j, sure = i[mine], j[mine], sure[mine]
         a, b = ids[i], ids[j]
         a, b = np.minimum(a, b), np.maximum(a, b)
@@ -281,10 +302,11 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, k: int = 256, keys: int = 24, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, k: int = 256, keys: int | None = None, block: int = 512) -> DataFrame:
     """id, n_shingles, component_id and kept for each document; two link when 100 * |A and B| >= percent * |A or B|."""
+    keys = key_count(percent) if keys is None else keys
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = stored(_sets(rows, shingle, k, keys), "near-sets")
+    sets = stored(_sets(rows, shingle, k, keys, percent), "near-sets")
     known = sets.where("id is not null and n > 0")
     first = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     owned = stored(known.select("id", "h1", "h2", "n").join(first, ["h1", "h2", "n"]).select("id", "rep").distinct(), "near-classes")

@@ -140,6 +140,28 @@ def test_pairs_just_below_the_threshold_displace_no_link(spark):
     assert got == {i: i - i % 3 for i in range(len(texts))}
 
 
+def test_short_near_duplicates_are_never_missed(spark):
+    texts = []
+    for g in range(150):  # 4 and 5 shingles, similarity exactly 0.8
+        w = [f"g{g}x{i}" for i in range(9)]
+        texts += [" ".join(w), " ".join(w[:8])]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 85])
+def test_small_sets_that_pass_share_a_list(percent):
+    rng = np.random.default_rng(percent)
+    keys = neardup.key_count(percent)
+    for _ in range(3000):
+        u = int(rng.integers(1, 30))
+        x = np.unique(rng.integers(0, 1 << 32, u).astype(np.uint64))
+        i = -(-percent * len(x) // 100)
+        owner = rng.permutation(np.array([0] * i + [1] * (len(x) - i)))
+        a, b = x[owner == 0], x
+        assert len(np.intersect1d(neardup._list_keys(a, keys, percent), neardup._list_keys(b, keys, percent)))
+
+
 def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 90) if i != 40] + [(200, 300), (300, 250)], "a long, b long")
     got = {r.id: r.component for r in neardup.components(edges).collect()}
