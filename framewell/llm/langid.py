@@ -3,7 +3,7 @@
 Byte trigrams and four-grams of the lower-cased text (everything but letters counts as one space) are hashed to
 buckets; a text is the mean of their embeddings, and a linear softmax over the learned languages reads it. The
 model is trained by stochastic gradient descent in numpy on a bounded sample of labelled rows (`per_lang`
-expected rows of each of the `max_langs` most frequent languages, chosen by a hash of the id, folds 0, 1 and 3
+expected rows of each language, however many there are, chosen by a hash of the id, folds 0, 1 and 3
 only). Fold 3 of the sample calibrates: a temperature is fitted to it, and the rejection threshold is the
 `reject` quantile of the calibrated confidence of its right answers, 0.5 at most. Texts of the sample leave the
 executors as bucket counts, so a long text is bounded by the number of buckets.
@@ -47,13 +47,14 @@ def grams(text: str, piece: int = 1 << 20) -> Iterator[np.ndarray]:
             yield ((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
 
 
-def _sample(docs: DataFrame, per_lang: int, max_langs: int) -> tuple[list[str], list[tuple]]:
+def _sample(docs: DataFrame, per_lang: int) -> tuple[list[str], list[tuple]]:
     """The languages, and (language number, calibrates, buckets, counts) of the sampled rows."""
     import pyarrow as pa
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("fold") != 2))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in counts)
+    number = {lang: y for y, lang in enumerate(langs)}
     if not langs:
         return [], []
     share: Column = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_lang / r["count"]))])
@@ -69,7 +70,7 @@ def _sample(docs: DataFrame, per_lang: int, max_langs: int) -> tuple[list[str],
                 for g in grams(t):
                     n += np.bincount(g, minlength=BUCKETS)
                 k = np.flatnonzero(n)
-                out.append((langs.index(lang), fold == 3, k.astype(np.int32).tobytes(), (n[k] / n.sum()).astype(np.float32).tobytes()))
+                out.append((number[lang], fold == 3, k.astype(np.int32).tobytes(), (n[k] / n.sum()).astype(np.float32).tobytes()))
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], ["y", "cal", "k", "v"])
 
@@ -117,7 +118,7 @@ def _fit(n_langs: int, rows: list[tuple], epochs: int, rate: float, reject: floa
     return {"table": table.astype(np.float32), "bias": b, "t": t, "least": min(0.5, float(np.quantile(right, reject))) if len(right) else 0.0}
 
 
-def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, max_langs: int = 64, epochs: int = 4, rate: float = 1.0, reject: float = 0.001, carry: bool = False) -> DataFrame:
+def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, epochs: int = 4, rate: float = 1.0, reject: float = 0.001, carry: bool = False) -> DataFrame:
     """id, held_out, lang_pred, score (calibrated confidence) and rejected for each document.
 
     carry: return all input columns and the four instead, for use as a filter without a join.
@@ -126,7 +127,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     spark = docs.sparkSession
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("fold", fold_of(F.col("id")))
-    langs, rows = _sample(known, per_lang, max_langs)
+    langs, rows = _sample(known, per_lang)
     model = spark.sparkContext.broadcast(_fit(len(langs), rows, epochs, rate, reject) if rows else None)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

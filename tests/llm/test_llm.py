@@ -308,6 +308,16 @@ def test_language_on_held_out_rows(spark):
     assert sum(r.rejected for r in out) < 10
 
 
+def test_every_labelled_language_is_learned(spark):
+    rng = random.Random(5)
+    syll = {f"l{k:02}": [chr(0x4E00 + 5 * k + j) for j in range(5)] for k in range(70)}
+    lang = lambda i: f"l{i % 70:02}"
+    texts = [" ".join("".join(rng.choice(syll[lang(i)]) for _ in range(3)) for _ in range(20)) for i in range(70 * 24)]
+    out = langid.identify_language(frame(spark, texts, lang=lang), per_lang=30).collect()
+    assert {r.lang_pred for r in out} == set(syll)
+    assert all(any(r.held_out and r.lang_pred == x == lang(r.doc_id) for r in out) for x in syll)
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     texts = [words(rng, rng.choice([0, 1, 5, 40, 300])) for _ in range(200)]
