@@ -205,6 +205,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(out) > 100 and right / len(out) > 0.95 and all(0 <= r.score <= 1 for r in out)
 
 
+def test_toxic_words_do_not_share_counts(spark):
+    rng = random.Random(7)
+    texts = [words(rng, 30, 300) + (f" bad{i % 3}" if i % 5 == 0 else "") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    rows = [toxicity.toxicity(frame(spark, texts), labels, filter_bits=b).orderBy("doc_id").collect() for b in (3, None)]
+    assert rows[0] == rows[1]
+    counts = toxicity._continuations(spark.createDataFrame([(" ".join(f"x{k} y{k}" for k in range(a, a + 150000)), a // 150000) for a in (0, 150000)], "text string, toxic int").withColumn("toxic", F.col("toxic") == 1))
+    assert counts.count() == 600000 and counts.where("a + b <> 1").count() == 0
+
+
 def test_quality_rules(spark):
     rng = random.Random(8)
     texts = [words(rng, n, p) for n in (0, 1, 3, 49, 50, 200) for p in (3, 40, 9000)]
