@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word is a run of anything but ASCII white space, as the contracts state it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +35,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(cols: list[str]) -> Column:
+    """The columns as one struct called row, so that no name of theirs can clash with an operator's own."""
+    return F.struct(F.lit(True).alias("0"), *(F.col(f"`{c}`").alias(str(i + 1)) for i, c in enumerate(cols))).alias("row")
+
+
+def restored(cols: list[str]) -> list[Column]:
+    """The columns out of that struct again."""
+    return [F.col(f"row.`{i + 1}`").alias(c) for i, c in enumerate(cols)]
+
+
+def with_fields(*fields: StructField | tuple[str, str]) -> StructType:
+    """A schema of fields, or of names and types in words."""
+    return StructType([f if isinstance(f, StructField) else StructField(f[0], DataType.fromDDL(f[1])) for f in fields])
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4; fold 2 is held out from learning. A null doc_id has no fold and is never learned from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

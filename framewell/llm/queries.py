@@ -12,7 +12,7 @@ from .langid import identify_language
 from .linededup import line_dedup
 from .mixing import mix_sources
 from .neardup import near_duplicates
-from .pieces import decode, encode
+from .pieces import encode
 from .pii import pseudonymize
 from .quality import quality_rules
 from .substringdup import substring_dedup
@@ -46,8 +46,8 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled piece ids of every text, and whether they decode to it again."""
-    spelled = decode(encode(documents(spark, sf_dir).select("doc_id", "text")))
-    return spelled.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    spelled = encode(documents(spark, sf_dir).select("doc_id", "text"), check=True)
+    return spelled.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "lossless")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,25 +286,50 @@ def test_pieces_are_lossless_and_reproducible(spark):
 
 def test_pieces_follow_the_lattice_weights():
     voc = pieces.vocabulary()
-    lattice = pieces.Lattice([" there"], voc, 1.0)
-    n = 60000
-    edges, m = lattice.sample(np.zeros(n, np.int64), tx.mix(np.arange(n).astype(np.uint64)))
-    ends = np.concatenate([[0], np.cumsum(m)])
-    got = Counter(tuple(lattice.piece[edges[a:b]].tolist()) for a, b in zip(ends[:-1], ends[1:]))
-    weight = {i: w for _, ids, ws in voc["tables"].values() for i, w in zip(ids.tolist(), ws.tolist())}
-    by_text = {voc["raw"][i].decode(): i for i in weight}
-    want: dict = {}
-
-    def cut(at, done, total):
-        if at == 6:
-            want[tuple(done)] = np.exp(total)
-        for to in range(at + 1, 7):
-            if " there"[at:to] in by_text:
-                cut(to, [*done, by_text[" there"[at:to]]], total + weight[by_text[" there"[at:to]]])
-
-    cut(0, [], 0.0)
-    z = sum(want.values())
-    assert set(got) <= set(want) and max(abs(got.get(k, 0) / n - v / z) for k, v in want.items()) < 0.01
+    weight = {i: w for i, w in zip(voc["trie"]["piece"].tolist(), voc["trie"]["weight"].tolist()) if i >= 0}
+    by_text = {voc["raw"][voc["cuts"][i] : voc["cuts"][i + 1]].decode(): i for i in weight}
+    lattices, n = pieces.Lattices(voc, 1.0), 60000
+    for text in (" there", "Sein", " aé", "zzzz"):  # one after the other, so later ones are added to kept lattices
+        drawn, m = lattices.sample(np.repeat(lattices.numbers([text]), n), tx.mix(np.arange(n).astype(np.uint64)))
+        ends = np.concatenate([[0], np.cumsum(m)])
+        got = Counter(tuple(drawn[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:]))
+        want: dict = {}
+
+        def cut(at, done, total, text=text, want=want):
+            if at == len(text):
+                want[tuple(done)] = np.exp(total)
+            for to in range(at + 1, len(text) + 1):
+                if text[at:to] in by_text:
+                    cut(to, [*done, by_text[text[at:to]]], total + weight[by_text[text[at:to]]])
+
+        cut(0, [], 0.0)
+        z = sum(want.values())
+        assert set(got) <= set(want) and max(abs(got.get(k, 0) / n - v / z) for k, v in want.items()) < 0.01
+        assert (np.concatenate([lattices.sample(lattices.numbers([text]), np.array([k], np.uint64))[0] for k in range(20)]) == np.concatenate([_alone(voc, text, k) for k in range(20)])).all()
+
+
+def _alone(voc, text, k):
+    lattices = pieces.Lattices(voc, 1.0)
+    return lattices.sample(lattices.numbers([text]), np.array([k], np.uint64))[0]
+
+
+def test_pieces_of_long_texts_do_not_depend_on_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    text = " ".join(words(rng, 40, 10**6) + rng.choice(["\n", "  ", "é▁", "\t"]) for _ in range(60))
+    voc = pieces.vocabulary()
+    whole, n = pieces.encode_texts([text, None, ""], ["a", "b", "c"], pieces.Lattices(voc, 1.0), 1)
+    monkeypatch.setattr(pieces, "PART", 300)
+    monkeypatch.setattr(pieces, "HELD", 500)
+    parts, m = pieces.encode_texts([text, None, ""], ["a", "b", "c"], pieces.Lattices(voc, 1.0), 1)
+    assert whole.tolist() == parts.tolist() and n.tolist() == m.tolist() == [len(whole), 0, 0]
+    data, sizes = pieces.decode_ids(whole, n, voc["raw"], voc["cuts"])
+    assert data.tobytes().decode() == text and sizes.tolist() == [len(text.encode()), 0, 0]
+
+
+def test_checked_pieces_and_clashing_names(spark):
+    d = frame(spark, [*ODD, "a b"]).withColumns({c: F.lit(1) for c in ("row", "key", "text_", "0", "row_", "lossless", "ids")})
+    out = pieces.encode(d, check=True).collect()
+    assert len(out) == len(ODD) + 1 and all(r.lossless for r in out) and all(r.row == 1 for r in out)
 
 
 def test_language_on_held_out_rows(spark):
