@@ -14,7 +14,7 @@ from framewell.llm.langid import identify_language
 from framewell.llm.linededup import line_dedup
 from framewell.llm.mixing import mix_sources
 from framewell.llm.neardup import near_duplicates
-from framewell.llm.pieces import decode, encode
+from framewell.llm.pieces import encode
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of each document of the mix, and whether they decode to its text."""
-    spelled = decode(encode(docs))
-    return spelled.select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    spelled = encode(docs, check=True)
+    return spelled.select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "lossless")
 
 
 STAGES = [("language", language), ("line_dedup", lines), ("minhash", near), ("mixing", mix), ("pieces", pieces)]
