@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -19,9 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one where it is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("framewell.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local[") and spark.conf.get("spark.master", "local") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("framewell.checkpoint.dir", found)
     return found
@@ -32,7 +35,49 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose ids are among the wanted ones, and some others: marks of bounded size, no shuffle of docs."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << 26))
+    place, drawer = (slot % 32768).cast("long"), F.floor(slot / 32768)
+    marks = wanted.select(drawer.alias("drawer"), place.alias("place")).groupBy("drawer").agg(F.bitmap_construct_agg("place").alias("bits"))
+    # 2048 rows of 4 kB at most
+    both = docs.withColumns({"drawer": drawer, "place": place}).join(F.broadcast(marks), "drawer")
+    byte = F.conv(F.hex(F.substring("bits", (F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return both.where(F.call_function("shiftright", byte, (F.col("place") % 8).cast("int")).bitwiseAND(1) == 1).select(*docs.columns)
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links between numbers, (root, member) of each member but the root of every group that they connect."""
+    if not len(a):
+        return a[:0], b[:0]
+    used, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    root = np.arange(len(used))
+    while True:
+        least = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], least)
+        np.minimum.at(new, root[y], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    member = np.flatnonzero(root != np.arange(len(used)))
+    return used[root[member]], used[member]
 
 
 def carried(cols: list[str]) -> Column:
@@ -55,6 +100,11 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether a row is in the fold that no learning sees; false for a null id."""
+    return F.coalesce(fold_of(doc_id) == 2, F.lit(False))
+
+
 def tasks(df: DataFrame) -> int:
     """Shuffle partitions the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -62,7 +112,6 @@ def tasks(df: DataFrame) -> int:
 
 def slices(batches: Iterator, column: str, most: int = 4 << 20) -> Iterator:
     """Cut Arrow batches into slices that hold about `most` bytes of text, or one row."""
-    import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:
