@@ -7,19 +7,27 @@ values of a union at most U - I end a run of three, so two sets that give all th
 pass share one where I > 2 (U - I) + 2. The few sizes for which that can fail (4 and 5 values at 80) give the values
 of their prefix as keys, too: of n ascending values the first n - ceil(n percent / 100) + 1, one of which two such
 sets share. Of larger sets, simulated pairs right at the threshold were missed with a chance below one in a million
-(worst of nested and evenly differing ones with 20 to 3000 values: 4e-7 at 80 with 40 keys, at 85 with 29). Lists with two or more
-classes are cut to blocks of `block` members, every two blocks of a list meet in one task, and there the union
-sketch (all values up to the smaller of both largest retained ones) estimates each pair: it is exact where both
-sets are retained whole. No pairs leave a block but those that can pass: a spanning forest of the whole sets' pairs
-that pass by the integer test, all pairs of whole sets in which upper halves coincide and that may pass, and, for
-longer sets, all within six standard errors; the list of its smallest shared key alone gives a pair back. Each is
-then confirmed on the full sets of both texts. (Upper halves that coincide across two sets are not seen; at 80 they
-touch a pair of 256 shingles with a chance below 2e-7, and matter only where it is one shingle above the threshold.) Links are
-joined to components by repeated large-star and small-star steps, written to the shared folder.
+(worst of nested and evenly differing ones with 20 to 3000 values: 4e-7 at 80 with 40 keys, at 85 with 29).
+
+Lists with one member go, and of lists with the same members one stays. The full sets of the members, hashes of 48
+bits, are shipped to their lists. There the union sketch (all values up to the smaller of both largest retained ones)
+estimates each pair: it is exact where both sets are retained whole, others within six standard errors are verified on
+the full sets, those first that look most alike, and only while they would connect something new. A list gives back
+one star for each group of members that links connect, never its pairs.
+
+Only what connects matters, so a long list is not compared pair by pair: its first `block` members are compared with
+all. Most members of a tight group are then connected; only those of a list that are not in its largest group (by the
+components so far) are, in a second round, compared with each other and with all the rest, in blocks of bounded size
+that are spread over tasks. Stars are joined to components by repeated large-star and small-star steps, written to the
+shared folder.
+
+Texts of documents in no list are not shuffled: a table of marks, 2**26 bits at most, lets most of them be left out
+where they are read. It changes no result; past a hundred million documents in lists it leaves out fewer.
 
 Defined results: null and empty texts have empty sets and link with nothing. With fewer than five words the whole
 sequence is the one shingle. Rows that share an id are one document with all their texts. Rows with a null id
-link with nothing; their component_id is null and they are kept. Other input columns are ignored.
+link with nothing; their component_id is null and they are kept. An empty table gives an empty result. Other input
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +38,10 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from . import text as tx
-from .common import slices, stored
+from .common import marked, released, slices, stars, stored, with_fields
 
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 65)]
 
@@ -92,59 +101,52 @@ def _list_keys(kept: np.ndarray, keys: int, percent: int) -> np.ndarray:
     return np.unique(np.concatenate([lists, prefix]))
 
 
-def _sketch(s: np.ndarray, k: int, keys: int, percent: int) -> tuple[np.ndarray, bytes]:
-    kept = s[:k] >> np.uint64(32)
-    return _list_keys(kept, keys, percent), kept.astype("<u4").tobytes()
-
-
-def _first_shared(values: list[np.ndarray], keys: int, percent: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest list key that both members of each pair have."""
-    used = np.unique(np.concatenate([i, j]))
-    lists = [_list_keys(values[x], keys, percent).view(np.int64) for x in used]
-    rows = np.full((len(used), max(map(len, lists))), -1, np.int64)
-    none = np.iinfo(np.int64).max
-    for at, own in enumerate(lists):
-        rows[at, : len(own)] = own
-    a, b = np.searchsorted(used, i), np.searchsorted(used, j)
-    out = np.empty(len(i), np.int64)
-    for x in range(0, len(i), 4096):
-        p, q = rows[a[x : x + 4096]], rows[b[x : x + 4096]]
-        hit = (p[:, :, None] == q[:, None, :]).any(2) & (p != -1)
-        out[x : x + 4096] = np.where(hit, p, none).min(1)
-    return out
+def _set_hash(s: np.ndarray, salt: np.uint64) -> int:
+    return int(tx.mix(s + salt).sum(dtype=np.uint64).view(np.int64))
 
 
-def _sets(docs: DataFrame, shingle: int, k: int, keys: int, percent: int) -> DataFrame:
+def _keyed(docs: DataFrame, shingle: int, k: int, keys: int, percent: int) -> DataFrame:
+    """id, n, h1, h2, keys: size and hash of each document's set and the lists that it is in."""
     import pyarrow as pa
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            n, h1, h2, lists, sketches = [], [], [], [], []
-            for s in shingle_sets(b.column("text").to_pylist(), shingle):
-                n.append(len(s))
-                h1.append(int(tx.mix(s + _P[5]).sum(dtype=np.uint64).view(np.int64)))
-                h2.append(int(tx.mix(s ^ _P[6]).sum(dtype=np.uint64).view(np.int64)))
-                a, c = _sketch(s, k, keys, percent)
-                lists.append(a.view(np.int64))
-                sketches.append(c)
-            arrays = [b.column("id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "h1", "h2", "keys", "sketch"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(rows, f"id {kind}, n long, h1 long, h2 long, keys array<long>, sketch binary")
-
-
-def _passing(left: list[np.ndarray], right: list[np.ndarray], nl: np.ndarray, nr: np.ndarray, k: int, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs whose union sketch can pass, and which of them pass for certain: whole sets by the integer test.
-
-    Equal upper halves within a set make its counts too small; such pairs pass with room for them, but never for certain.
+        for b in slices(batches, "text", 2 << 20):
+            sets = shingle_sets(b.column("text").to_pylist(), shingle)
+            lists = [_list_keys(s[:k] >> np.uint64(32), keys, percent).view(np.int64) for s in sets]
+            numbers = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [_set_hash(s, _P[5]) for s in sets], [_set_hash(s, _P[6]) for s in sets])]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *numbers, pa.array(lists, pa.list_(pa.int64()))], ["id", "n", "h1", "h2", "keys"])
+
+    return docs.mapInArrow(rows, with_fields(docs.schema["id"], ("n", "long"), ("h1", "long"), ("h2", "long"), ("keys", "array<long>")))
+
+
+def _full(docs: DataFrame, shingle: int) -> DataFrame:
+    """id, h1, set: the upper 48 bits of each document's hashes, ascending."""
+    import pyarrow as pa
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 2 << 20):
+            sets = shingle_sets(b.column("text").to_pylist(), shingle)
+            packed = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_set_hash(s, _P[5]) for s in sets], pa.int64()), pa.array(packed, pa.binary())], ["id", "h1", "set"])
+
+    return docs.mapInArrow(rows, with_fields(docs.schema["id"], ("h1", "long"), ("set", "binary")))
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<i8").ravel()
+
+
+def _passing(left: list[np.ndarray], right: list[np.ndarray], k: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs whose union sketch can pass, which of them pass for certain (sets retained whole), and the estimates.
+
+    left, right: full ascending sets; the first k values of each are its sketch.
     """
-    vl, vr = np.concatenate(left), np.concatenate(right)
-    il, ir = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    sl, sr = [x[:k] for x in left], [x[:k] for x in right]
+    vl, vr = np.concatenate(sl), np.concatenate(sr)
+    il, ir = np.repeat(np.arange(len(sl)), [len(x) for x in sl]), np.repeat(np.arange(len(sr)), [len(x) for x in sr])
     shared = np.intersect1d(vl, vr)
-    if same:  # a value of one member alone says nothing about a pair
-        u, c = np.unique(vl, return_counts=True)
-        shared = u[c > 1]
     common = np.zeros((len(left), len(right)), np.float32)
     for at in range(0, len(shared), 4096):
         part = shared[at : at + 4096]
@@ -156,125 +158,101 @@ def _passing(left: list[np.ndarray], right: list[np.ndarray], nl: np.ndarray, nr
             m[i[hit], p[hit]] = 1
             sides.append(m)
         common += sides[0] @ sides[1].T
-    top = lambda x: np.array([a[-1] if len(a) else 0 for a in x], np.int64)
-    whole_l, whole_r = nl <= k, nr <= k
-    lim_l, lim_r = np.where(whole_l, 1 << 33, top(left)), np.where(whole_r, 1 << 33, top(right))
-    i, j = np.nonzero(common * 100 >= 0.5 * percent * np.minimum.outer([len(x) for x in left], [len(x) for x in right]))
-    if same:
-        i, j = i[i < j], j[i < j]
-    exact = whole_l[i] & whole_r[j]
+    i, j = np.nonzero(common * 100 >= 0.5 * percent * np.minimum.outer([len(x) for x in sl], [len(x) for x in sr]))
+    far = np.iinfo(np.int64).max
+    lim_l, lim_r = (np.array([far if len(x) <= k else x[k - 1] for x in side], np.int64) for side in (left, right))
+    exact = (lim_l[i] == far) & (lim_r[j] == far)
     lim = np.minimum(lim_l[i], lim_r[j])
-    a = np.array([np.searchsorted(left[x], t, side="right") for x, t in zip(i, lim)], np.int64)
-    b = np.array([np.searchsorted(right[y], t, side="right") for y, t in zip(j, lim)], np.int64)
+    a = np.array([np.searchsorted(sl[x], t, side="right") for x, t in zip(i, lim)], np.int64)
+    b = np.array([np.searchsorted(sr[y], t, side="right") for y, t in zip(j, lim)], np.int64)
     both = common[i, j].astype(np.int64)
     union = np.maximum(a + b - both, 1)
-    fold_l, fold_r = (np.array([len(x) - len(np.unique(x)) for x in side], np.int64) for side in (left, right))
-    folds = fold_l[i] + fold_r[j]
     slack = 6 * np.sqrt(percent / 100 * (1 - percent / 100) / union)
-    ok = np.where(exact, 100 * (both + folds) >= percent * (union - folds), both / union >= percent / 100 - slack)
-    sure = exact & (folds == 0) & (100 * both >= percent * union)
-    return i[ok], j[ok], sure[ok]
-
-
-def _forest(a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> np.ndarray:
-    """Which pairs to keep: all that are not sure to pass, and of the sure ones those that join two trees."""
-    parent: dict = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    keep = ~sure
-    for p in np.lexsort((b, a)):
-        if sure[p]:
-            x, y = root(a[p]), root(b[p])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                keep[p] = True
-    return keep
-
-
-def _candidates(classes: DataFrame, k: int, keys: int, percent: int, block: int) -> DataFrame:
-    """a, b: pairs of classes (a < b) that pass the estimate; the list of its smallest shared key gives a pair back."""
+    ok = np.where(exact, 100 * both >= percent * union, both / union >= percent / 100 - slack)
+    return i[ok], j[ok], exact[ok], (both / union)[ok]
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _connected(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, sure: np.ndarray, looks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(root, member) of the groups that links connect: sure pairs, and of the others those that full sets confirm."""
+    root, member = stars(i[sure], j[sure])
+    parent = np.arange(len(sets))
+    parent[member] = root
+    i, j = i[~sure], j[~sure]
+    order = np.argsort(-looks[~sure], kind="stable")
+    i, j = i[order], j[order]
+    while len(i):
+        apart = np.flatnonzero(parent[i] != parent[j])
+        i, j = i[apart], j[apart]
+        for at in range(min(len(i), 256)):
+            x, y = parent[i[at]], parent[j[at]]
+            if x != y and _similar(sets[i[at]], sets[j[at]], percent):
+                parent[parent == max(x, y)] = min(x, y)
+        i, j = i[256:], j[256:]
+    member = np.flatnonzero(parent != np.arange(len(sets)))
+    return parent[member], member
+
+
+def _met(members: DataFrame, full: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: stars of the members of each list that links connect.
+
+    members: id, h1, key, home, hb, vb. Homes are cut to hb blocks and others to vb; every block of homes meets every
+    block. (p, q): home block p with home block q >= p, and with others: their first block where q = p, the rest beyond.
+    """
     import pyarrow as pa
 
-    lists = classes.select("id", F.explode("keys").alias("key"))
-    sizes = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block))
-    members = lists.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    # a member meets its own block and all others, the lower number first
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("id", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("second"))
-    rows = members.join(classes.select("id", "n", "sketch").hint("merge"), "id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    names = ["id", "key", "p", "q", "second", "n"]
-
-    def meet(g: dict) -> tuple[np.ndarray, np.ndarray]:
-        ids, n, second = g["id"], g["n"], g["second"]
-        values = [np.frombuffer(x, "<u4").astype(np.int64) for x in g["sketch"]]
-        same = g["p"][0] == g["q"][0]
-        l = np.arange(len(ids)) if same else np.flatnonzero(~second)  # noqa: E741
-        r = l if same else np.flatnonzero(second)
-        if not len(l) or not len(r) or len(ids) < 2:
-            return ids[:0], ids[:0]
-        i, j, sure = _passing([values[x] for x in l], [values[x] for x in r], n[l], n[r], k, percent, same)
-        i, j = l[i], r[j]
-        if len(i):
-            mine = _first_shared(values, keys, percent, i, j) == g["key"][0]
-            i, j, sure = i[mine], j[mine], sure[mine]
-        a, b = ids[i], ids[j]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        a, b, sure = a[a != b], b[a != b], sure[a != b]
-        keep = _forest(a, b, sure)
-        return a[keep], b[keep]
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                a, b = meet({c: np.concatenate([h[c] for h in held]) for c in held[0]})
-                held.clear()
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        last = None
+    mine = F.pmod(F.xxhash64("id", "h1", F.lit(3)), F.when(F.col("home"), F.col("hb")).otherwise(F.col("vb")))
+    one, hb, vb, at = F.lit(1).cast("long"), F.col("hb").cast("long"), F.col("vb").cast("long"), F.col("mine").cast("long")
+    pair = lambda p, q: F.struct(p.cast("long").alias("p"), q.cast("long").alias("q"))
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    as_home = F.concat(F.transform(span(at, hb - 1), lambda q: pair(at, q)), F.transform(span(one, vb - 1), lambda v: pair(at, hb - 1 + v)), F.transform(span(one - 1, at - 1), lambda p: pair(p, at)))
+    as_other = F.transform(span(one - 1, hb - 1), lambda p: F.when(at == 0, pair(p, p)).otherwise(pair(p, hb - 1 + at)))
+    rows = members.withColumn("mine", mine).withColumn("pq", F.explode(F.when(F.col("home"), as_home).otherwise(as_other)))
+    rows = rows.select("id", "h1", "key", "pq.p", "pq.q", (F.col("home") & (F.col("mine") == F.col("pq.p"))).alias("first"))
+    rows = rows.join(full.hint("merge"), ["id", "h1"]).select("key", "p", "q", "first", "id", "set")
+    rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def meet(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = pa.Table.from_batches(parts).combine_chunks()
+        sets = [_unpacked(x) for x in g.column("set").to_pylist()]
+        first = g.column("first").to_numpy()
+        l, r = np.flatnonzero(first), np.flatnonzero(~first)  # noqa: E741
+        found = []
+        if len(l) > 1 and g.column("p")[0] == g.column("q")[0]:
+            i, j, sure, looks = _passing([sets[x] for x in l], [sets[x] for x in l], k, percent)
+            half = i < j
+            found.append((l[i[half]], l[j[half]], sure[half], looks[half]))
+        if len(l) and len(r):
+            i, j, sure, looks = _passing([sets[x] for x in l], [sets[x] for x in r], k, percent)
+            found.append((l[i], r[j], sure, looks))
+        if found:
+            root, member = _connected(sets, *(np.concatenate(x) for x in zip(*found)), percent)
+            if len(root):
+                ids = g.column("id").combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(root)), ids.take(pa.array(member))], ["a", "b"])
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            cols["sketch"] = np.array(batch.column("sketch").to_pylist() + [None], object)[:-1]
-            mark = np.stack([cols["key"], cols["p"], cols["q"]], 1)
-            cuts = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1), batch.num_rows]
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                if last is not None and tuple(mark[x]) != last:
-                    yield from done()
-                last = tuple(mark[x])
-                held.append({c: v[x:y] for c, v in cols.items()})
-        yield from done()
-
-    kind = classes.schema["id"].dataType.simpleString()
-    return rows.select(*names, "sketch").mapInArrow(blocks, f"a {kind}, b {kind}").distinct()
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    import pyarrow as pa
-
-    texts = docs.select("id", "text")
-    # pairs grow with the input, so neither side of these joins is sent to all tasks
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text")).hint("merge"), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            ok = []
-            for x, y in zip(shingle_sets(b.column("ta").to_pylist(), shingle), shingle_sets(b.column("text").to_pylist(), shingle)):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            mark = np.stack([batch.column(c).to_numpy() for c in ("key", "p", "q")], 1)
+            cuts = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for s, t in zip(cuts[:-1], cuts[1:]):
+                if held and tuple(mark[s]) != last:
+                    yield from meet(held)
+                    held = []
+                last = tuple(mark[s])
+                held.append(batch.slice(s, t - s))
+        if held:
+            yield from meet(held)
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "ta", "text").mapInArrow(check, f"a {kind}, b {kind}")
+    id_field = members.schema["id"]
+    return rows.mapInArrow(lists, with_fields(*(StructField(c, id_field.dataType) for c in "ab"))).where("a != b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,7 +271,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, large["b"] == least["u"]).select(F.col("m").alias("p"), F.col("a").alias("x"), F.col("b").alias("y"))
         small = small.select(F.explode(F.array(F.struct(F.col("p").alias("a"), F.col("x").alias("b")), F.struct(F.col("p").alias("a"), F.col("y").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
         step += 1
-        edges = stored(small, f"cc-{step}")
+        last, edges = edges, stored(small, f"cc-{step}")
+        released(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -305,15 +284,31 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, k: int = 256, keys: int | None = None, block: int = 512) -> DataFrame:
     """id, n_shingles, component_id and kept for each document; two link when 100 * |A and B| >= percent * |A or B|."""
     keys = key_count(percent) if keys is None else keys
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = stored(_sets(rows, shingle, k, keys, percent), "near-sets")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    sets = stored(_keyed(rows, shingle, k, keys, percent), "near-sets")
     known = sets.where("id is not null and n > 0")
-    first = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    owned = stored(known.select("id", "h1", "h2", "n").join(first, ["h1", "h2", "n"]).select("id", "rep").distinct(), "near-classes")
-    classes = known.join(first.select(F.col("rep").alias("id"), "h1", "h2", "n"), ["id", "h1", "h2", "n"], "left_semi").dropDuplicates(["id", "h1", "h2"])
-    pairs = stored(_candidates(classes, k, keys, percent, block), "near-pairs")
-    links = _confirmed(pairs, rows.where("id is not null"), shingle, percent)
-    found = components(links.select("a", "b").unionByName(owned.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
+    classes = stored(known.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.any_value("keys").alias("keys")), "near-classes")
+    copies = known.select("id", "h1", "h2", "n").join(classes.select(F.col("id").alias("rep"), "h1", "h2", "n"), ["h1", "h2", "n"]).where("id != rep")
+    copies = stored(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "near-copies")
+    lists = classes.select("id", "h1", F.explode("keys").alias("key"))
+    sign = [F.bit_xor(F.xxhash64("id", "h1", F.lit(x))).alias(f"s{x}") for x in (1, 2)]
+    lists_of = lists.groupBy("key").agg(F.count("*").alias("m"), *sign).where("m > 1").groupBy("m", "s1", "s2").agg(F.min("key").alias("key"))
+    members = lists.join(lists_of.select("key", "m"), "key").withColumn("long", F.col("m") > block)
+    leader = ~F.col("long") | (F.pmod(F.xxhash64("id", "h1", F.lit(4)), F.ceil(F.col("m") / block)) == 0)
+    members = stored(members.withColumn("home", leader).withColumns({"hb": F.lit(1), "vb": F.greatest(F.ceil(F.col("m") / (4 * block)), F.lit(1))}), "near-members")
+    full = _full(marked(rows.where("id is not null"), members.select("id")), shingle)
+    full = stored(full.groupBy("id", "h1").agg(F.any_value("set").alias("set")).join(members.select("id", "h1").distinct(), ["id", "h1"], "left_semi"), "near-full")
+    links = stored(_met(members, full, k, percent), "near-links").unionByName(copies)
+    found = components(links)
+    more = members.where("long").join(found.withColumnRenamed("component", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
+    most = more.groupBy("key", "own").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("own", F.struct("c", "own")).alias("most"))
+    # leaders have met all; of the others, who is not in the list's largest group goes on
+    more = more.where("not home").join(most, "key").select("id", "h1", "key", (F.col("own") != F.col("most")).alias("home"))
+    left = more.groupBy("key").agg(F.ceil(F.count_if("home") / block).alias("hb"), F.greatest(F.ceil(F.count_if(~F.col("home")) / (4 * block)), F.lit(1)).alias("vb")).where("hb > 0")
+    more = stored(more.join(left, "key"), "near-more")
+    if not more.isEmpty():
+        found = components(stored(_met(more, full, k, percent), "near-links").unionByName(links))
+    released(classes, members, full)
     out = sets.select("id", "n").join(found, "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
