@@ -10,7 +10,8 @@ executors as bucket counts, so a long text is bounded by the number of buckets.
 
 Defined results: a null text or one without a letter gives 'und', score 0 and rejected true. Without any
 labelled row all texts give 'und'. Rows with null language, null id or fold 2 are never learned from. Every input
-row gives one output row; other input columns are ignored.
+row gives one output row, rows that share an id too (held_out is false for a null id); an empty table gives an empty
+result; other input columns are ignored or carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, slices
+from .common import carried, fold_of, held_out, restored, slices, with_fields
 
 BUCKETS, DIM = 1 << 16, 16
+RESULTS = ("held_out", "lang_pred", "score", "rejected")
 _LETTER = re.compile(r"[^\W\d_]")
 _SEP = np.ones(256, bool)
 _SEP[97:123] = False
@@ -121,21 +123,21 @@ def _fit(n_langs: int, rows: list[tuple], epochs: int, rate: float, reject: floa
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, epochs: int = 4, rate: float = 1.0, reject: float = 0.001, carry: bool = False) -> DataFrame:
     """id, held_out, lang_pred, score (calibrated confidence) and rejected for each document.
 
-    carry: return all input columns and the four instead, for use as a filter without a join.
+    carry: return all input columns and the four instead (input columns of these names are replaced).
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("fold", fold_of(F.col("id")))
+    known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).withColumn("fold", fold_of(F.col("id")))
     langs, rows = _sample(known, per_lang)
     model = spark.sparkContext.broadcast(_fit(len(langs), rows, epochs, rate, reject) if rows else None)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         columns = [np.ascontiguousarray(m["table"][:, k]) for k in range(len(langs))] if m else []
-        for b in slices(batches, "text_"):
+        for b in slices(batches, "text"):
             names, scores, rejected = [], [], []
-            for t in b.column("text_").to_pylist():
+            for t in b.column("text").to_pylist():
                 if not t or m is None or not _LETTER.search(t):
                     names.append("und"), scores.append(0.0), rejected.append(True)
                     continue
@@ -148,15 +150,10 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 p /= p.sum()
                 k = int(p.argmax())
                 names.append(langs[k]), scores.append(float(p[k])), rejected.append(bool(p[k] < m["least"]))
-            keep = [i for i, c in enumerate(b.schema.names) if c != "text_"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*(b.schema.names[i] for i in keep), "lang_pred_", "score_", "rejected_"])
-
-    held = (fold_of(F.col(id_col)) == 2).alias("held_out")
-    if carry:
-        source = docs.withColumn("text_", F.col(text_col).cast("string"))
-        kept = docs.columns
-    else:
-        source, kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_")), [id_col]
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept)
-    out = source.mapInArrow(predicted, f"{schema}, lang_pred_ string, score_ double, rejected_ boolean")
-    return out.select(*(F.col(f"`{c}`") for c in kept), held, F.col("lang_pred_").alias("lang_pred"), F.col("score_").alias("score"), F.col("rejected_").alias("rejected"))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["row", "lang_pred", "score", "rejected"])
+
+    kept = [c for c in docs.columns if c not in RESULTS] if carry else [id_col]
+    source = docs.select(carried(kept), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = source.mapInArrow(predicted, with_fields(source.schema["row"], ("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")))
+    held = held_out(F.col(f"row.`{kept.index(id_col) + 1}`")).alias("held_out")
+    return out.select(*restored(kept), held, "lang_pred", "score", "rejected")

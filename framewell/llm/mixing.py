@@ -28,11 +28,19 @@ M, K = 2147483647, 1327217885
 SMALL = 10_000  # source tables of up to so many rows are broadcast
 
 
+def source_key(source: Column) -> Column:
+    """Orders and tells apart sources; a null source comes last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
+
+
+def words_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """id, source, size, skey (orders sources, null last) and the md5 shuffle key."""
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    source = F.col(source_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), source.alias("source"), size.alias("size"), F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("skey"), F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("h"))
+    source = F.col(f"`{source_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), source.alias("source"), words_of(F.col(f"`{text_col}`")).alias("size"), source_key(source).alias("skey"), F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).cast("binary")).alias("h"))
 
 
 def targets(rows: DataFrame, cap: int = 3) -> DataFrame:
@@ -85,8 +93,11 @@ def schedule(shares: DataFrame, n_slots: int, small: bool) -> DataFrame:
     return out.select("slot", "skey", "rank", "n", at(F.col("rank")).alias("begin"), at(F.col("rank") + 1).alias("end"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, block_words: int = 1024) -> DataFrame:
-    """id, size, source_size, target, taken: how many of each document's words the mix takes, repeats counted."""
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, block_words: int = 1024, keyed: bool = False) -> DataFrame:
+    """id, size, source_size, target, taken: how many of each document's words the mix takes, repeats counted.
+
+    keyed: and skey, which tells sources apart (see source_key).
+    """
     rows = stored(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     n, words, n_sources = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.countDistinct("skey")).first()
     small = n_sources <= SMALL
@@ -110,4 +121,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     overlap = F.greatest(F.least("z", "q", hi) - F.greatest("a", "p", lo), F.lit(0))
     taken = both.groupBy("skey", "a", "size").agg(F.sum(overlap).alias("taken"))
     out = placed.join(taken, ["skey", "a", "size"], "left").join(by_source, "skey")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["skey"] if keyed else []))

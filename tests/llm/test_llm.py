@@ -34,11 +34,12 @@ def each_operator(docs, labels):
         "substring": substringdup.substring_dedup(docs),
         "pieces": pieces.decode(pieces.encode(docs)),
         "lang": langid.identify_language(docs, per_lang=20, epochs=1),
+        "lang carried": langid.identify_language(docs, per_lang=20, epochs=1, carry=True),
         "mix": mixing.mix_sources(docs),
     }
 
 
-CLASHING = ("label", "id", "k", "v", "h", "taken", "score", "found", "rejected", "piece_ids", "decoded", "cuts", "row", "n_lines", "component", "fold", "skey", "kept", "n", "spans", "copy")
+CLASHING = ("label", "id", "k", "v", "h", "taken", "score", "found", "rejected", "0", "piece_ids", "decoded", "cuts", "row", "n_lines", "component", "fold", "skey", "kept", "n", "spans", "copy", "row", "row_", "text_", "size_", "h1", "ats", "fp", "th", "pid", "lossless", "held_out", "lang_pred", "key", "drawer", "place", "own", "rep")
 
 
 def test_odd_rows_and_clashing_columns(spark):
@@ -386,7 +387,7 @@ def test_embeddings(spark):
     rows = [(i, (centres[i % 12] + 0.06 * rng.normal(size=16)).tolist(), i % 2) for i in range(300)]
     rows += [(300, rows[0][1], 0), (301, rows[0][1], None), (302, None, 0), (303, [0.0] * 16, 0), (304, [float("nan")] * 16, 0), (305, [None] * 16, 0), (306, [1.0, 2.0], 0), (307, [2.0, 4.0], 0), (308, [], 0)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r for r in vectordup.embedding_duplicates(d, cell_size=20, block=16).collect()}
+    got = {r.vec_id: r for r in vectordup.embedding_duplicates(d, cells=12, block=16).collect()}
     unit = {}
     for i, v, label in rows:
         if v and label is not None and all(a is not None and np.isfinite(a) for a in v) and any(v):
@@ -420,3 +421,32 @@ def test_pipeline_stages(spark):
     assert seen.where("not lossless").count() == 0 and seen.count() >= 25
     gone = {30, 31}
     assert not gone & {r.doc_id for r in seen.collect()}
+
+
+def test_pipeline_stages_with_odd_rows_and_names(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(3)
+    names = ("id", "taken", "takes", "size", "pid", "k", "row", "rejected", "score", "text_", "skey", "whole", "copy", "cuts")
+    rows = [(i % 20, words(rng, 40, 300), "en", f"s{i % 2}", None) for i in range(40)]
+    rows += [rows[0]] * 3 + [(None, words(rng, 60, 300), None, None, None), (None, None, "en", None, 1), (7, "", None, "s1", 0), (8, "a b c", "en", "s0", 5), (8, "d e f", "en", "s1", 5)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({n: F.lit(1) for n in names})
+    for name, stage in c.STAGES:
+        out = stage(spark, docs, "").collect()
+        assert len(out) > 0, name
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        if name != "pieces":
+            assert stage(spark, docs, "").columns == docs.columns
+
+
+def test_mix_gives_no_words_twice(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(5)
+    rows = [(1, words(rng, 10), "en", s, None) for s in ("a", "b", "c")] + [(2, words(rng, 7), "en", "a", None)] * 2 + [(i, words(rng, 20), "en", "abc"[i % 3], None) for i in range(3, 9)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = Counter()
+    for r in c.mix(spark, docs, "").collect():
+        got[r.source] += len(r.text.split())
+    want = {r.skey[1:]: r.target for r in mixing.mix_sources(docs, keyed=True).collect()}
+    assert all(abs(got[s] - t) <= 1 for s, t in want.items()) and set(got) == set(want)
