@@ -86,11 +86,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = _fingerprints(units)
     at = F.struct("pid", "th", "at")
     shared = marks.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("fp")
-    places = marks.join(shared, "fp", "left_semi").groupBy("pid", "th").agg(F.collect_set("at").alias("ats"))
-    windows = stored(_windows(units.join(places, ["pid", "th"])), "line-windows")
+    places = marks.join(shared.hint("merge"), "fp", "left_semi").groupBy("pid", "th").agg(F.collect_set("at").alias("ats"))
+    windows = stored(_windows(units.join(places.hint("merge"), ["pid", "th"])), "line-windows")
     start = F.struct("pid", "th", "start")
     earliest = windows.groupBy("h1", "h2").agg(F.min(start).alias("a"), F.max(start).alias("b")).where("a != b").select("h1", "h2", "a")
-    later = windows.join(earliest, ["h1", "h2"]).where(start != F.col("a")).select("pid", "th", "first", "last").distinct()
+    later = windows.join(earliest.hint("merge"), ["h1", "h2"]).where(start != F.col("a")).select("pid", "th", "first", "last").distinct()
     mine = Window.partitionBy("pid", "th").orderBy("first", "last")
     reach = F.max("last").over(mine.rowsBetween(Window.unboundedPreceding, -1))
     new = (reach.isNull() | (F.col("first") > reach + 1)).cast("int")
@@ -98,7 +98,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = runs.groupBy("pid", "th", "run").agg(F.min("first").alias("p"), F.max("last").alias("q"))
     cuts = stored(runs.groupBy("pid", "th").agg(F.sort_array(F.collect_list(F.struct("p", "q"))).alias("cuts")), "line-cuts")
     released(units, windows)
-    both = whole.join(cuts, ["pid", "th"], "left")
+    both = whole.join(cuts.hint("merge"), ["pid", "th"], "left")
     return both.select(*_result(kept_cols, other, text_col))
 
 
