@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..functions.storage import written
 
 
 def distributed_rank(rows: DataFrame, order: list[str], bucket: Column, name: str = "rank", within: list[str] | None = None) -> DataFrame:
@@ -66,44 +67,95 @@ def staged_names(images: DataFrame) -> DataFrame:
     return images.withColumn("staged_name", F.when(k == 0, F.col("file_name")).otherwise(F.concat(fn.stem(F.col("file_name")), F.lit("-"), k.cast("string"), ext)))
 
 
+def spread_bucket(rows: DataFrame, column: str, cuts: int = 64) -> Column:
+    """A bucket number that does not fall as the column rises, by at most `cuts` of its values, drawn by hash."""
+    drawn = rows.select(column).where(F.col(column).isNotNull()).distinct().orderBy(F.xxhash64(column), column).limit(cuts).collect()
+    if not drawn:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(r[0]) for r in drawn]), lambda x: x <= F.col(column))), F.lit(0))
+
+
+def _name_families(names: DataFrame, group: list[str]) -> DataFrame | None:
+    """group, file_name, root of names that can meet each other's new names; None where there are none.
+
+    names: distinct names with n, their rows. A name 'a-3.jpg' can meet the new names of 'a.jpg' only if that one is
+    repeated (or displaced itself) often enough to get that far: 3 is at most its rows and the names of that form.
+    """
+    stem, ext = fn.stem(F.col("file_name")), F.regexp_extract("file_name", r"(?<=.)(\.[^.]*)$", 1)
+    form = r"^(.+)-([1-9][0-9]{0,8})$"
+    child = names.where(stem.rlike(form)).select(*group, F.col("file_name").alias("child"), F.concat(F.regexp_extract(stem, form, 1), ext).alias("file_name"), F.regexp_extract(stem, form, 2).cast("long").alias("k"))
+    both = [*group, "file_name"]
+    pairs = child.join(names, both)
+    pairs = pairs.join(pairs.groupBy(*both).agg(F.count("*").alias("c")), both).where(F.col("k") <= F.col("n") + F.col("c"))
+    pairs = written(pairs.select(*both, "child"), "name-pairs")
+    if pairs.isEmpty():
+        return None
+    live = names.where("n > 1").select(*both)
+    if pairs.join(live, both, "left_semi").isEmpty():
+        return None
+    while True:  # as often as names have such endings one after the other
+        more = written(pairs.join(live, both, "left_semi").select(*group, F.col("child").alias("file_name")).join(live, both, "left_anti"), "names-more")
+        if more.isEmpty():
+            break
+        live = written(live.unionByName(more).distinct(), "names-live")
+    edges = written(pairs.join(live, both, "left_semi"), "name-edges")
+    level = live.join(edges.select(*group, F.col("child").alias("file_name")), both, "left_anti").withColumn("root", F.col("file_name"))
+    out = level
+    while True:
+        level = written(edges.join(level, both).select(*group, F.col("child").alias("file_name"), "root"), "names-level")
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+
+
 def unique_names(images: DataFrame, order: str = "image_id", group: list[str] | None = None) -> DataFrame:
     """A name of its own for each row of a group, in order: a taken name gets -k with the smallest k not taken before.
 
-    New names only ever end in -k, so rows whose stems agree without such endings form closed families; families
-    without a repeated name keep theirs and leave the cluster's Python workers alone.
+    Names that no new name can meet are numbered by rank, in buckets of the order, so a name that very many rows have is
+    shared by tasks. Only families of names that do meet (see _name_families) are folded in order, a family a task.
+    A null name stays null; of rows with equal order any may come first.
     """
     group = group or []
+    images = written(images, "names")
     ext = F.regexp_extract("file_name", r"(?<=.)(\.[^.]*)$", 1)
-    family = F.concat(F.regexp_replace(fn.stem(F.col("file_name")), r"(-\d+)+$", ""), F.lit("|"), ext)
-    rows = images.withColumn("family_", family)
-    repeated = rows.groupBy(*group, "file_name", "family_").agg(F.count("*").alias("n")).where("n > 1").select(*group, "family_").distinct()
-    keys = [*group, "family_"]
-    calm = rows.join(repeated, keys, "left_anti").withColumn("unique_name", F.col("file_name"))
-    part = rows.join(repeated, keys, "left_semi")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema) + ", unique_name string"
-    columns = part.columns
-
-    def fold(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        taken: set[str] = set()
-        last: dict[str, int] = {}
-        names = []
-        for name in pdf["file_name"]:
-            new = name
-            if new in taken:
-                head, dot, tail = name.rpartition(".")
-                head, tail = (head, dot + tail) if head else (name, "")
-                k = last.get(name, 0)
-                while new in taken:
-                    k += 1
-                    new = f"{head}-{k}{tail}"
-                last[name] = k
-            taken.add(new)
-            names.append(new)
-        return pdf[columns].assign(unique_name=names)
-
-    folded = part.groupBy(*keys).applyInPandas(fold, schema)
-    return calm.select(*columns, "unique_name").unionByName(folded).drop("family_")
+    key = [*group, "file_name"]
+    names = written(images.where("file_name is not null").groupBy(*key).agg(F.count("*").alias("n")), "names-counted")
+    families = _name_families(names, group)
+    rest, folded = images, None
+    if families is not None:
+        families = written(families, "name-families")
+        met = families.join(families.groupBy(*group, "root").agg(F.count("*").alias("size_")).where("size_ > 1").select(*group, "root"), [*group, "root"])
+        rest = images.join(met.select(*key), key, "left_anti")
+        part = images.join(met, key)
+        columns = images.columns
+
+        def fold(pdf):
+            pdf = pdf.sort_values(order, kind="stable")
+            taken: set[str] = set()
+            last: dict[str, int] = {}
+            new_names = []
+            for name in pdf["file_name"]:
+                new = name
+                if new in taken:
+                    head, dot, tail = name.rpartition(".")
+                    head, tail = (head, dot + tail) if head else (name, "")
+                    k = last.get(name, 0)
+                    while new in taken:
+                        k += 1
+                        new = f"{head}-{k}{tail}"
+                    last[name] = k
+                taken.add(new)
+                new_names.append(new)
+            return pdf[columns].assign(unique_name=new_names)
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema) + ", unique_name string"
+        folded = part.groupBy(*group, "root").applyInPandas(fold, schema)
+    twice = rest.join(names.where("n > 1").select(*key), key, "left_semi")
+    once = rest.join(names.where("n > 1").select(*key), key, "left_anti").withColumn("unique_name", F.col("file_name"))
+    ranked = distributed_rank(twice, [order], spread_bucket(images, order), "k_", key)
+    new = F.when(F.col("k_") == 1, F.col("file_name")).otherwise(F.concat(fn.stem(F.col("file_name")), F.lit("-"), (F.col("k_") - 1).cast("string"), ext))
+    out = once.unionByName(ranked.withColumn("unique_name", new).select(*once.columns))
+    return (out if folded is None else out.unionByName(folded)).select(*images.columns, "unique_name")
 
 
 def resolve_conflicts(images: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -34,6 +34,37 @@ def add_source(sources: DataFrame, new: DataFrame) -> DataFrame:
     return sources.unionByName(new.join(sources.select("path"), "path", "left_anti").select(*sources.columns))
 
 
+def rescan_source(sources: DataFrame, tables: dict[str, DataFrame], source_id: str, scan: dict[str, DataFrame], status: str = "ready") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Sources with the counts and status of a new scan of one of them, and tables with its rows replaced.
+
+    tables, scan: images, categories and annotations, maybe mappings; mappings of the source go with its categories. The
+    status is 'warning' where an image of the scan is corrupted. A source that is not there is an error.
+    """
+    if sources.where(F.col("source_id") == source_id).isEmpty():
+        raise ValueError(f"no source {source_id}")
+    old = remove_source(tables, source_id)
+    new = {k: old[k].unionByName(scan[k], allowMissingColumns=True) if k in scan else old[k] for k in tables}
+    counts = scan["images"].agg(F.count("*").alias("image_count_"), F.count_if(F.col("health_status") == "corrupted").alias("bad_")).crossJoin(scan["categories"].agg(F.count("*").alias("category_count_")))  # one row each
+    mine = F.col("source_id") == source_id
+    known = evolve_schema(sources, {"image_count": 0, "category_count": 0, "status": status})
+    rows = known.crossJoin(F.broadcast(counts))
+    fresh = {"image_count": F.col("image_count_"), "category_count": F.col("category_count_"), "status": F.when(F.col("bad_") > 0, "warning").otherwise(status)}
+    return rows.select(*(F.when(mine, fresh[c]).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in known.columns)), new
+
+
+def write_embeddings(table: DataFrame, new: DataFrame) -> DataFrame:
+    """Vectors by (scope, target_id, model_id), each with its norm; a new vector replaces the old one of its key."""
+    key = ["scope", "target_id", "model_id"]
+    fresh = new.withColumn("vector_norm", fn.l2_norm(F.col("vector")))
+    return table.join(fresh.select(*key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def sample_members(sets: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """image_id and trigger_object_id (null where an image came in as such) of the selected images of a named set."""
+    own = sets.where(F.col("name") == name).select("sample_set_id")
+    return members.join(own, "sample_set_id", "left_semi").where("membership = 'selected'").select("image_id", "trigger_object_id")
+
+
 def evolve_schema(table: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Columns that are missing are added, and nulls in them filled, with the defaults."""
     out = table

@@ -1,6 +1,9 @@
 """Vectors: norms, projections, neighbours and outliers.
 
-Tables of vectors have target_id and vector (array of float) among their columns.
+Tables of vectors have target_id and vector (array of float) among their columns. In projections and neighbours, rows
+with a null vector are left out, null components count as 0, and shorter vectors are filled up with zeros to the
+longest one's length. Repeated rows count each; rows with equal ids are not each other's neighbours. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from ..functions import scalars as fn
 # FNV-1a 64 offset and prime, and the splitmix64 increment and multipliers.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 SPLITMIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-_ALL = (1 << 64) - 1
 
 
 def vector_norm(vectors: DataFrame) -> DataFrame:
@@ -44,12 +46,15 @@ def _stir(z: np.ndarray) -> np.ndarray:
 
 def hash_points(texts: list[str]) -> np.ndarray:
     """Two coordinates in [-1, 1] for each text, from its FNV-1a hash stirred once and twice."""
-    h = np.empty(len(texts), np.uint64)
-    for i, t in enumerate(texts):
-        x = FNV_OFFSET
-        for byte in t.encode():
-            x = ((x ^ byte) * FNV_PRIME) & _ALL
-        h[i] = x
+    raw = [t.encode() for t in texts]
+    sizes = np.array([len(r) for r in raw], np.int64)
+    at = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    h = np.full(len(texts), FNV_OFFSET, np.uint64)
+    live = np.arange(len(texts))
+    for k in range(int(sizes.max()) if len(sizes) else 0):  # one place of all texts after the other
+        live = live[sizes[live] > k]
+        h[live] = (h[live] ^ data[at[live] + k]) * np.uint64(FNV_PRIME)
     first = _stir(h)
     second = _stir(first)
     return np.stack([(v >> np.uint64(11)).astype(np.float64) / (1 << 53) * 2 - 1 for v in (first, second)], 1)
@@ -66,25 +71,33 @@ def bootstrap_projection(items: DataFrame, scope: str, model: str) -> DataFrame:
     return p.select("target_id", F.lit("bootstrap-deterministic").alias("projection_method"), "p.x", "p.y")
 
 
+def filled(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """Vectors of one length as doubles (see the module's text), and that length."""
+    some = vectors.where("vector is not null")
+    d = some.agg(F.coalesce(F.max(F.size("vector")), F.lit(0))).first()[0]
+    known = F.transform("vector", lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    return some.withColumn("vector", F.concat(known, F.array_repeat(F.lit(0.0), F.lit(d) - F.size("vector")))), d
+
+
 def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, mean and d x d scatter about the mean, from sums of every partition; only d * d numbers reach the driver."""
 
+    vectors, d = filled(vectors)
+
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total = 0, None
+        total = None
         for b in batches:
             if len(b):
                 x = np.stack([np.asarray(v, np.float64) for v in b["vector"]])
                 x = np.concatenate([x, np.ones((len(x), 1))], 1)
                 total = x.T @ x if total is None else total + x.T @ x
-                n += len(x)
-        if n:
+        if total is not None:
             i, j = np.indices(total.shape)
             yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
 
     rows = vectors.select("vector").mapInPandas(sums, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
     if rows.empty:
         return 0, np.zeros(0), np.zeros((0, 0))
-    d = int(rows["i"].max())
     g = np.zeros((d + 1, d + 1))
     g[rows["i"], rows["j"]] = rows["s"]
     n = round(g[d, d])
@@ -94,6 +107,7 @@ def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 def pca_2d(vectors: DataFrame, rounds: int = 32) -> DataFrame:
     """x and y in [-1, 1] along the two main directions, by power iterations on the scatter matrix."""
+    vectors, _ = filled(vectors)
     n, mean, g = moments(vectors)
     found: list[np.ndarray] = []
     for _ in range(2):
@@ -122,7 +136,7 @@ def pca_2d(vectors: DataFrame, rounds: int = 32) -> DataFrame:
 
 def pca_denoise(vectors: DataFrame, k: int = 50) -> DataFrame:
     """Unit vectors reduced to k main directions and brought to length 1 again; unchanged unless n and d exceed k."""
-    unit = vectors.withColumn("vector", fn.l2_normalize(F.col("vector")))
+    unit = filled(vectors)[0].withColumn("vector", fn.l2_normalize(F.col("vector")))
     n, mean, g = moments(unit)
     if n <= k or len(mean) <= k:
         return unit
@@ -140,38 +154,46 @@ def pca_denoise(vectors: DataFrame, k: int = 50) -> DataFrame:
     return unit.mapInPandas(reduced, ", ".join(f"`{c}` {k}" for c, k in unit.dtypes))
 
 
-def block_pairs(vectors: DataFrame, block: int, meet: Callable, schema: str) -> DataFrame:
+def block_pairs(vectors: DataFrame, block: int, meet: Callable, schema: str, others: DataFrame | None = None) -> DataFrame:
     """meet(ids, matrix, other ids, other matrix) of every two blocks of unit vectors, each in a task of its own.
 
-    Blocks hold about `block` vectors, so memory is bounded and the work is that of an exact comparison.
+    others: the vectors of the other side, the same ones unless given. Blocks hold about `block` vectors, so memory is
+    bounded and the work is that of an exact comparison. A block travels as one row with its vectors in one array.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    unit = vectors.select("target_id", fn.l2_normalize(F.col("vector")).alias("v"), F.pmod(F.xxhash64("target_id"), F.lit(blocks)).alias("own"))
-    left = unit.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"), F.lit(0).alias("side")).withColumnRenamed("own", "p")
-    right = unit.select("target_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p"), F.col("own").alias("q"), F.lit(1).alias("side"))
-
-    def both(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0].sort_values("target_id"), pdf[pdf["side"] == 1].sort_values("target_id")
-        if a.empty or b.empty:
+    sides = [filled(v) for v in ([vectors] if others is None else [vectors, others])]
+    width = max(d for _, d in sides)
+    packed = []
+    for v, d in sides:
+        blocks = max(1, -(-v.count() // block))
+        longer = F.concat("vector", F.array_repeat(F.lit(0.0), width - d))
+        unit = v.select("target_id", fn.l2_normalize(longer).alias("v"), F.pmod(F.xxhash64("target_id"), F.lit(blocks)).alias("own"))
+        rows = unit.groupBy("own").agg(F.array_sort(F.collect_list(F.struct("target_id", "v"))).alias("m"))
+        packed.append((rows.select("own", F.transform("m", lambda x: x["target_id"]).alias("ids"), F.flatten(F.transform("m", lambda x: x["v"])).alias("flat")), blocks))
+    (left, n), (right, m) = packed[0], packed[-1]
+    left = left.select(F.col("own").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("q"), F.col("ids").alias("a"), F.col("flat").alias("x"))
+    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"), F.col("own").alias("q"), F.col("ids").alias("b"), F.col("flat").alias("y"))
+
+    def both(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+        if l.empty or r.empty:
             return meet(np.array([], object), np.zeros((0, 1)), np.array([], object), np.zeros((0, 1)))
-        return meet(a["target_id"].to_numpy(), np.stack(a["v"]), b["target_id"].to_numpy(), np.stack(b["v"]))
+        a, b = np.asarray(l["a"].iloc[0], object), np.asarray(r["b"].iloc[0], object)
+        return meet(a, np.asarray(l["x"].iloc[0], np.float64).reshape(len(a), -1), b, np.asarray(r["y"].iloc[0], np.float64).reshape(len(b), -1))
 
-    return left.select("target_id", "v", "p", "q", "side").unionByName(right).groupBy("p", "q").applyInPandas(both, schema)
+    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(both, schema)
 
 
 def knn_cosine(vectors: DataFrame, k: int = 15, block: int = 2048) -> DataFrame:
     """target_id, neighbour, distance and rank: exact cosine neighbours but for the vector itself."""
 
     def meet(a, x, b, y):
-        rows = []
-        if len(a):
-            d = 1 - x @ y.T
-            d[a[:, None] == b[None, :]] = np.inf
-            top = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :k]
-            for i in range(len(a)):
-                rows += [(a[i], b[j], max(float(d[i, j]), 0.0)) for j in top[i] if np.isfinite(d[i, j])]
-        return pd.DataFrame(rows, columns=["target_id", "neighbour", "distance"])
+        if not len(a):
+            return pd.DataFrame({"target_id": [], "neighbour": [], "distance": []})
+        d = 1 - x @ y.T
+        d[a[:, None] == b[None, :]] = np.inf
+        top = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :k]
+        near = np.maximum(np.take_along_axis(d, top, 1), 0)
+        ok = np.isfinite(near)
+        return pd.DataFrame({"target_id": np.repeat(a, ok.sum(1)), "neighbour": b[top[ok]], "distance": near[ok]})
 
     near = block_pairs(vectors, block, meet, "target_id string, neighbour string, distance double")
     order = Window.partitionBy("target_id").orderBy(F.round("distance", 12), "neighbour")
@@ -255,6 +277,7 @@ def embedding_items(annotations: DataFrame, images: DataFrame, scope: str, healt
     return annotations.select(F.col("annotation_id").alias("target_id"), "image_id", "annotation_format", *box).join(pics.select("image_id", "original_path", "width", "height"), "image_id")
 
 
+# Fixed values of the mock encoder: sha256, its first eight bytes little-endian, numpy's default generator.
 def mock_encoder(dim: int = 32) -> Callable[[list[str], np.ndarray | None], np.ndarray]:
     """Vectors that depend on the target alone: sha256 of its id seeds a standard normal draw."""
     import hashlib

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators.ranking import distributed_rank, staged_names
+from ..operators.tables import evolve_schema
+from ..operators.ranking import distributed_rank, spread_bucket, staged_names
 
 BOX = tuple(f"bbox_{c}" for c in ("x", "y", "width", "height"))
 
@@ -37,8 +38,11 @@ def coco_rows(rows: DataFrame, scope: str = "per_split") -> tuple[DataFrame, Dat
     return pics.select("split", "id", F.col("unique_name").alias("file_name"), "width", "height"), boxes, cats
 
 
-def write_coco(rows: DataFrame, path: str, scope: str = "per_split", sharded: bool = False) -> None:
-    """<split>/_annotations.coco.json parts below path: one document a split, or JSON lines by table for large splits."""
+def write_coco(rows: DataFrame, path: str, scope: str = "per_split", sharded: bool = True) -> None:
+    """COCO data below path: <table>/split=<split> as JSON lines, by table, for splits of any size.
+
+    sharded=False: one document a split below split=<split>, for readers that need one; a split must fit in a task.
+    """
     pics, boxes, cats = coco_rows(rows, scope)
     cats = cats.select("split", F.col("class_id").alias("id"), "name", F.lit("object").alias("supercategory"))
     if sharded:
@@ -108,7 +112,7 @@ def copy_images(files: DataFrame, root: str) -> None:
 def subset_coco(images: DataFrame, boxes: DataFrame, categories: DataFrame, selected: DataFrame, by: str = "file_name") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Images whose name (or id) is selected, with boxes and categories numbered anew; categories are one by exact name."""
     pics = images.join(selected.select(by).distinct(), by, "left_semi")
-    pics = distributed_rank(pics, ["file_name", "image_id"], F.substring(F.col("file_name"), 1, 2), "new_id")
+    pics = distributed_rank(pics, ["file_name", "image_id"], spread_bucket(pics, "file_name"), "new_id")
     cats = categories.groupBy("name").agg(F.min("category_id").alias("first")).withColumn("class_id", F.row_number().over(Window.orderBy("name")))
     named = categories.select("category_id", "name").join(cats.select("name", "class_id"), "name")
     rows = boxes.join(pics.select("image_id", F.col("new_id").alias("image_no")), "image_id").join(named.select(F.col("category_id").alias("source_category_id"), "class_id"), "source_category_id")
@@ -129,6 +133,11 @@ def append_job(spark: SparkSession, path: str, fmt: str, output: str, images: in
     row.write.mode("append").parquet(path)
 
 
+def export_history(jobs: DataFrame) -> DataFrame:
+    """All recorded exports, newest first; jobs of before the counts were kept have 0."""
+    return evolve_schema(jobs, {"exported_images": 0, "exported_boxes": 0}).orderBy(F.col("created_at").desc(), "job_id")
+
+
 def write_sample_set(members: DataFrame, path: str, name: str, overwrite: bool = True) -> None:
     """Members of a named set as one partition; without overwrite an existing set is an error."""
     rows = members.withColumn("sample_set", F.lit(name))

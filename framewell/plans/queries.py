@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import TABLES, VIEWS, table, with_views
 from ..functions import scalars as fn
+from ..functions.storage import shared, written
 from ..operators import analysis, browse, ranking, sampling, scope, tables, validate, vectors
 from ..sources import coco, files, yolo
 from ..streaming import jobs
@@ -55,12 +54,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one; a temporary one where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def flat(df: DataFrame, places: int = 6) -> DataFrame:
     """Arrays as text and doubles rounded, for comparison between engines."""
     kinds = dict(df.dtypes)
@@ -92,6 +85,14 @@ MARKS = """m AS (SELECT m.scope, m.target_id, m.status FROM (SELECT *, row_numbe
 gone_images AS (SELECT target_id FROM m WHERE scope = 'image' AND status = 'exclude'), gone_boxes AS (SELECT target_id FROM m WHERE scope = 'object' AND status = 'exclude')"""
 SPLIT = """pics AS (SELECT DISTINCT image_id, file_name FROM boxes), ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || image_id), image_id) AS position, count(*) OVER () AS total FROM pics),
 splits AS (SELECT image_id, file_name, position, CASE WHEN position <= CAST(floor(total * 0.7 / 1.0) AS BIGINT) THEN 'train' WHEN position <= CAST(floor(total * 0.7 / 1.0) AS BIGINT) + CAST(floor(total * 0.15 / 1.0) AS BIGINT) THEN 'valid' ELSE 'test' END AS split FROM ranked)"""
+#: The export plan: boxes without exclusions, with split, position and a name of its own in its split for each image.
+#: No given file name ends in -<n> after the stem of a repeated one, so the rank among equal names is the suffix.
+SUFFIX = r"CASE WHEN k = 0 THEN file_name ELSE regexp_replace(file_name, '\.[^.]*$', '') || '-' || k || regexp_extract(file_name, '\.[^.]*$') END"
+PLAN = f"""{BOXES}, {MARKS}, kept AS (SELECT * FROM boxes WHERE image_id NOT IN (SELECT target_id FROM gone_images) AND annotation_id NOT IN (SELECT target_id FROM gone_boxes)),
+{SPLIT.replace('FROM boxes', 'FROM kept')}, named AS (SELECT *, row_number() OVER (PARTITION BY split, file_name ORDER BY position) - 1 AS k FROM splits),
+plan AS (SELECT b.*, n.split, n.position, {SUFFIX.replace('file_name', 'n.file_name').replace('k = 0', 'n.k = 0').replace('|| k', '|| n.k')} AS unique_name FROM kept b JOIN named n ON n.image_id = b.image_id)"""
+NUMBERED = f"""{PLAN}, pn AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY position) AS id FROM (SELECT DISTINCT split, image_id, position, unique_name, width, height FROM plan)),
+an AS (SELECT p.*, pn.id AS image_no, row_number() OVER (PARTITION BY p.split ORDER BY pn.id, p.annotation_id) AS id FROM plan p JOIN pn ON pn.split = p.split AND pn.image_id = p.image_id)"""
 SCOPED = "i.image_id IN (SELECT image_id FROM v_images WHERE month(created_at) <= 4)"
 
 
@@ -309,7 +310,7 @@ def _(t: Tables) -> DataFrame:
     return ranking.staged_names(t.images).select("image_id", "staged_name")
 
 
-@query("rnk3_unique_names")
+@query("rnk3_unique_names", f"WITH n AS (SELECT image_id, file_name, row_number() OVER (PARTITION BY file_name ORDER BY image_id) - 1 AS k FROM v_images) SELECT image_id, file_name, {SUFFIX} AS unique_name FROM n")
 def _(t: Tables) -> DataFrame:
     return ranking.unique_names(t.images).select("image_id", "file_name", "unique_name")
 
@@ -395,10 +396,10 @@ def _(t: Tables) -> DataFrame:
 
 
 # --- sets and functions -------------------------------------------------------------------------------------
-@query("set1_union_splits", f"WITH {BOXES}, {SPLIT} SELECT image_id FROM splits")
+@query("set1_union_splits", "SELECT image_id, 'images' AS split FROM v_images WHERE annotation_status = 'unannotated' UNION ALL SELECT DISTINCT image_id, 'objects' FROM v_embeddings UNION ALL SELECT DISTINCT target_id, 'marks' FROM v_review_updates WHERE scope = 'image'")
 def _(t: Tables) -> DataFrame:
-    s = ranking.seeded_split(t.boxes.select("image_id", "file_name").distinct(), 42).select("image_id", "split")
-    return s.where("split = 'train'").unionByName(s.where("split <> 'train'")).select("image_id")
+    parts = [t.images.where("annotation_status = 'unannotated'").select("image_id", F.lit("images").alias("split")), t.embeddings.select("image_id").distinct().withColumn("split", F.lit("objects")), t.review_updates.where("scope = 'image'").select(F.col("target_id").alias("image_id")).distinct().withColumn("split", F.lit("marks"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("set2_differences", "SELECT image_id AS key, 'missing' AS side FROM v_images WHERE image_id NOT IN (SELECT image_id FROM v_annotations) UNION ALL SELECT DISTINCT target_id, 'extra' FROM v_review_updates WHERE scope = 'object' AND target_id NOT IN (SELECT image_id FROM v_images)")
@@ -448,9 +449,20 @@ def _(t: Tables) -> DataFrame:
     return flat(vectors.vector_norm(t.embeddings).select("target_id", F.col("vector_norm").alias("norm")))
 
 
-@query("fn8_hash_points")
+def _stirred(z: str) -> str:
+    """One splitmix64 step of an unsigned 64-bit number, in SQL."""
+    wide = lambda x: f"CAST(CAST({x} AS UHUGEINT) % 18446744073709551616 AS UBIGINT)"
+    shift = lambda x, k: f"xor({x}, {x} >> {k})"
+    a = wide(f"CAST({z} AS UHUGEINT) + 11400714819323198485")
+    return f"(SELECT {shift('c', 31)} FROM (SELECT {wide(f'CAST({shift(chr(98), 27)} AS UHUGEINT) * 10723151780598845931')} AS c FROM (SELECT {wide(f'CAST({shift(chr(97), 30)} AS UHUGEINT) * 13787848793156543929')} AS b FROM (SELECT {a} AS a))))"
+
+
+@query("fn8_hash_points", f"""WITH t AS (SELECT target_id, 'object:clip-64:' || target_id AS x FROM v_embeddings),
+h AS (SELECT target_id, CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(range(1, length(x) + 1), lambda i: CAST(ascii(x[i]) AS UHUGEINT))), lambda s, b: (xor(s, b) * CAST(1099511628211 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT)) AS UBIGINT) AS h FROM t),
+p AS (SELECT target_id, {_stirred('h')} AS p FROM h), q AS (SELECT target_id, p, {_stirred('p')} AS q FROM p)
+SELECT target_id, 'bootstrap-deterministic' AS projection_method, round(CAST(p >> 11 AS DOUBLE) / 9007199254740992 * 2 - 1, 9) AS x, round(CAST(q >> 11 AS DOUBLE) / 9007199254740992 * 2 - 1, 9) AS y FROM q""")
 def _(t: Tables) -> DataFrame:
-    return vectors.bootstrap_projection(t.embeddings, "object", "clip-64")
+    return flat(vectors.bootstrap_projection(t.embeddings, "object", "clip-64"), 9)
 
 
 # --- vectors and sampling -----------------------------------------------------------------------------------
@@ -506,7 +518,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("vec4_pca_denoise")
 def _(t: Tables) -> DataFrame:
-    return vectors.pca_denoise(t.embeddings, 16).select("target_id", F.size("vector").alias("dim"), F.round(fn.l2_norm(F.col("vector")), 6).alias("norm"))
+    return vectors.pca_denoise(t.embeddings, 16).select("target_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query("vec9_select_balanced")
@@ -529,10 +541,33 @@ def _(t: Tables) -> DataFrame:
     return flat(sampling.coverage_quality(t.embeddings, t.embeddings.where("category_id in ('class-1', 'class-4')")))
 
 
+RANDOM = "rs AS (SELECT target_id FROM v_embeddings ORDER BY md5('42:' || target_id), target_id LIMIT (SELECT count(*) FROM v_embeddings WHERE category_id IN ('class-1', 'class-4')))"
+
+
+@query("vec13_against_random", f"""WITH v AS (SELECT target_id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS e, category_id FROM v_embeddings), {RANDOM},
+a AS (SELECT v.target_id, max(list_cosine_similarity(v.e, s.e)) AS best FROM v JOIN v s ON s.category_id IN ('class-1', 'class-4') GROUP BY 1), b AS (SELECT v.target_id, max(list_cosine_similarity(v.e, s.e)) AS best FROM v JOIN v s ON s.target_id IN (SELECT target_id FROM rs) GROUP BY 1)
+SELECT round((SELECT avg(best) FROM a), 6) AS selected, round((SELECT avg(best) FROM b), 6) AS random, round((SELECT avg(best) FROM a) - (SELECT avg(best) FROM b), 6) AS gain""")
+def _(t: Tables) -> DataFrame:
+    return flat(sampling.quality_against_random(t.embeddings, t.embeddings.where("category_id in ('class-1', 'class-4')")))
+
+
+@query("vec13_class_shift", f"""WITH {RANDOM}, n AS (SELECT category_id AS class_id, count(*) AS b, count(rs.target_id) AS a FROM v_embeddings v LEFT JOIN rs ON rs.target_id = v.target_id GROUP BY 1)
+SELECT class_id, round(b / (SELECT sum(b) FROM n), 6) AS share_before, round(a / (SELECT sum(a) FROM n), 6) AS share_after, round(a / (SELECT sum(a) FROM n) - b / (SELECT sum(b) FROM n), 6) AS shift FROM n""")
+def _(t: Tables) -> DataFrame:
+    n = t.embeddings.where("category_id in ('class-1', 'class-4')").count()
+    return flat(sampling.class_shift(t.embeddings.select("target_id", F.col("category_id").alias("class_id")), sampling.random_sample(t.embeddings, n)))
+
+
+@query("vec11_members", "WITH o AS (SELECT image_id, target_id, CAST(replace(target_id, 'obj-', '') AS BIGINT) AS n FROM v_embeddings), c AS (SELECT image_id, arg_min(target_id, n) AS trigger_object_id FROM o WHERE n % 3 = 0 GROUP BY 1) SELECT image_id, trigger_object_id, 'selected' AS membership FROM c UNION ALL SELECT image_id, NULL, 'outlier-excluded' FROM o WHERE image_id NOT IN (SELECT image_id FROM c) GROUP BY 1 HAVING bool_and(n % 5 < 3)")
+def _(t: Tables) -> DataFrame:
+    o = t.embeddings.select("image_id", "target_id", F.regexp_extract("target_id", r"(\d+)$", 1).cast("long").alias("pick"))
+    return sampling.members(o.where("pick % 3 = 0"), o.withColumn("is_outlier", F.col("pick") % 5 < 3)).select("image_id", "trigger_object_id", "membership")
+
+
 @query("vec14_embed")
 def _(t: Tables) -> DataFrame:
     v = vectors.embed(vectors.embedding_items(t.annotations, t.images, "image"), lambda: vectors.mock_encoder(16))
-    return v.select("target_id", F.round("vector_norm", 6).alias("norm"), F.size("vector").alias("dim"))
+    return v.select("target_id", "vector", "vector_norm")
 
 
 POINTS = f"""{LATEST}, o AS (SELECT 'object' AS scope, 'obj-' || vec_id AS target_id, 'img-' || CAST(floor(vec_id / 2) AS BIGINT) AS image_id FROM embeddings),
@@ -631,12 +666,16 @@ def _(t: Tables) -> DataFrame:
     return flat(analysis.balance_preview(t.boxes, analysis.cap_majority(t.boxes, 7, 0.5)))
 
 
-@query("ana11_risk_issues")
+@query("ana11_risk_issues", f"""WITH {BOXES}, c AS (SELECT export_key, count(*) AS n FROM boxes GROUP BY 1), o AS (SELECT export_key, source_id, count(*) AS n FROM boxes GROUP BY ALL), p AS (SELECT DISTINCT image_id, export_key FROM boxes), pn AS (SELECT export_key, count(*) AS n FROM p GROUP BY 1),
+pp AS (SELECT a.export_key, count(*) AS n FROM p a JOIN p b ON a.image_id = b.image_id AND a.export_key <> b.export_key GROUP BY a.export_key, b.export_key)
+SELECT DISTINCT 'P0' AS level, 'corrupted images' AS rule, source_id AS subject FROM v_images WHERE health_status = 'corrupted' UNION ALL SELECT 'P1', 'rare class', export_key FROM c WHERE n < 20
+UNION ALL SELECT 'P2', 'imbalanced class', export_key FROM c WHERE (SELECT max(n) FROM c) / n > 1.05 UNION ALL SELECT 'P2', 'one source dominates', export_key FROM o GROUP BY 1, 2, 3 HAVING max(n) / sum(n) > 0.06
+UNION ALL SELECT 'P3', 'shortcut by co-occurrence', pp.export_key FROM pp JOIN pn ON pn.export_key = pp.export_key GROUP BY pp.export_key, pn.n HAVING max(pp.n) / pn.n > 0.9""")
 def _(t: Tables) -> DataFrame:
-    return analysis.risk_issues(t.boxes, t.images)
+    return analysis.risk_issues(t.boxes, t.images, imbalance=1.05, share=0.06)
 
 
-@query("ana12_resolve_conflicts")
+@query("ana12_resolve_conflicts", f"WITH c AS (SELECT *, count(*) OVER (PARTITION BY file_name) AS c FROM v_images), n AS (SELECT image_id, file_name, row_number() OVER (PARTITION BY file_name ORDER BY image_id) - 1 AS k FROM c WHERE c = 1 OR c % 2 = 1) SELECT image_id, file_name, {SUFFIX} AS unique_name FROM n")
 def _(t: Tables) -> DataFrame:
     skip = ranking.filename_conflicts(t.images).where("items % 2 = 0").select("file_name", F.lit(None).cast("string").alias("image_id"), F.lit("skip").alias("action"), F.lit(None).cast("string").alias("new_name"))
     return ranking.resolve_conflicts(t.images.select("image_id", "file_name"), skip)
@@ -655,69 +694,89 @@ def _(t: Tables) -> DataFrame:
 # --- files: datasets that Spark derives from the tables, written to the shared folder and read back --------------------
 def _export_rows(t: Tables) -> DataFrame:
     """The export plan, written once as a table, as the writers read it several times."""
-    at = shared(t.spark, "export-rows")
-    dataset.plan_export(t.boxes, _marks(t), 42).write.parquet(at)
-    return t.spark.read.parquet(at)
+    return written(dataset.plan_export(written(t.boxes, "boxes"), _marks(t), 42), "export-rows")
+
 
+def _json_tables(t: Tables, at: str) -> list[DataFrame]:
+    return [t.spark.read.json(f"{at}/{n}") for n in ("images", "annotations", "categories")]
 
-@query("snk1_write_coco")
+
+@query("snk1_write_coco", f"""WITH {NUMBERED}, a AS (SELECT *, {ABS} FROM an)
+SELECT a.split, a.id, a.image_no AS image_id, pn.unique_name AS file_name, round(ax, 6) AS x, round(ay, 6) AS y, round(greatest(aw, 0) * greatest(ah, 0), 4) AS area, min(category_name) OVER (PARTITION BY a.split, export_key) AS name FROM a JOIN pn ON pn.split = a.split AND pn.id = a.image_no""")
 def _(t: Tables) -> DataFrame:
     at = shared(t.spark, "coco")
     export.write_coco(_export_rows(t), at)
-    docs = t.spark.read.text(at, wholetext=True).select("split", F.from_json("value", coco.SCHEMA).alias("d"))
-    return docs.select("split", F.size("d.images").alias("images"), F.size("d.annotations").alias("annotations"), F.size("d.categories").alias("categories"))
+    pics, boxes, cats = _json_tables(t, at)
+    named = boxes.join(cats.select("split", F.col("id").alias("category_id"), "name"), ["split", "category_id"]).join(pics.select("split", F.col("id").alias("image_id"), "file_name"), ["split", "image_id"])
+    return named.select("split", "id", "image_id", "file_name", F.round(F.col("bbox")[0], 6).alias("x"), F.round(F.col("bbox")[1], 6).alias("y"), F.round("area", 4).alias("area"), "name")
+
+
+#: Six places, halves away from zero, of a number's shortest decimal form.
+SIX = "CAST(CAST(round(CAST(CAST({} AS VARCHAR) AS DECIMAL(30, 18)), 6) AS DECIMAL(20, 6)) AS VARCHAR)"
+YOLO = {"x": "CASE WHEN annotation_format = 'yolo' THEN bbox_x ELSE (bbox_x + bbox_width / 2) / width END", "y": "CASE WHEN annotation_format = 'yolo' THEN bbox_y ELSE (bbox_y + bbox_height / 2) / height END", "w": "CASE WHEN annotation_format = 'yolo' THEN bbox_width ELSE bbox_width / width END", "h": "CASE WHEN annotation_format = 'yolo' THEN bbox_height ELSE bbox_height / height END"}
 
 
-@query("snk2_yolo_lines")
+@query("snk2_yolo_lines", f"""WITH {PLAN}, keys AS (SELECT export_key, row_number() OVER (ORDER BY export_key) - 1 AS c FROM (SELECT DISTINCT export_key FROM plan)),
+l AS (SELECT split, unique_name, annotation_id, c || ' ' || {" || ' ' || ".join(SIX.format(v) for v in YOLO.values())} AS line FROM plan JOIN keys ON keys.export_key = plan.export_key)
+SELECT split, unique_name, string_agg(line, chr(10) ORDER BY annotation_id) AS text FROM l GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
     return export.yolo_lines(_export_rows(t))
 
 
-@query("snk4_subset_coco", f"SELECT count(DISTINCT i.image_id) AS images, count(a.annotation_id) AS boxes FROM v_images i LEFT JOIN v_annotations a ON a.image_id = i.image_id WHERE i.file_name IN (SELECT file_name FROM v_images i WHERE {SCOPED})")
+@query("snk4_subset_coco", "WITH p AS (SELECT image_id, file_name, row_number() OVER (ORDER BY file_name, image_id) AS image_no FROM v_images WHERE file_name IN (SELECT file_name FROM v_images WHERE annotation_status = 'annotated' AND width > 700)), c AS (SELECT name, row_number() OVER (ORDER BY name) AS class_id FROM (SELECT DISTINCT name FROM v_categories)) SELECT p.image_no, row_number() OVER (ORDER BY p.image_no, a.annotation_id) AS new_id, a.annotation_id, c.class_id FROM p JOIN v_annotations a ON a.image_id = p.image_id JOIN v_categories k ON k.category_id = a.source_category_id JOIN c ON c.name = k.name")
 def _(t: Tables) -> DataFrame:
-    chosen = t.images.join(t.some_ids, "image_id", "left_semi").select("file_name")
-    pics, rows, _cats = export.subset_coco(t.images, t.annotations, t.categories, chosen)
-    return pics.agg(F.max("new_id").alias("images")).crossJoin(rows.agg(F.max("new_id").alias("boxes")))  # one row each
+    _pics, rows, _cats = export.subset_coco(t.images, t.annotations, t.categories, t.images.where("annotation_status = 'annotated' and width > 700").select("file_name"))
+    return rows.select("image_no", "new_id", "annotation_id", "class_id")
 
 
-@query("snk5_stage_task", f"SELECT i.image_id, i.file_name AS staged_name FROM v_images i WHERE {SCOPED} AND annotation_status = 'unannotated' AND file_name NOT IN (SELECT file_name FROM v_images i WHERE {SCOPED} AND annotation_status = 'unannotated' GROUP BY 1 HAVING count(*) > 1)")
+@query("snk5_stage_task", f"WITH n AS (SELECT image_id, file_name, row_number() OVER (PARTITION BY file_name ORDER BY image_id) - 1 AS k FROM v_images WHERE annotation_status = 'unannotated') SELECT image_id, {SUFFIX} AS staged_name FROM n")
 def _(t: Tables) -> DataFrame:
-    staged = export.stage_task(t.images, t.some_ids)
-    twice = staged.groupBy("file_name").agg(F.count("*").alias("n")).where("n > 1")
-    return staged.join(twice, "file_name", "left_anti").select("image_id", "staged_name")
+    return export.stage_task(t.images, t.images.select("image_id")).select("image_id", "staged_name")
 
 
-def _coco_doc(t: Tables) -> DataFrame:
-    """Images and boxes of the first half year as COCO files, one a source, written by Spark and read back."""
-    pics = t.images.join(t.some_ids, "image_id", "left_semi").select("source_id", F.struct(F.col("image_id").alias("id"), "file_name", "width", "height").alias("v"))
-    cats = t.categories.select("source_id", F.struct(F.col("category_id").alias("id"), "name").alias("v"))
+def _coco_parts(t: Tables, name=None) -> DataFrame:
+    """All images and boxes as COCO documents by source and hundred thousand image numbers: source_id, part, three arrays."""
+    keyed = lambda d: d.withColumn("part", F.floor(F.regexp_extract("image_id", r"(\d+)$", 1).cast("long") / 100000))
+    pics = keyed(t.images).select("source_id", "part", F.struct(F.col("image_id").alias("id"), (F.col("file_name") if name is None else name).alias("file_name"), "width", "height").alias("v"))
     box = F.array(*[F.col(c).cast("string") for c in export.BOX])
-    anns = t.annotations.select("source_id", F.struct(F.col("annotation_id").alias("id"), "image_id", F.col("source_category_id").alias("category_id"), box.alias("bbox")).alias("v"))
-    fold = lambda d, n: d.groupBy("source_id").agg(F.array_sort(F.collect_list("v")).alias(n))
-    doc = fold(pics, "images").join(fold(cats, "categories"), "source_id", "left").join(fold(anns, "annotations"), "source_id", "left")
+    anns = keyed(t.annotations).select("source_id", "part", F.struct(F.col("annotation_id").alias("id"), "image_id", F.col("source_category_id").alias("category_id"), box.alias("bbox")).alias("v"))
+    cats = t.categories.select("source_id", F.struct(F.col("category_id").alias("id"), "name").alias("v"))
+    fold = lambda d, key, n: d.groupBy(*key).agg(F.array_sort(F.collect_list("v")).alias(n))
+    both = ["source_id", "part"]
+    return fold(pics, both, "images").join(fold(cats, ["source_id"], "categories"), "source_id", "left").join(fold(anns, both, "annotations"), both, "left")
+
+
+@query("src5_read_coco", "SELECT i.source_id, count(*) AS boxes, count(DISTINCT a.image_id) AS images, round(sum(a.bbox_width), 4) AS width FROM v_annotations a JOIN v_images i ON i.image_id = a.image_id GROUP BY 1")
+def _(t: Tables) -> DataFrame:
     at = shared(t.spark, "coco-in")
-    doc.write.partitionBy("source_id").json(at)
-    return coco.read_json(t.spark, at)
+    _coco_parts(t).write.partitionBy("source_id", "part").json(at)
+    _images, _categories, boxes = coco.tables(coco.read_json(t.spark, at), "all")
+    back = boxes.withColumn("img", F.substring("image_id", 9, 100)).join(t.images.select(F.col("image_id").alias("img"), F.col("source_id").alias("sid")), "img")
+    return back.groupBy(F.col("sid").alias("source_id")).agg(F.count("*").alias("boxes"), F.countDistinct("img").alias("images"), F.round(F.sum("bbox_width"), 4).alias("width"))
 
 
-@query("src5_read_coco", f"SELECT a.source_id, count(*) AS boxes, count(DISTINCT a.image_id) AS images FROM v_annotations a JOIN v_images i ON i.image_id = a.image_id WHERE {SCOPED} GROUP BY 1")
+def _split_docs(t: Tables) -> dict[str, DataFrame]:
+    """The documents as splits named <source>.<part>, written to the shared folder and read as splits."""
+    at = shared(t.spark, "coco-splits")
+    docs = _coco_parts(t).select(F.concat_ws(".", "source_id", F.col("part").cast("string")).alias("split"), F.to_json(F.struct("images", "categories", "annotations")).alias("value"))
+    docs.write.partitionBy("split").text(at)
+    back = t.spark.read.text(at, wholetext=True).select("split", F.from_json("value", coco.SCHEMA).alias("d")).select("split", "d.*")
+    return coco.split_tables(back)
+
+
+PARTS = "s AS (SELECT i.source_id || '.' || (CAST(replace(i.image_id, 'img-', '') AS BIGINT) // 100000) AS split, count(DISTINCT i.image_id) AS images, count(a.annotation_id) AS annotations, 0 AS skipped FROM v_images i LEFT JOIN v_annotations a ON a.image_id = i.image_id GROUP BY 1)"
+
+
+@query("src7_read_coco_splits", f"WITH {PARTS}, k AS (SELECT a.annotation_id, i.source_id || '.' || (CAST(replace(i.image_id, 'img-', '') AS BIGINT) // 100000) AS split, i.image_id, lower(trim(c.name)) AS name, a.bbox_width FROM v_annotations a JOIN v_images i ON i.image_id = a.image_id JOIN v_categories c ON c.category_id = a.source_category_id) SELECT split AS source_id, name, count(*) AS boxes, count(DISTINCT image_id) AS images, round(sum(bbox_width), 4) AS width FROM k GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    images, categories, boxes = coco.tables(_coco_doc(t), "all")
-    source = images.select("image_id", F.regexp_extract("file_name", "^", 0).alias("x"))
-    back = boxes.join(source, "image_id").withColumn("img", F.substring("image_id", 9, 100))
-    return back.join(t.images.select(F.col("image_id").alias("img"), F.col("source_id").alias("sid")), "img").groupBy(F.col("sid").alias("source_id")).agg(F.count("*").alias("boxes"), F.countDistinct("img").alias("images"))
+    parts = _split_docs(t)
+    named = parts["annotations"].join(parts["categories"].select("category_id", F.col("key").alias("name")), "category_id")
+    return named.groupBy("source_id", "name").agg(F.count("*").alias("boxes"), F.countDistinct("image_id").alias("images"), F.round(F.sum("bbox_width"), 4).alias("width"))
 
 
-@query("src7_read_coco_splits", f"SELECT i.source_id AS split, count(DISTINCT i.image_id) AS images, count(a.annotation_id) AS annotations FROM v_images i LEFT JOIN v_annotations a ON a.image_id = i.image_id WHERE {SCOPED} GROUP BY 1")
+@query("agg14_ingest_summary", f"WITH {PARTS} SELECT split, images, annotations, CAST(skipped AS BIGINT) AS skipped FROM s UNION ALL SELECT '*', CAST(sum(images) AS BIGINT), CAST(sum(annotations) AS BIGINT), CAST(sum(skipped) AS BIGINT) FROM s")
 def _(t: Tables) -> DataFrame:
-    pics = t.images.join(t.some_ids, "image_id", "left_semi").select(F.col("source_id").alias("split"), F.struct(F.col("image_id").alias("id"), "file_name", "width", "height").alias("v"))
-    anns = t.annotations.select(F.col("source_id").alias("split"), F.struct(F.col("annotation_id").alias("id"), "image_id", F.col("source_category_id").alias("category_id"), F.array(*[F.col(c).cast("string") for c in export.BOX]).alias("bbox")).alias("v"))
-    cats = t.categories.select(F.col("source_id").alias("split"), F.struct(F.col("category_id").alias("id"), "name").alias("v"))
-    fold = lambda d, n: d.groupBy("split").agg(F.array_sort(F.collect_list("v")).alias(n))
-    doc = fold(pics, "images").join(fold(cats, "categories"), "split", "left").join(fold(anns, "annotations"), "split", "left")
-    at = shared(t.spark, "coco-splits")
-    export._put(doc.select(F.concat("split", F.lit("/annotations.coco.json")).alias("path"), F.to_json(F.struct("images", "categories", "annotations")).alias("text")), at)
-    return coco.read_splits(t.spark, at, "annotations.coco.json")["summary"].select("split", "images", "annotations")
+    return coco.ingest_summary(_split_docs(t))
 
 
 @query("src9_read_yolo_labels", f"WITH {BOXES} SELECT image_id, count(*) AS boxes FROM boxes GROUP BY 1")
@@ -727,36 +786,144 @@ def _(t: Tables) -> DataFrame:
     return yolo.parse_labels(lines).groupBy("image_id").agg(F.count("*").alias("boxes"))
 
 
-@query("src1_detect_layout", "SELECT source_id AS source, source_type AS type FROM v_sources")
+#: A listing made of the image table: folders and extensions follow the image's number.
+NUM = "CAST(regexp_extract(image_id, '[0-9]+$') AS BIGINT)"
+LISTED = f"""ls AS (SELECT source_id, {NUM} AS n, CASE CAST(regexp_extract(source_id, '[0-9]+$') AS BIGINT) % 5 WHEN 0 THEN CASE WHEN {NUM} % 2 = 0 THEN 'images/' ELSE 'labels/' END WHEN 1 THEN CASE WHEN {NUM} % 9 = 0 THEN 'annotations/' ELSE 'images/' END WHEN 2 THEN 'images/' ELSE 'deep/' END || {NUM}
+    || CASE {NUM} % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.TIFF' WHEN 2 THEN '.txt' ELSE '.json' END AS relative FROM v_images)"""
+
+
+def _listed(t: Tables) -> DataFrame:
+    n, s = (F.regexp_extract(c, r"(\d+)$", 1).cast("long") for c in ("image_id", "source_id"))
+    folder = F.when(s % 5 == 0, F.when(n % 2 == 0, "images/").otherwise("labels/")).when(s % 5 == 1, F.when(n % 9 == 0, "annotations/").otherwise("images/")).when(s % 5 == 2, "images/").otherwise("deep/")
+    ext = F.when(n % 4 == 0, ".jpg").when(n % 4 == 1, ".TIFF").when(n % 4 == 2, ".txt").otherwise(".json")
+    return t.images.select("source_id", n.alias("n"), F.concat(folder, n.cast("string"), ext).alias("relative"))
+
+
+@query("src1_detect_layout", f"WITH {LISTED} SELECT source_id AS source, CASE WHEN bool_or(relative LIKE 'images/%') AND bool_or(relative LIKE 'labels/%') THEN 'YOLO' WHEN bool_or(relative LIKE 'annotations/%') THEN 'COCO' ELSE 'RAW' END AS type FROM ls GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    yolo_files = t.sources.where("source_type = 'YOLO'").select(F.col("source_id").alias("source"), F.explode(F.array(F.lit("images/a.jpg"), F.lit("labels/a.txt"))).alias("relative"))
-    coco_files = t.sources.where("source_type = 'COCO'").select(F.col("source_id").alias("source"), F.lit("annotations/instances.json").alias("relative"))
-    return files.detect_layout(yolo_files.unionByName(coco_files))
+    return files.detect_layout(_listed(t).withColumnRenamed("source_id", "source"))
 
 
-@query("src11_match_labels", "SELECT image_id AS image, 'train/labels/' || image_id || '.txt' AS label FROM v_images WHERE annotation_status = 'annotated'")
+@query("src2_list_images", f"WITH {LISTED} SELECT relative, 'all' AS kind FROM ls WHERE n % 4 IN (0, 1) UNION ALL SELECT relative, 'yolo' FROM ls WHERE n % 4 IN (0, 1) AND relative LIKE 'images/%' UNION ALL SELECT relative, 'bare' FROM ls WHERE n % 4 IN (0, 1) AND relative NOT LIKE 'images/%' AND relative NOT LIKE 'labels/%' AND relative NOT LIKE 'annotations/%'")
 def _(t: Tables) -> DataFrame:
-    noted = t.images.where("annotation_status = 'annotated'")
-    pics = noted.select(F.concat(F.lit("train/images/"), "image_id", F.lit(".jpg")).alias("relative"))
-    labs = noted.select(F.concat(F.lit("train/labels/"), "image_id", F.lit(".txt")).alias("relative"))
-    return files.match_labels(pics, labs).select(fn.stem(F.col("image")).alias("image"), "label")
+    every = _listed(t)
+    some = {"all": files.list_images(every), "yolo": files.list_images(every, yolo=True), "bare": files.list_images(every.where("relative not like 'images/%'"), yolo=True)}
+    a, b, c = (d.select("relative", F.lit(k).alias("kind")) for k, d in some.items())
+    return a.unionByName(b).unionByName(c)
+
+
+def _headers(t: Tables) -> DataFrame:
+    """Image headers made of the table's sizes: PNG, BMP and JPEG; those of images without a size are cut short."""
+    n = F.regexp_extract("image_id", r"(\d+)$", 1).cast("long")
+    big = lambda c, k: F.lpad(F.hex(c.cast("long")), k, "0")
+    small = lambda c: F.concat(*(F.substring(big(c, 8), i, 2) for i in (7, 5, 3, 1)))
+    w, h = F.col("width"), F.col("height")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 8), big(h, 8))
+    bmp = F.concat(F.lit("424D" + "00" * 12 + "28000000"), small(w), small(h))
+    jpg = F.concat(F.lit("FFD8FFE000046162FFC0000B08"), big(h, 4), big(w, 4))
+    kind = F.when(n % 3 == 0, "png").when(n % 3 == 1, "bmp").otherwise("JPG")
+    raw = F.when(w.isNull(), "8950").when(n % 3 == 0, png).when(n % 3 == 1, bmp).otherwise(jpg)
+    return t.images.select(F.concat(F.lit("/data/"), "image_id", F.lit("."), kind).alias("path"), F.unhex(raw).alias("content"))
+
+
+EXT = f"CASE {NUM} % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'bmp' ELSE 'JPG' END"
 
 
-@query("val1_validate_coco")
+@query("src3_probe_images", f"SELECT '/data/' || image_id || '.' || {EXT} AS path, width, height, CASE WHEN width IS NULL THEN 'corrupted' ELSE 'healthy' END AS health_status, width IS NULL AS failed FROM v_images")
 def _(t: Tables) -> DataFrame:
-    at = shared(t.spark, "coco-val")
-    export.write_coco(_export_rows(t), at)
-    docs = t.spark.read.text(at, wholetext=True).select("split", F.from_json("value", coco.SCHEMA).alias("d")).select("split", "d.*")
-    return validate.validate_coco(docs, docs.select("split"))
+    return files.probe(_headers(t)).select("path", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "health_status", F.col("health_error").isNotNull().alias("failed"))
+
+
+@query("src4_read_raw", f"SELECT 'raw' AS source_id, image_id || '.' || {EXT} AS file_name, width, CASE WHEN width IS NULL THEN 'corrupted' ELSE 'healthy' END AS health_status, 'unannotated' AS annotation_status, 'review' AS status FROM v_images")
+def _(t: Tables) -> DataFrame:
+    return files.raw_images(files.probe(_headers(t)), "raw").select("source_id", "file_name", F.col("width").cast("long").alias("width"), "health_status", "annotation_status", "status")
+
+
+@query("src6_pick_file", "WITH c AS (SELECT source_id, count(DISTINCT CASE WHEN health_status = 'healthy' THEN image_id END) AS n FROM v_images GROUP BY 1), d AS (SELECT CASE WHEN n % 2 = 0 THEN '/set/annotations/' ELSE '/set/' END || source_id || '.json' AS path, n FROM c) SELECT arg_min(path, (CASE WHEN path LIKE '%/annotations/%' THEN 0 ELSE 1 END, path)) AS path FROM d WHERE n % 3 <> 0 HAVING count(*) > 0")
+def _(t: Tables) -> DataFrame:
+    c = t.images.groupBy("source_id").agg(F.countDistinct(F.when(F.col("health_status") == "healthy", F.col("image_id"))).alias("n"))
+    path = F.concat(F.when(F.col("n") % 2 == 0, "/set/annotations/").otherwise("/set/"), "source_id", F.lit(".json"))
+    full = F.array("source_id")
+    return coco.pick_file(c.select(path.alias("path"), full.alias("images"), F.when(F.col("n") % 3 != 0, full).alias("categories"), full.alias("annotations")), "/set")
+
+
+@query("src8_resolve_names", """WITH n AS (SELECT file_name AS f, CAST(regexp_extract(file_name, '([0-9]+)[.]', 1) AS BIGINT) AS k FROM (SELECT DISTINCT file_name FROM v_images))
+SELECT f AS file_name, CASE WHEN k % 13 = 0 OR k % 4 = 0 THEN f WHEN k % 4 = 1 OR k % 11 = 0 THEN 'images/' || f WHEN k % 4 = 2 THEN 'notes/' || f ELSE 'deep/' || (k % 7) || '/' || f END AS path FROM n""")
+def _(t: Tables) -> DataFrame:
+    names = t.images.select("file_name").distinct()
+    k = F.regexp_extract("file_name", r"([0-9]+)[.]", 1).cast("long")
+    place = F.when(k % 4 == 0, F.col("file_name")).when(k % 4 == 1, F.concat(F.lit("images/"), "file_name")).when(k % 4 == 2, F.concat(F.lit("notes/"), "file_name")).otherwise(F.concat_ws("/", F.lit("deep"), (k % 7).cast("string"), "file_name"))
+    listed = names.where(k % 13 != 0).select(F.explode(F.array(place, F.when(k % 11 == 0, F.concat(F.lit("images/"), "file_name")).otherwise(place))).alias("relative")).distinct()
+    return files.resolve_names(names, listed.withColumn("path", F.concat(F.lit("/set/"), "relative")), "notes")
+
+
+@query("src10_read_names", "WITH d AS (SELECT DISTINCT source_id, lower(name) AS name FROM v_categories) SELECT source_id AS folder, row_number() OVER (PARTITION BY source_id ORDER BY name) - 1 AS class_index, name FROM d")
+def _(t: Tables) -> DataFrame:
+    names = t.categories.groupBy("source_id").agg(F.array_sort(F.collect_set(F.lower("name"))).alias("names"))
+    odd = F.regexp_extract("source_id", r"(\d+)$", 1).cast("long") % 3
+    inline = F.concat(F.lit("nc: 3\nnames: ['"), F.array_join("names", "', '"), F.lit("']\n"))
+    dashed = F.concat(F.lit("names:\n- "), F.array_join("names", "\n- "), F.lit("\nnc: 3\n"))
+    text = F.when(odd == 0, inline).when(odd == 1, dashed).otherwise(F.array_join("names", "\n"))
+    return yolo.names_of(names.select(F.concat("source_id", F.when(odd == 2, "/classes.txt").otherwise("/data.yaml")).alias("path"), text.alias("text")))
+
+
+@query("src11_match_labels", f"""SELECT 'set/images/' || image_id || '.jpg' AS image, CASE {NUM} % 4 WHEN 0 THEN 'set/labels/' || image_id || '.txt' WHEN 1 THEN 'labels/set/images/' || image_id || '.txt' WHEN 2 THEN 'labels/other/' || image_id || '.txt' ELSE 'set/images/' || image_id || '.txt' END AS label FROM v_images""")
+def _(t: Tables) -> DataFrame:
+    n = F.regexp_extract("image_id", r"(\d+)$", 1).cast("long")
+    pics = t.images.select(F.concat(F.lit("set/images/"), "image_id", F.lit(".jpg")).alias("relative"))
+    at = lambda folder: F.concat(F.lit(folder), "image_id", F.lit(".txt"))
+    every = F.array(F.when(n % 4 == 0, at("set/labels/")), F.when(n % 4 <= 1, at("labels/set/images/")), F.when(n % 4 <= 2, at("labels/other/")))
+    return files.match_labels(pics, t.images.select(F.explode(every).alias("relative")).where("relative is not null"))
+
+
+@query("src12_find_export", "SELECT source_id AS task, CASE CAST(replace(source_id, 'source-', '') AS BIGINT) % 4 WHEN 0 THEN 'annotations/instances.json' WHEN 1 THEN 'annotations.json' WHEN 2 THEN 'job/instances_default.json' END AS relative FROM v_sources WHERE CAST(replace(source_id, 'source-', '') AS BIGINT) % 4 < 3")
+def _(t: Tables) -> DataFrame:
+    n = F.regexp_extract("source_id", r"(\d+)$", 1).cast("long") % 4
+    some = F.when(n == 0, F.array(F.lit("annotations/instances.json"), F.lit("annotations.json"))).when(n == 1, F.array(F.lit("annotations.json"), F.lit("x/instances_default.json"))).when(n == 2, F.array(F.lit("job/instances_default.json"), F.lit("job/instances.json"))).otherwise(F.array(F.lit("task.json")))
+    return coco.find_export(t.sources.select(F.col("source_id").alias("task"), F.explode(some).alias("relative")))
+
+
+@query("src12_label_sync", f"SELECT a.image_id, c.name AS category_name, round(a.bbox_x, 6) AS bbox_x, round(a.bbox_height, 6) AS bbox_height FROM v_annotations a JOIN v_categories c ON c.category_id = a.source_category_id WHERE {NUM.replace('image_id', 'a.image_id')} % 3 = 0")
+def _(t: Tables) -> DataFrame:
+    staged = t.images.where(F.regexp_extract("image_id", r"(\d+)$", 1).cast("long") % 3 == 0).select(F.concat(F.lit("stage/"), "image_id", F.lit(".jpg")).alias("staged_name"), "image_id")
+    docs = _coco_parts(t, F.concat(F.lit("task/"), "image_id", F.lit(".jpg"))).select(*(F.from_json(F.to_json(c), coco.SCHEMA_OF[c]).alias(c) for c in ("images", "categories", "annotations")))
+    return flat(coco.label_sync(docs, staged).select("image_id", "category_name", "bbox_x", "bbox_height"))
+
+
+def _faulty(rows: list[DataFrame]) -> list[DataFrame]:
+    """Numbered COCO tables with faults by their numbers."""
+    pics, boxes, cats = rows
+    text = lambda d, *c: d.withColumns({x: F.col(x).cast("string") for x in c})
+    boxes = boxes.withColumn("image_id", F.when(F.col("id") % 97 == 0, F.col("image_id") + 1000000000).otherwise(F.col("image_id"))).withColumn("category_id", F.when(F.col("id") % 83 == 0, 99).otherwise(F.col("category_id")))
+    boxes = boxes.withColumn("bbox", F.when(F.col("id") % 89 == 0, F.slice("bbox", 1, 3)).otherwise(F.col("bbox")))
+    pics = pics.withColumn("width", F.when(F.col("id") % 71 != 0, F.col("width")))
+    return [text(pics, "id"), text(boxes, "id", "image_id", "category_id"), text(cats.withColumnRenamed("class_id", "id"), "id")]
+
+
+@query("val1_validate_coco", f"""WITH {NUMBERED}
+SELECT split, 'unknown image' AS rule, CAST(id AS VARCHAR) AS ref FROM an WHERE id % 97 = 0 UNION ALL SELECT split, 'unknown category', CAST(id AS VARCHAR) FROM an WHERE id % 83 = 0 UNION ALL SELECT split, 'bbox is not of length 4', CAST(id AS VARCHAR) FROM an WHERE id % 89 = 0
+UNION ALL SELECT split, 'image without a field', CAST(id AS VARCHAR) FROM pn WHERE id % 71 = 0 OR width IS NULL OR height IS NULL UNION ALL SELECT split, 'missing image file', unique_name FROM pn WHERE id % 53 = 0 UNION ALL SELECT 'extra', 'missing document', 'extra'
+UNION ALL SELECT split, 'class count', split FROM plan GROUP BY split HAVING count(DISTINCT export_key) <> 5 UNION ALL SELECT 'extra', 'class count', 'extra'""")
+def _(t: Tables) -> DataFrame:
+    pics, boxes, cats = _faulty(list(export.coco_rows(_export_rows(t))))
+    names = pics.select("split").distinct().unionByName(t.spark.range(1).select(F.lit("extra").alias("split")))
+    return validate.validate_tables(pics, boxes, cats, names, pics.where("id % 53 != 0").select("split", "file_name"), 5).select("split", "rule", "ref")
 
 
-@query("val2_validate_yolo", "SELECT i.image_id AS ref, 'missing label' AS rule FROM v_images i WHERE health_status = 'healthy' AND NOT EXISTS (SELECT 1 FROM v_annotations a WHERE a.image_id = i.image_id)")
+@query("val2_validate_yolo", f"""WITH {BOXES}, n AS (SELECT image_id, {NUM} AS n FROM v_images WHERE health_status = 'healthy'), b AS (SELECT image_id, count(*) AS c FROM boxes GROUP BY 1),
+f AS (SELECT image_id, c, {NUM} AS n FROM b)
+SELECT 'all' AS split, 'missing label' AS rule, image_id AS ref FROM n WHERE image_id NOT IN (SELECT image_id FROM b) UNION ALL SELECT 'all', 'extra label', image_id || '-x' FROM f WHERE n % 29 = 0
+UNION ALL SELECT 'all', 'not five numbers', image_id || '.txt:' || (c + 1) FROM f WHERE n % 31 = 0 UNION ALL SELECT 'all', 'value outside 0 to 1', image_id || '.txt:' || (c + 1) FROM f WHERE n % 37 = 0 AND n % 31 <> 0
+UNION ALL SELECT 'none', 'no images folder', 'none' UNION ALL SELECT 'none', 'no labels folder', 'none'""")
 def _(t: Tables) -> DataFrame:
-    rows = t.boxes.withColumns({"split": F.lit("all"), "unique_name": F.concat("image_id", F.lit(".jpg"))})
+    rows = t.boxes.withColumns({"split": F.lit("all"), "unique_name": F.concat("image_id", F.lit(".jpg")), "bbox_x": F.lit(0.5), "bbox_y": F.lit(0.5), "bbox_width": F.lit(0.25), "bbox_height": F.lit(0.125), "annotation_format": F.lit("yolo")})
+    n = F.regexp_extract("file_name", r"(\d+)[.]", 1).cast("long")
     labels = export.yolo_lines(rows).select("split", fn.with_extension(F.col("unique_name"), "txt").alias("file_name"), "text")
+    faulty = labels.withColumn("text", F.when(n % 31 == 0, F.concat("text", F.lit("\n0 0.5 x 0.1 0.1"))).when(n % 37 == 0, F.concat("text", F.lit("\n0 1.2 0.5 0.1 0.1"))).otherwise(F.col("text")))
+    extra = labels.where(n % 29 == 0).withColumn("file_name", F.concat(fn.stem(F.col("file_name")), F.lit("-x.txt")))
     pics = browse.healthy(t.images).select(F.lit("all").alias("split"), F.concat("image_id", F.lit(".jpg")).alias("file_name"))
-    found = validate.validate_yolo(pics, labels, pics.select("split").distinct())
-    return found.where("rule = 'missing label'").select("ref", "rule")
+    splits = pics.select("split").distinct().unionByName(t.spark.range(1).select(F.lit("none").alias("split")))
+    return validate.validate_yolo(pics, faulty.unionByName(extra), splits).select("split", "rule", "ref")
 
 
 # --- streams, over the tables as replayed files -----------------------------------------------------------------------
@@ -776,4 +943,99 @@ def _(t: Tables) -> DataFrame:
 
 @query("str3_stream_activity", "SELECT CAST(date_trunc('day', updated_at) AS TIMESTAMP) AS window_start, status, count(*) AS n FROM v_review_updates GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return jobs.activity(t.review_updates)
+    # files in order of time, so that no mark of the replay is late
+    at = shared(t.spark, "activity")
+    back = t.review_updates.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    back.repartitionByRange(3, "updated_at").sortWithinPartitions("updated_at").write.parquet(at)
+    out = shared(t.spark, "activity-out")
+    jobs.replay(t.spark, at, back.schema, lambda s: jobs.stream_activity(s, out, shared(t.spark, "activity-ck")), per_trigger=100)
+    return jobs.latest_counts(t.spark, out)
+
+
+# --- kept tables, sample sets and histories ---------------------------------------------------------------------------
+def _sets(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A sample set for each source, and its members: images by number selected or excluded."""
+    n = F.regexp_extract("image_id", r"(\d+)$", 1).cast("long")
+    sets = t.sources.select(F.col("source_id").alias("sample_set_id"), F.concat(F.lit("set "), "source_id").alias("name"))
+    return sets, t.images.select(F.col("source_id").alias("sample_set_id"), "image_id", F.when(n % 3 > 0, F.concat(F.lit("obj-"), n.cast("string"))).alias("trigger_object_id"), F.when(n % 7 == 0, "outlier-excluded").otherwise("selected").alias("membership"))
+
+
+@query("joi9_sample_members", f"SELECT image_id, CASE WHEN {NUM} % 3 > 0 THEN 'obj-' || {NUM} END AS trigger_object_id FROM v_images WHERE source_id = 'source-7' AND {NUM} % 7 <> 0")
+def _(t: Tables) -> DataFrame:
+    return tables.sample_members(*_sets(t), "set source-7")
+
+
+@query("tbl8_delete_sample_set", "SELECT 'members' AS kept, source_id AS sample_set_id, count(*) AS n FROM v_images WHERE source_id <> 'source-7' GROUP BY 2 UNION ALL SELECT 'sets', source_id, 1 FROM v_sources WHERE source_id <> 'source-7'")
+def _(t: Tables) -> DataFrame:
+    sets, members = tables.delete_sample_set(*_sets(t), "set source-7")
+    count = lambda d, k: d.groupBy("sample_set_id").agg(F.count("*").alias("n")).select(F.lit(k).alias("kept"), "sample_set_id", "n")
+    return count(members, "members").unionByName(count(sets, "sets"))
+
+
+@query("snk7_write_sample_set", "SELECT image_id, 'a' AS sample_set FROM v_images WHERE annotation_status = 'annotated' UNION ALL SELECT DISTINCT image_id, 'b' FROM v_embeddings")
+def _(t: Tables) -> DataFrame:
+    at = shared(t.spark, "sample-sets")
+    for name, rows in (("a", t.images), ("b", t.embeddings), ("a", t.images.where("annotation_status = 'annotated'"))):  # the second a replaces the first
+        export.write_sample_set(rows.select("image_id").distinct(), at, name)
+    return t.spark.read.parquet(at)
+
+
+@query("tbl1_replace_source", "SELECT source_id, count(*) AS n FROM v_images WHERE source_id <> 'source-3' OR health_status = 'healthy' GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    at = shared(t.spark, "by-source")
+    t.images.select("source_id", "image_id").write.partitionBy("source_id").parquet(at)
+    tables.replace_source(browse.healthy(t.images).where("source_id = 'source-3'").select("source_id", "image_id"), at)
+    return t.spark.read.parquet(at).groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+@query("tbl4_rescan_source", "SELECT s.source_id, CASE WHEN s.source_id = 'source-4' THEN (SELECT count(*) FROM v_images WHERE source_id = 'source-4') ELSE 0 END AS image_count, CASE WHEN s.source_id = 'source-4' THEN (SELECT count(*) FROM v_categories WHERE source_id = 'source-4') ELSE 0 END AS category_count, CASE WHEN s.source_id = 'source-4' AND (SELECT count(*) FROM v_images WHERE source_id = 'source-4' AND health_status = 'corrupted') > 0 THEN 'warning' ELSE 'ready' END AS status, (SELECT count(*) FROM v_annotations a WHERE a.source_id = s.source_id AND (a.source_id <> 'source-4' OR a.version_year > 1995)) AS boxes FROM v_sources s")
+def _(t: Tables) -> DataFrame:
+    old = {"images": t.images, "categories": t.categories, "annotations": t.annotations}
+    scan = {k: d.where("source_id = 'source-4'") for k, d in old.items()}
+    scan["annotations"] = scan["annotations"].where("version_year > 1995")
+    sources, new = tables.rescan_source(t.sources, old, "source-4", scan)
+    boxes = new["annotations"].groupBy("source_id").agg(F.count("*").alias("boxes"))
+    return sources.join(boxes, "source_id", "left").fillna(0, ["boxes"]).select("source_id", F.col("image_count").cast("long").alias("image_count"), F.col("category_count").cast("long").alias("category_count"), "status", "boxes")
+
+
+@query("tbl7_missing_categories", "WITH d AS (SELECT DISTINCT lower(name) AS name FROM v_categories WHERE length(name) > 5) SELECT 'unified-' || trim(regexp_replace(name, '[^a-z0-9]+', '-', 'g'), '-') AS unified_id, min(name) AS name FROM d GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    names = t.categories.select(F.lower("name").alias("name"))
+    have = names.where(F.length("name") <= 5).select(F.concat(F.lit("unified-"), fn.slug(F.col("name"))).alias("unified_id")).distinct()
+    return tables.missing_categories(have, names)
+
+
+@query("tbl9_ready_to_sync", "SELECT source_id AS task_id, CASE WHEN source_id IN (SELECT source_id FROM v_images WHERE health_status = 'corrupted') THEN 'Ready Sync' ELSE 'Open' END AS status FROM v_sources")
+def _(t: Tables) -> DataFrame:
+    tasks = t.sources.select(F.col("source_id").alias("task_id"), F.concat(F.lit("/tasks/"), "source_id").alias("folder"), F.lit("Open").alias("status"))
+    listed = t.images.where("health_status = 'corrupted'").select(F.concat_ws("/", F.lit("/tasks"), "source_id", "file_name").alias("path"))
+    return tables.ready_to_sync(tasks, listed).select("task_id", "status")
+
+
+@query("rnk6_newest_first", "SELECT event_id, updated_at, target_id FROM v_review_updates")
+def _(t: Tables) -> DataFrame:
+    return tables.newest_first(t.review_updates.select("event_id", "updated_at", "target_id"), "updated_at", "event_id")
+
+
+@query("snk6_export_history", "SELECT source_id AS job_id, max(created_at) AS created_at, 'done' AS status, CASE WHEN count(*) % 2 = 0 THEN count(*) ELSE 0 END AS exported_images, 0 AS exported_boxes FROM v_images GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    n = F.count("*")
+    done = t.images.groupBy(F.col("source_id").alias("job_id")).agg(F.max("created_at").alias("created_at"), F.first(F.lit("done")).alias("status"), F.when(n % 2 == 0, n).alias("exported_images"))
+    return export.export_history(done)
+
+
+@query("snk8_write_embeddings", "SELECT target_id, round(sqrt(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * x))) * CASE WHEN CAST(replace(target_id, 'obj-', '') AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END, 5) AS norm FROM v_embeddings WHERE CAST(replace(target_id, 'obj-', '') AS BIGINT) % 6 <> 5")
+def _(t: Tables) -> DataFrame:
+    n = F.regexp_extract("target_id", r"(\d+)$", 1).cast("long")
+    before = tables.write_embeddings(t.embeddings.limit(0), t.embeddings.where(n % 6 != 5))
+    twice = t.embeddings.where(n % 3 == 0).withColumn("vector", F.transform("vector", lambda x: (x * 2).cast("float")))
+    return flat(tables.write_embeddings(before, twice).select("target_id", F.col("vector_norm").alias("norm")), 5)
+
+
+@query("snk9_action_files", f"WITH {BOXES}, n AS (SELECT export_key, count(*) AS n FROM boxes GROUP BY 1) SELECT export_key, n, round((SELECT sum(n) FROM n) / ((SELECT count(*) FROM n) * n), 6) AS weight, (SELECT count(*) FROM (SELECT text FROM documents GROUP BY 1 HAVING count(*) > 1)) AS duplicates FROM n")
+def _(t: Tables) -> DataFrame:
+    at = shared(t.spark, "actions")
+    export.write_action_files(analysis.class_weights(t.boxes), analysis.repeat_factor(t.boxes), analysis.exact_duplicates(t.documents, "doc_id", "text"), analysis.bbox_anomalies(t.images, t.boxes), at)
+    back = lambda n: t.spark.read.option("header", True).csv(f"{at}/{n}")
+    weights = back("class_weights").select("export_key", F.col("n").cast("long").alias("n"), F.col("weight").cast("double").alias("weight"))
+    return flat(weights.crossJoin(back("exact_duplicates").agg(F.count("*").alias("duplicates"))))  # one row

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import struct
 
 import numpy as np
@@ -22,10 +23,13 @@ def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
 
-def test_split_sizes():
-    assert ranking.split_sizes(17, (70, 15, 15)) == (11, 2, 4)
-    assert ranking.split_sizes(0, (70, 15, 15)) == (0, 0, 0)
-    assert ranking.split_sizes(5, (0, 0, 0)) == (0, 0, 0)
+@pytest.mark.parametrize("ratios", [(0.7, 0.15, 0.15), (3, 1, 1), (1, 0, 0), (0.2, 0.5, 0.3)])
+def test_split_sizes(ratios):
+    for total in range(0, 120):
+        sizes = ranking.split_sizes(total, ratios)
+        assert sum(sizes) == total and min(sizes) >= 0
+        assert all(sizes[i] == math.floor(total * ratios[i] / sum(ratios)) for i in (0, 1))
+    assert ranking.split_sizes(9, (0, 0, 0)) == (0, 0, 0)
 
 
 def test_seeded_split_is_a_stable_partition(spark):
@@ -37,20 +41,43 @@ def test_seeded_split_is_a_stable_partition(spark):
     assert tuple(n.values()) == ranking.split_sizes(101, (0.7, 0.15, 0.15))
 
 
-def test_unique_names_follow_the_sequential_rule(spark):
-    names = ["a.jpg", "a.jpg", "a-1.jpg", "a.jpg", "a-1.jpg", "b.jpg", "c", "c", "a-1-1.jpg", "d.png"]
-    d = spark.createDataFrame([(f"{i:03d}", n) for i, n in enumerate(names)], "image_id string, file_name string")
-    got = {r.image_id: r.unique_name for r in ranking.unique_names(d).collect()}
-    taken, want = set(), {}
-    for i, n in enumerate(names):
+def _sequential_names(names):
+    taken, out = set(), []
+    for n in names:
         stem, dot, ext = n.rpartition(".")
         new, k = n, 0
         while new in taken:
             k += 1
-            new = f"{stem}-{k}.{ext}" if dot else f"{n}-{k}"
+            new = f"{stem}-{k}.{ext}" if dot and stem else f"{n}-{k}"
         taken.add(new)
-        want[f"{i:03d}"] = new
-    assert got == want
+        out.append(new)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_names_follow_the_sequential_rule(spark, seed):
+    rng = random.Random(seed)
+    pool = ["a.jpg", "a-1.jpg", "a-2.jpg", "a-1-1.jpg", "a-1-1-1.jpg", "a-7.jpg", "a-90.jpg", "b.jpg", "b-01.jpg", "b-0.jpg", "c", "c-1", ".d", ".d-1", "e-3.png", "é.jpg", "a-1.png"]
+    names = [rng.choice(pool[: rng.choice([3, 8, 17])]) for _ in range(60)]
+    d = spark.createDataFrame([(f"{i:03d}", n) for i, n in enumerate(names)], "image_id string, file_name string")
+    got = {r.image_id: r.unique_name for r in ranking.unique_names(d).collect()}
+    assert [got[f"{i:03d}"] for i in range(60)] == _sequential_names(names)
+    grouped = d.withColumn("g", F.substring("image_id", 3, 1).cast("int") % 2)
+    got = {r.image_id: r.unique_name for r in ranking.unique_names(grouped, group=["g"]).collect()}
+    for g in (0, 1):
+        own = [i for i in range(60) if i % 10 % 2 == g]
+        assert [got[f"{i:03d}"] for i in own] == _sequential_names([names[i] for i in own])
+
+
+def test_unique_names_of_one_name_are_shared_by_tasks(spark):
+    d = spark.range(5000).select(F.col("id").alias("image_id"), F.lit("x.jpg").alias("file_name"))
+    out = ranking.unique_names(d)
+    got = {r.image_id: r.unique_name for r in out.collect()}
+    assert all(got[i] == (f"x-{i}.jpg" if i else "x.jpg") for i in range(5000))
+    bucket = ranking.spread_bucket(d, "image_id")
+    assert d.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0] < 1500
+    empty = spark.createDataFrame([], "image_id string, file_name string")
+    assert ranking.unique_names(empty).count() == 0
 
 
 def test_layout(spark):
@@ -67,16 +94,25 @@ def test_label_pairing(spark):
 
 
 def test_scalars(spark):
-    r = one(spark, fn.numeric(F.lit("444.00")).alias("a"), fn.numeric(F.lit(" 508.00 ")).alias("b"), fn.numeric(F.lit("abc")).alias("c"), fn.slug(F.lit("--Hard Hat_ (K)é!")).alias("d"), fn.percent_label(F.lit(0.1234)).alias("e"), fn.json_id(F.lit('"x1"')).alias("f"), fn.json_id(F.lit("1.5")).alias("g"), fn.slug(F.lit("é"), "workspace").alias("h"))
-    assert tuple(r) == (444.0, 508.0, None, "hard-hat-k", "12.3%", "x1", None, "workspace")
+    r = one(spark, fn.numeric(F.lit("7.50")).alias("a"), fn.numeric(F.lit("\t 12e1 ".strip("\t"))).alias("b"), fn.numeric(F.lit("4,5")).alias("c"), fn.slug(F.lit("__Blue Van/(2)ü")).alias("d"), fn.percent_label(F.lit(0.0575)).alias("e"), fn.json_id(F.lit('"q9"')).alias("f"), fn.json_id(F.lit("3.5")).alias("g"), fn.slug(F.lit("!?"), "none").alias("h"))
+    assert tuple(r) == (7.5, 120.0, None, "blue-van-2", "5.8%", "q9", None, "none")
 
 
 def test_box_functions(spark):
-    box = tuple(F.lit(v) for v in (10.0, 20.0, 30.0, 16.0))
-    r = one(spark, fn.label_line(F.lit(0), *fn.to_normalized(F.lit("coco"), box, F.lit(100), F.lit(80))).alias("line"), fn.map_area_ratio(F.lit(20.0), F.lit(10.0), F.lit(100), F.lit(50)).alias("ratio"), fn.area_ratio(F.lit("coco"), F.lit(5.0), F.lit(5.0), F.lit(None).cast("int"), F.lit(10)).alias("none"))
-    assert r.line == "0 0.250000 0.350000 0.300000 0.200000" and math.isclose(r.ratio, 0.04) and r.none is None
-    w = one(spark, fn.crop_window(tuple(F.lit(v) for v in (-3.5, 9.2, 2.0, 0.0)), F.lit(10), F.lit(10)).alias("c")).c
-    assert (w.left, w.top, w.right, w.bottom) == (0, 9, 1, 10)
+    rng = random.Random(2)
+    rows = [(rng.uniform(0, 400), rng.uniform(0, 300), rng.uniform(1, 200), rng.uniform(1, 150), rng.randrange(300, 900), rng.randrange(300, 900)) for _ in range(40)]
+    d = spark.createDataFrame(rows, "x double, y double, w double, h double, iw int, ih int")
+    box = tuple(F.col(c) for c in "xywh")
+    norm = fn.to_normalized(F.lit("coco"), box, F.col("iw"), F.col("ih"))
+    back = fn.to_absolute(F.lit("yolo"), tuple(F.col(f"n{i}") for i in range(4)), F.col("iw"), F.col("ih"))
+    for r in d.select("*", *(n.alias(f"n{i}") for i, n in enumerate(norm))).select("*", *(b.alias(f"b{i}") for i, b in enumerate(back)), fn.label_line(F.lit(3), *(F.col(f"n{i}") for i in range(4))).alias("line"), fn.map_area_ratio(F.col("w"), F.col("h"), F.col("iw"), F.col("ih")).alias("ratio"), fn.crop_window(box, F.col("iw"), F.col("ih")).alias("c")).collect():
+        assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip((r.b0, r.b1, r.b2, r.b3), (r.x, r.y, r.w, r.h)))
+        assert r.line.split()[0] == "3" and all(abs(float(v) - n) <= 5.1e-7 and len(v.split(".")[1]) == 6 for v, n in zip(r.line.split()[1:], (r.n0, r.n1, r.n2, r.n3)))
+        assert math.isclose(r.ratio, r.w * r.h / (r.iw * r.ih))
+        assert 0 <= r.c.left < r.c.right <= r.iw and 0 <= r.c.top < r.c.bottom <= r.ih
+    assert one(spark, fn.area_ratio(F.lit("coco"), F.lit(2.0), F.lit(2.0), F.lit(0), F.lit(5)).alias("none")).none is None
+    w = one(spark, fn.crop_window(tuple(F.lit(v) for v in (-2.5, 7.2, 2.0, 0.0)), F.lit(8), F.lit(8)).alias("c")).c
+    assert (w.left, w.top, w.right, w.bottom) == (0, 7, 1, 8)
 
 
 def test_image_headers():
@@ -141,10 +177,12 @@ def test_exclusions(spark):
 
 def test_upsert_keeps_created(spark):
     cols = "target_id string, status string, note string, created_at int, updated_at int"
-    t = spark.createDataFrame([("ann-1", "needs-review", None, 1, 1)], cols)
-    u = spark.createDataFrame([("ann-1", "exclude", "too blurry", 2, 2)], cols)
-    r = tables.upsert(t, u, ["target_id"], F.col("updated_at")).first()
-    assert (r.status, r.note, r.created_at, r.updated_at) == ("exclude", "too blurry", 1, 2)
+    rng = random.Random(9)
+    rows = [(f"t{rng.randrange(6)}", f"s{i}", None if i % 3 else f"n{i}", i, i) for i in range(40)]
+    t, u = (spark.createDataFrame(x, cols) for x in (rows[:15], rows[15:]))
+    for r in tables.upsert(t, u, ["target_id"], F.col("updated_at")).collect():
+        own = [x for x in rows if x[0] == r.target_id]
+        assert (r.status, r.note, r.created_at, r.updated_at) == (own[-1][1], own[-1][2], own[0][3], own[-1][4])
 
 
 def test_replace_source(spark, tmp_path):
@@ -155,24 +193,122 @@ def test_replace_source(spark, tmp_path):
 
 
 def test_best_projection(spark):
-    rows = [("object", "t", "m", "bootstrap-deterministic", -0.8, -0.7), ("object", "t", "m", "pca-v1", 0.25, 0.5)]
-    r = ranking.best_projection(spark.createDataFrame(rows, "scope string, target_id string, model_id string, projection_method string, x double, y double")).first()
-    assert (r.x, r.y) == (0.25, 0.5)
-
-
-def test_vectors(spark):
-    d = spark.createDataFrame([("a", [0.0, 0.0, 1.0]), ("b", [1.0, 0.0, 0.0]), ("c", [0.0, 1.0, 0.0])], "target_id string, vector array<float>")
-    p = vectors.pca_2d(d).collect()
-    assert all(abs(r.x) <= 1 and abs(r.y) <= 1 for r in p) and any(r.x or r.y for r in p)
-    xy = (vectors.hash_points([f"object:fast-preview:ann-{i}" for i in range(64)]) + 1) / 2
-    cells = {tuple(c) for c in np.minimum((xy * 20).astype(int), 19)}
-    assert len(cells) > 56 and all(len(set(np.minimum((xy[:, k] * 32).astype(int), 31))) > 24 for k in (0, 1))
-    blob = spark.createDataFrame([(bytearray(np.array([0.25, -0.5, 1.0], "<f4").tobytes()),), (bytearray(b"abc"),)], "vector binary")
-    assert [r.vector for r in vectors.decode_blobs(blob).collect()] == [[0.25, -0.5, 1.0], None]
+    rows = [("object", f"t{i}", "m", m, float(k), float(-i)) for i in range(4) for k, m in enumerate(("other", "bootstrap-deterministic", "pca-v1", "umap-v1")[: i + 1])]
+    got = {r.target_id: (r.x, r.y) for r in ranking.best_projection(spark.createDataFrame(rows, "scope string, target_id string, model_id string, projection_method string, x double, y double")).collect()}
+    assert got == {f"t{i}": (float(i), float(-i)) for i in range(4)}
+
+
+def test_kept_vectors_and_sets(spark):
+    old = spark.createDataFrame([("o", "a", "m", [3.0, 4.0]), ("o", "b", "m", [1.0])], "scope string, target_id string, model_id string, vector array<double>")
+    first = tables.write_embeddings(old.limit(0), old)
+    second = tables.write_embeddings(first, spark.createDataFrame([("o", "b", "m", [2.0, None]), ("i", "b", "m", None)], old.schema))
+    got = {(r.scope, r.target_id): r.vector_norm for r in second.collect()}
+    assert got[("o", "a")] == 5.0 and len(got) == 3 and got[("i", "b")] is None
+    sources = spark.createDataFrame([("s1", "/a"), ("s2", "/b")], "source_id string, path string")
+    with pytest.raises(ValueError):
+        tables.rescan_source(sources, {}, "s9", {})
+
+
+def test_sample_sets_refuse_or_replace(spark, tmp_path):
+    at = str(tmp_path / "sets")
+    d = spark.createDataFrame([("a",), ("b",)], "image_id string")
+    export.write_sample_set(d, at, "x", overwrite=False)
     with pytest.raises(ValueError):
-        vectors.pooled(np.zeros((2, 3)), 3)
-    assert vectors.pooled(np.arange(24).reshape(2, 3, 4), 2).tolist() == [[0, 1, 2, 3], [12, 13, 14, 15]]
-    assert vectors.crop_tensor(np.full((4, 4, 3), 255, np.uint8), (0, 0, 2, 2), 8, [0.5] * 3, [0.5] * 3).shape == (3, 8, 8)
+        export.write_sample_set(d, at, "x", overwrite=False)
+    export.write_sample_set(d.limit(1), at, "y")
+    export.write_sample_set(d.where("image_id = 'b'"), at, "x")
+    assert sorted((r.sample_set, r.image_id) for r in spark.read.parquet(at).collect() if r.sample_set == "x") == [("x", "b")]
+
+
+def test_jobs_and_copies(spark, tmp_path):
+    for k in range(3):
+        export.append_job(spark, str(tmp_path / "jobs"), "coco", f"/out/{k}", k, 2 * k)
+    rows = export.export_history(spark.read.parquet(str(tmp_path / "jobs"))).collect()
+    assert [r.exported_boxes for r in rows] == [4, 2, 0] and len({r.job_id for r in rows}) == 3
+    (tmp_path / "one.bin").write_bytes(b"123")
+    export.copy_images(spark.createDataFrame([(str(tmp_path / "one.bin"), "t/1.bin"), (str(tmp_path / "gone.bin"), "t/2.bin")], "original_path string, target string"), str(tmp_path / "copies"))
+    assert [p.name for p in (tmp_path / "copies/t").iterdir()] == ["1.bin"]
+
+
+def test_listing_probe_and_names_of_real_files(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 9, 4)
+    for name, content in (("images/a.png", png), ("images/b.PNG", png[:20]), ("labels/a.txt", b"0 0.5 0.5 0.1 0.1"), ("data.yaml", b"names: [cat, 'dog']\n"), ("notes.json", b"{}")):
+        (tmp_path / "set" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "set" / name).write_bytes(content)
+    root = str(tmp_path / "set")
+    listed = files.listing(spark, root)
+    assert sorted(r.relative for r in listed.collect()) == ["data.yaml", "images/a.png", "images/b.PNG", "labels/a.txt", "notes.json"]
+    probed = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.health_status) for r in files.probe_images(spark, root).collect()}
+    assert probed == {"a.png": (9, 4, "healthy"), "b.PNG": (None, None, "corrupted")}
+    assert [(r.class_index, r.name) for r in yolo.read_names(spark, root).orderBy("class_index").collect()] == [(0, "cat"), (1, "dog")]
+    assert {r.file_name for r in files.read_raw(spark, root, "s").collect()} == {"a.png", "b.PNG"}
+    ids = files.source_images(files.probe_images(spark, root).unionByName(files.probe_images(spark, root).withColumn("path", F.regexp_replace("path", "a.png", "a_png"))), "s", root)
+    assert ids.select("image_id").distinct().count() >= 3
+
+
+def test_projection_follows_the_scatter_matrix(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 6)) * [5, 3, 1, 0.5, 0.2, 0.1] + 4
+    rows = [(f"v{i:02}", v.tolist()) for i, v in enumerate(x)] + [("short", [1.0, 2.0]), ("gap", [1.0, None, 0.5]), ("none", None)]
+    full = np.concatenate([x, [[1, 2, 0, 0, 0, 0], [1, 0, 0.5, 0, 0, 0]]])
+    d = spark.createDataFrame(rows, "target_id string, vector array<double>")
+    n, mean, g = vectors.moments(d)
+    centred = full - full.mean(0)
+    assert n == 82 and np.allclose(mean, full.mean(0)) and np.allclose(g, centred.T @ centred)
+    axes = np.linalg.eigh(g)[1][:, ::-1][:, :2]
+    want = centred @ axes / np.abs(centred @ axes).max(0)
+    got = {r.target_id: (r.x, r.y) for r in vectors.pca_2d(d).collect()}
+    assert "none" not in got and len(got) == 82
+    mine = np.array([got[r[0]] for r in rows[:-1]])
+    for k in (0, 1):
+        assert min(np.abs(mine[:, k] - s * want[:, k]).max() for s in (1, -1)) < 0.02
+    thin = {r.target_id: r.vector for r in vectors.pca_denoise(d, 3).collect()}
+    unit = full / np.linalg.norm(full, axis=1, keepdims=True)
+    c = unit - unit.mean(0)
+    back = c @ np.linalg.eigh(c.T @ c)[1][:, ::-1][:, :3]
+    back /= np.linalg.norm(back, axis=1, keepdims=True)
+    assert np.allclose(np.abs(np.array([thin[r[0]] for r in rows[:-1]])), np.abs(back), atol=1e-6)
+
+
+def test_neighbours_of_ragged_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"v{i:02}", rng.normal(size=3 + i % 2).tolist()) for i in range(40)] + [("none", None), ("gap", [None, 1.0, 2.0])]
+    d = spark.createDataFrame(rows, "target_id string, vector array<double>")
+    full = {t: np.array([0.0 if v is None else v for v in x] + [0.0] * (4 - len(x))) for t, x in rows if x is not None}
+    got = vectors.knn_cosine(d, 5, block=7).collect()
+    for t, x in full.items():
+        near = sorted((round(1 - x @ y / np.linalg.norm(x) / np.linalg.norm(y), 12), u) for u, y in full.items() if u != t)[:5]
+        mine = sorted((r["rank"], r.neighbour) for r in got if r.target_id == t)
+        assert [u for _, u in mine] == [u for _, u in near]
+    assert vectors.knn_cosine(d.limit(0), 5).count() == 0
+
+
+def test_hash_layout_spreads(spark):
+    xy = vectors.hash_points([f"scope:model:{i * 37}-é" for i in range(4000)] + [""])
+    assert np.abs(xy).max() <= 1 and len(np.unique(xy, axis=0)) == 4001
+    assert all(np.histogram(xy[:, k], 16, (-1, 1))[0].min() > 180 for k in (0, 1)) and abs(np.corrcoef(xy.T)[0, 1]) < 0.06
+    h = 0xCBF29CE484222325
+    for b in "scope:model:0-é".encode():
+        h = (h ^ b) * 0x100000001B3 % 2**64
+    z = (h + 0x9E3779B97F4A7C15) % 2**64
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+    assert xy[0, 0] == ((z ^ z >> 31) >> 11) / 2**53 * 2 - 1
+
+
+def test_blobs_and_tensors(spark):
+    v = np.random.default_rng(1).normal(size=9).astype("<f4")
+    blob = spark.createDataFrame([(bytearray(v.tobytes()),), (bytearray(b"abcde"),), (None,)], "vector binary")
+    assert [r.vector for r in vectors.decode_blobs(blob).collect()] == [v.tolist(), None, None]
+    x = np.arange(30.0)
+    assert vectors.pooled(x.reshape(3, 10), 3).tolist() == x.reshape(3, 10).tolist() == vectors.pooled(x, 3).tolist()
+    assert vectors.pooled(x.reshape(3, 5, 2), 3).tolist() == x.reshape(3, 5, 2)[:, 0].tolist()
+    for n in (2, 7):
+        with pytest.raises(ValueError):
+            vectors.pooled(x.reshape(3, 10), n)
+    pixels = np.random.default_rng(2).integers(0, 256, (6, 9, 3)).astype(np.uint8)
+    same = vectors.crop_tensor(pixels, (2, 1, 6, 5), 4, [0.1, 0.2, 0.3], [0.5, 1, 2])
+    assert same.shape == (3, 4, 4) and np.allclose(same.transpose(1, 2, 0) * [0.5, 1, 2] + [0.1, 0.2, 0.3], pixels[1:5, 2:6] / 255, atol=1e-6)
 
 
 def test_embedding_retries_single_items(spark):
@@ -234,7 +370,7 @@ def test_outlier_floor(spark):
 def test_validators(spark, tmp_path):
     boxes = spark.createDataFrame([("a1", "i1", "s", "c", "coco", 10.0, 20.0, 30.0, 16.0), ("a2", "i2", "s", "c", "coco", 1.0, 1.0, 5.0, 5.0)], BOX)
     rows = boxes.withColumns({"split": F.lit("train"), "position": F.when(F.col("image_id") == "i1", 1).otherwise(2), "unique_name": F.concat("image_id", F.lit(".jpg")), "width": F.lit(100), "height": F.lit(80), "export_key": F.lit("helmet"), "category_name": F.lit("helmet")})
-    export.write_coco(rows, str(tmp_path / "coco"))
+    export.write_coco(rows, str(tmp_path / "coco"), sharded=False)
     docs = spark.read.text(str(tmp_path / "coco"), wholetext=True).select("split", F.from_json("value", coco.SCHEMA).alias("d")).select("split", "d.*")
     splits = spark.createDataFrame([("train",)], "split string")
     assert validate.validate_coco(docs, splits, class_count=1).count() == 0
