@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,14 +110,38 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator, column: str, most: int = 4 << 20) -> Iterator:
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task, which in the end gives freed memory back to the system, as its Python process waits for the next one."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return tidy
+
+
+def field(batch, column: str | int):
+    """A column of a batch by its name, or by its number in the struct that `carried` makes."""
+    return batch.column(column) if isinstance(column, str) else batch.column("row").field(column)
+
+
+def slices(batches: Iterator, column: str | int, most: int = 4 << 20) -> Iterator:
     """Cut Arrow batches into slices that hold about `most` bytes of text, or one row."""
     import pyarrow.compute as pc
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.binary_length(field(batch, column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, fold_of, held_out, restored, slices, with_fields
+from .common import carried, field, fold_of, held_out, restored, slices, tidied, with_fields
 
 BUCKETS, DIM = 1 << 16, 16
 RESULTS = ("held_out", "lang_pred", "score", "rejected")
@@ -77,7 +77,7 @@ def _sample(docs: DataFrame, per_lang: int) -> tuple[list[str], list[tuple]]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], ["y", "cal", "k", "v"])
 
     picked = rows.where(chance < share[F.col("lang")]).select("text", "lang", F.col("fold").cast("int").alias("fold"))
-    found = picked.mapInArrow(counted, "y int, cal boolean, k binary, v binary").collect()
+    found = picked.mapInArrow(tidied(counted), "y int, cal boolean, k binary, v binary").collect()
     found = [(r["y"], r["cal"], np.frombuffer(r["k"], np.int32), np.frombuffer(r["v"], np.float32)) for r in found]
     return langs, sorted(found, key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
 
@@ -120,10 +120,10 @@ def _fit(n_langs: int, rows: list[tuple], epochs: int, rate: float, reject: floa
     return {"table": table.astype(np.float32), "bias": b, "t": t, "least": min(0.5, float(np.quantile(right, reject))) if len(right) else 0.0}
 
 
-def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, epochs: int = 4, rate: float = 1.0, reject: float = 0.001, carry: bool = False) -> DataFrame:
+def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, epochs: int = 4, rate: float = 1.0, reject: float = 0.001, carry: bool | list[str] = False) -> DataFrame:
     """id, held_out, lang_pred, score (calibrated confidence) and rejected for each document.
 
-    carry: return all input columns and the four instead (input columns of these names are replaced).
+    carry: return all input columns and the four instead (input columns of these names are replaced), or id and those named.
     """
     import pyarrow as pa
 
@@ -135,9 +135,9 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         columns = [np.ascontiguousarray(m["table"][:, k]) for k in range(len(langs))] if m else []
-        for b in slices(batches, "text"):
+        for b in slices(batches, at, 2 << 20):
             names, scores, rejected = [], [], []
-            for t in b.column("text").to_pylist():
+            for t in field(b, at).to_pylist():
                 if not t or m is None or not _LETTER.search(t):
                     names.append("und"), scores.append(0.0), rejected.append(True)
                     continue
@@ -152,8 +152,10 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 names.append(langs[k]), scores.append(float(p[k])), rejected.append(bool(p[k] < m["least"]))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["row", "lang_pred", "score", "rejected"])
 
-    kept = [c for c in docs.columns if c not in RESULTS] if carry else [id_col]
-    source = docs.select(carried(kept), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = source.mapInArrow(predicted, with_fields(source.schema["row"], ("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")))
+    kept = [id_col] if not carry else [c for c in docs.columns if c not in RESULTS] if carry is True else [id_col, *carry]
+    own = text_col in kept and docs.schema[text_col].dataType.simpleString() == "string"
+    at: str | int = kept.index(text_col) + 1 if own else "text"  # a text that is carried travels once
+    source = docs.select(carried(kept), *([] if own else [F.col(f"`{text_col}`").cast("string").alias("text")]))
+    out = source.mapInArrow(tidied(predicted), with_fields(source.schema["row"], ("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")))
     held = held_out(F.col(f"row.`{kept.index(id_col) + 1}`")).alias("held_out")
     return out.select(*restored(kept), held, "lang_pred", "score", "rejected")

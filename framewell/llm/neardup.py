@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
 from . import text as tx
-from .common import marked, released, slices, stars, stored, with_fields
+from .common import marked, released, slices, stars, stored, tidied, with_fields
 
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 65)]
 
@@ -116,7 +116,7 @@ def _keyed(docs: DataFrame, shingle: int, k: int, keys: int, percent: int) -> Da
             numbers = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [_set_hash(s, _P[5]) for s in sets], [_set_hash(s, _P[6]) for s in sets])]
             yield pa.RecordBatch.from_arrays([b.column("id"), *numbers, pa.array(lists, pa.list_(pa.int64()))], ["id", "n", "h1", "h2", "keys"])
 
-    return docs.mapInArrow(rows, with_fields(docs.schema["id"], ("n", "long"), ("h1", "long"), ("h2", "long"), ("keys", "array<long>")))
+    return docs.mapInArrow(tidied(rows), with_fields(docs.schema["id"], ("n", "long"), ("h1", "long"), ("h2", "long"), ("keys", "array<long>")))
 
 
 def _full(docs: DataFrame, shingle: int) -> DataFrame:
@@ -129,7 +129,7 @@ def _full(docs: DataFrame, shingle: int) -> DataFrame:
             packed = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_set_hash(s, _P[5]) for s in sets], pa.int64()), pa.array(packed, pa.binary())], ["id", "h1", "set"])
 
-    return docs.mapInArrow(rows, with_fields(docs.schema["id"], ("h1", "long"), ("set", "binary")))
+    return docs.mapInArrow(tidied(rows), with_fields(docs.schema["id"], ("h1", "long"), ("set", "binary")))
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
@@ -252,7 +252,7 @@ def _met(members: DataFrame, full: DataFrame, k: int, percent: int) -> DataFrame
             yield from meet(held)
 
     id_field = members.schema["id"]
-    return rows.mapInArrow(lists, with_fields(*(StructField(c, id_field.dataType) for c in "ab"))).where("a != b")
+    return rows.mapInArrow(tidied(lists), with_fields(*(StructField(c, id_field.dataType) for c in "ab"))).where("a != b")
 
 
 def components(edges: DataFrame) -> DataFrame:

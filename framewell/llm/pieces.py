@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import carried, restored, slices, with_fields
+from .common import carried, field, restored, slices, tidied, with_fields
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 _STRETCH = re.compile(r" ?[^ \t\n\r\v\f]{1,256}|[ \t\n\r\v\f]")
@@ -313,12 +313,14 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", pat
     voc = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     new = ("piece_ids", "lossless") if check else ("piece_ids",)
     cols = [c for c in docs.columns if c not in new]
-    source = docs.select(carried(cols), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{key_col}`").cast("string"), F.lit("")).alias("key"))
+    own = docs.schema[text_col].dataType.simpleString() == "string"
+    text_at: str | int = cols.index(text_col) + 1 if own else "text"  # the text travels once
+    source = docs.select(carried(cols), *([] if own else [F.col(f"`{text_col}`").cast("string").alias("text")]), F.coalesce(F.col(f"`{key_col}`").cast("string"), F.lit("")).alias("key"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(voc.value, sharpness)
-        for b in slices(batches, "text", 1 << 19):
-            texts = b.column("text").to_pylist()
+        for b in slices(batches, text_at, 1 << 19):
+            texts = field(b, text_at).to_pylist()
             ids, n = encode_texts(texts, b.column("key").to_pylist(), lattices, seed)
             none = np.array([t is None for t in texts])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids), mask=pa.array(none))
@@ -331,7 +333,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", pat
             yield pa.RecordBatch.from_arrays(out, ["row", *new])
 
     schema = with_fields(source.schema["row"], ("piece_ids", "array<int>"), *([("lossless", "boolean")] if check else []))
-    return source.mapInArrow(rows, schema).select(*restored(cols), *new)
+    return source.mapInArrow(tidied(rows), schema).select(*restored(cols), *new)
 
 
 def decode(encoded: DataFrame, path: str = PATH, out_col: str = "decoded") -> DataFrame:
@@ -360,4 +362,4 @@ def decode(encoded: DataFrame, path: str = PATH, out_col: str = "decoded") -> Da
                 yield pa.RecordBatch.from_arrays([part.column("row"), _strings(data, sizes, lists.is_null().to_pylist())], ["row", "text"])
                 at = to
 
-    return source.mapInArrow(rows, with_fields(source.schema["row"], ("text", "string"))).select(*restored(cols), F.col("text").alias(out_col))
+    return source.mapInArrow(tidied(rows), with_fields(source.schema["row"], ("text", "string"))).select(*restored(cols), F.col("text").alias(out_col))

@@ -9,7 +9,7 @@ leading card digit stay; the card check digit is computed anew, so a pseudonym i
 
 Defined results: a null text stays null with counts of 0; a text without findings is returned unchanged;
 candidates that fail validation are left as they are. Every input row gives one output row, repeated rows and null ids
-included; clashing input column names are ignored, as only the id and the text are read.
+included; an empty table gives an empty one; clashing input column names are ignored, as only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -153,8 +153,13 @@ def _email(v: Column, key: str) -> Column:
 _RULES = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip}
 
 
-def pseudonymize(docs: DataFrame, key: str = "framewell", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text with pseudonyms, found (kind and pseudonym of each value, in order) and n_<kind> for each kind."""
+def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text with pseudonyms, found (kind and pseudonym of each value, in order) and n_<kind> for each kind.
+
+    key: a secret; who has it can undo the pseudonyms.
+    """
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col(text_col).cast("string")
     numbers = "|".join(PATTERNS[k] for k in KINDS if k != "email")
     pattern = f"(?<![A-Za-z0-9._%+-]){PATTERNS['email']}|(?=[+(0-9])(?:{numbers})"

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import slices
+from .common import slices, tidied
 
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -147,7 +147,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found = measure(b.column("text").to_pylist(), min_repeat)
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x, pa.int64()) for x in found)], names)
 
-    out = source.mapInArrow(rows, f"id {kind.simpleString()}, {SCHEMA}")
+    out = source.mapInArrow(tidied(rows), f"id {kind.simpleString()}, {SCHEMA}")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     repeated = (F.col("covered_words") > max_covered * F.col("n_words")) | (F.col("longest_repeat") > max_longest)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~repeated).alias("kept"), "covered_words", "longest_repeat")

@@ -12,6 +12,8 @@
    earliest start are covered. The first seven values are read from the packed keys of the sort.
 5. Covered stretches are merged by document, and the rest is hashed.
 
+Ids are whole numbers; other id types are an error.
+
 Anchors and contexts are spread by hash; a task holds `batch` bytes of contexts, or those of one anchor that differ.
 
 Defined results: a null text counts as empty: nothing is removed. Rows with the same id and text are one document and
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import slices, stored
+from .common import slices, stored, tidied
 
 Q = 32  # bytes of a hashed piece
 _MUL = 0x9E3779B97F4A7C15
@@ -179,6 +181,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     if length < 2 * Q:
         raise ValueError(f"length must be {2 * Q} or more")
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("ids must be whole numbers")
     none = -(1 << 63)  # stands for a null id and sorts first
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("k"), F.shiftrightunsigned(F.xxhash64(text), 48).alias("v"), text.alias("text"))
@@ -201,7 +205,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             k, v = (b.column(c).to_numpy()[idx] for c in ("k", "v"))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(k), pa.array((v << 40) | np.concatenate(at))], ["h", "k", "p"])
 
-    marks = first.select("k", "v", "text").mapInArrow(found, "h long, k long, p long")
+    marks = first.select("k", "v", "text").mapInArrow(tidied(found), "h long, k long, p long")
     shared = marks.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     per_doc = marks.join(shared.hint("merge"), "h", "left_semi").groupBy("k", F.shiftrightunsigned("p", 40).alias("v")).agg(F.collect_set(F.col("p").bitwiseAND(_PLACE)).alias("at"))
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +226,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["h", "k", "s", "c"])
 
-    parts = first.join(per_doc.hint("merge"), ["k", "v"]).select("k", "v", "text", "at").mapInArrow(contexts, "h long, k long, s long, c binary")
+    parts = first.join(per_doc.hint("merge"), ["k", "v"]).select("k", "v", "text", "at").mapInArrow(tidied(contexts), "h long, k long, s long, c binary")
     parts = parts.repartition("h").sortWithinPartitions("h", "c", "k", "s")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +276,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             work()
         yield from flush()
 
-    covered = parts.mapInArrow(judged, "k long, p long, n long")
+    covered = parts.mapInArrow(tidied(judged), "k long, p long, n long")
     spans = covered.groupBy("k", F.shiftrightunsigned("p", 40).alias("v")).agg(F.collect_list(F.struct(F.col("p").bitwiseAND(_PLACE).alias("a"), "n")).alias("spans"))
     both = rows.join(copies.hint("merge"), ["k", "v"], "left").join(spans.hint("merge"), ["k", "v"], "left")
 
@@ -297,5 +301,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column("k"), *(pa.array(c, kind) for c, kind in zip(zip(*out), kinds))], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = both.select("k", "text", "spans", "copy").mapInArrow(left, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    out = both.select("k", "text", "spans", "copy").mapInArrow(tidied(left), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
     return out.select(F.when(F.col("k") != none, F.col("k").cast(kind)).alias(id_col), *out.columns[1:])

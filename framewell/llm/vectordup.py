@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
-from .common import released, stars, stored, with_fields
+from .common import released, stars, stored, tidied, with_fields
 from .neardup import components
 
 
@@ -114,7 +114,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
                         ["id", "label", "v", "own", "visits"],
                     )
 
-    units_df = stored(usable.mapInArrow(placed, with_fields(id_field, ("label", "string"), ("v", "binary"), ("own", "int"), ("visits", "array<int>"))), "vec-units")
+    units_df = stored(usable.mapInArrow(tidied(placed), with_fields(id_field, ("label", "string"), ("v", "binary"), ("own", "int"), ("visits", "array<int>"))), "vec-units")
     folded = units_df.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("own").alias("own"), F.first("visits").alias("visits"))
     folded = stored(folded.withColumn("class", F.xxhash64("label", "v")), "vec-classes")
     owned = units_df.join(folded.select("label", "v", "rep", "m", "class"), ["label", "v"]).select("id", "rep", "m", "class")
@@ -185,7 +185,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
             yield from meet(held)
 
     schema = with_fields(("class", "long"), ("n", "long"), *(StructField(c, id_field.dataType) for c in "ab"))
-    found = stored(members.mapInArrow(blocks, schema), "vec-links")
+    found = stored(members.mapInArrow(tidied(blocks), schema), "vec-links")
     counts = found.where("class is not null").groupBy("class").agg(F.sum("n").alias("n"))
     links = owned.join(counts, "class", "left").groupBy("id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
     links = stored(links, "vec-counts")

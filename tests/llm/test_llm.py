@@ -28,7 +28,7 @@ def each_operator(docs, labels):
     return {
         "line": linededup.line_dedup(docs, min_words=5),
         "near": neardup.near_duplicates(docs, percent=85),
-        "pii": pii.pseudonymize(docs),
+        "pii": pii.pseudonymize(docs, "k"),
         "toxic": toxicity.toxicity(docs, labels),
         "quality": quality.quality_rules(docs),
         "substring": substringdup.substring_dedup(docs),
@@ -171,7 +171,7 @@ def test_components_of_long_paths(spark):
 
 def test_pseudonyms(spark):
     texts = ["card 4337166598464399 and 4337-1665-9846-4399, bad 4337166598464398", "again 4337166598464399 ip 10.1.2.3 999.1.1.1", "+1 (274) 555-9629 or 274-555-9629 not 074-555-9629", "123-45-6789 666-11-1111", "2024-02-29 2023-02-29 1999/12/31", "bosbt.42@mail8.example.com", None, "plain"]
-    got = {r.doc_id: r for r in pii.pseudonymize(frame(spark, texts)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymize(frame(spark, texts), "k").collect()}
     a, b = got[0].found, got[1].found
     assert a[0].value == a[1].value.replace("-", "") == b[0].value != "4337166598464399"
     digits = [int(c) for c in a[0].value]
@@ -186,7 +186,7 @@ def test_pseudonyms(spark):
 
 def test_pseudonyms_are_a_permutation(spark):
     ids = spark.range(0, 73049, 7).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"), F.col("id").alias("doc_id"))
-    out = pii.pseudonymize(ids)
+    out = pii.pseudonymize(ids, "k")
     assert out.select("text").distinct().count() == ids.count() and out.where("n_date = 1").count() == ids.count()
 
 
@@ -450,3 +450,155 @@ def test_mix_gives_no_words_twice(spark):
         got[r.source] += len(r.text.split())
     want = {r.skey[1:]: r.target for r in mixing.mix_sources(docs, keyed=True).collect()}
     assert all(abs(got[s] - t) <= 1 for s, t in want.items()) and set(got) == set(want)
+
+
+def _feistel(digits, radices, key, tweak):
+    half, state = len(radices) // 2, list(digits)
+    for i in range(8):
+        left = i % 2 == 0
+        rest = ",".join(map(str, state[half:] if left else state[:half]))
+        for j in range(len(state)):
+            if (j < half) == left:
+                digest = hashlib.sha256(f"{key}|{tweak}|{i}|{j}|{rest}".encode()).hexdigest()
+                state[j] = (state[j] + int(digest[:15], 16)) % radices[j]
+    return state
+
+
+def _luhn_ok(d):
+    return sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pseudonyms_follow_the_network(spark):
+    rng = random.Random(11)
+    cards, dates, ips = [], [], []
+    for _ in range(12):
+        body = [4, *(rng.randrange(10) for _ in range(14))]
+        check = next(c for c in range(10) if _luhn_ok([*body, c]))
+        cards.append("".join(map(str, [*body, check])))
+        dates.append(f"{rng.randrange(1900, 2100)}/{rng.randrange(1, 13):02}/{rng.randrange(1, 29):02}")
+        ips.append(".".join(str(rng.randrange(256)) for _ in range(4)))
+    bad = [c[:-1] + str((int(c[-1]) + 1) % 10) for c in cards]
+    values = [*cards, *dates, *ips, *bad, "2023-02-30", "300.1.1.1"]
+    got = [r.text for r in pii.pseudonymize(frame(spark, values), "k").orderBy("doc_id").collect()]
+    want = []
+    for c in cards:
+        d = list(map(int, c))
+        new = [d[0], *_feistel(d[1:-1], [10] * 14, "k", "card")]
+        want.append("".join(map(str, [*new, next(x for x in range(10) if _luhn_ok([*new, x]))])))
+    import datetime
+
+    first = datetime.date(1900, 1, 1)
+    for t in dates:
+        n = (datetime.date(*map(int, t.split("/"))) - first).days
+        a, b = _feistel([n // 4297, n % 4297], [17, 4297], "k", "date")
+        want.append((first + datetime.timedelta(a * 4297 + b)).strftime("%Y/%m/%d"))
+    want += [".".join(map(str, _feistel(list(map(int, t.split("."))), [256] * 4, "k", "ip"))) for t in ips]
+    assert got == [*want, *bad, "2023-02-30", "300.1.1.1"]
+    with pytest.raises(ValueError):
+        pii.pseudonymize(frame(spark, ["x"]), "")
+
+
+def test_toxic_evidence_is_that_of_the_models(spark):
+    rng = random.Random(13)
+    rows = [(" ".join(rng.choice("abcdefghijklmnop"[: 16 if y else 10]) * rng.choice((1, 1, 2)) for _ in range(rng.randrange(0, 25))), bool(y)) for y in (0, 0, 0, 1) for _ in range(12)]
+    counts = toxicity._continuations(spark.createDataFrame(rows, "text string, toxic boolean"))
+    lefts: dict = {}
+    for t, y in rows:
+        w = t.split()
+        for u, x in zip(["", *w], w):
+            lefts.setdefault(x, (set(), set()))[y].add(u)
+    n = [{w: len(v[y]) for w, v in lefts.items()} for y in (0, 1)]
+    held, total = [], [sum(x.values()) for x in n]
+    for x in n:
+        c = [max(sum(v == k for v in x.values()), 1) for k in (1, 2, 3, 4)]
+        y = c[0] / (c[0] + 2 * c[1])
+        d = [0, *(min(max(k - (k + 1) * y * c[k] / c[k - 1], 0), k) for k in (1, 2, 3))]
+        assert np.allclose(d[1:], toxicity.discounts(*(sum(v == k for v in x.values()) for k in (1, 2, 3, 4))))
+        held.append({w: d[min(v, 3)] for w, v in x.items()})
+    shared = {w: (n[0][w] + n[1][w] + 0.5) / (sum(total) + 0.5 * (len(lefts) + 1)) for w in lefts}
+    p = [{w: (n[y][w] - held[y][w] + sum(held[y].values()) * shared[w]) / total[y] for w in lefts} for y in (0, 1)]
+    want = {w: np.log(p[1][w] / p[0][w]) for w in lefts}
+    code = {int(toxicity._codes([w])[0].view(np.int64)[0]): w for w in lefts}
+    got = {code[r.word]: r.r / 1e9 for r in toxicity._evidence(counts, 0.0).collect()}
+    assert set(got) == set(want) and all(abs(got[w] - want[w]) < 2e-9 for w in want)
+
+
+def _slow_grams(text):
+    raw = [b if 97 <= b <= 122 or b >= 128 else 32 for b in (" " + text.lower() + " ").encode()]
+    for size, mul in ((3, 0x9E3779B1), (4, 0x85EBCA6B)):
+        for i in range(len(raw) - size + 1):
+            if raw[i] == raw[i + 1] == 32:
+                continue
+            x = sum(b << 8 * k for k, b in enumerate(raw[i : i + size])) * mul % 2**32
+            yield ((x ^ x >> 15) * 0x2C1B3C6D % 2**32) >> 16
+
+
+def test_language_scores_are_those_of_the_model(spark):
+    rng = random.Random(17)
+    pools = {"a": ["the", "of", "été"], "b": ["der", "und", "öl"], "c": ["le", "que", "ça"]}
+    texts, langs = [], []
+    for i in range(120):
+        lang = rng.choice("abc")
+        texts.append(" ".join(rng.choice(pools[lang]) + rng.choice(["", "!", " 12"]) for _ in range(rng.randrange(1, 15))))
+        langs.append(lang)
+    docs = frame(spark, [*texts, "42", None], lang=lambda i: (langs + [None, "a"])[i])
+    known = docs.select(F.col("doc_id").alias("id"), "text", "lang").withColumn("fold", F.crc32(F.col("id").cast("string").cast("binary")) % 4)
+    names, rows = langid._sample(known, 600)
+    m = langid._fit(len(names), rows, 4, 1.0, 0.001)
+    got = {r.doc_id: r for r in langid.identify_language(docs).collect()}
+    for i, t in enumerate(texts):
+        g = list(_slow_grams(t))
+        z = (m["table"].astype(np.float64)[g].mean(0) + m["bias"]) / m["t"]
+        e = np.exp(z - z.max())
+        assert got[i].lang_pred == names[int(e.argmax())] and abs(got[i].score - (e / e.sum()).max()) < 1e-5
+    assert [(got[i].lang_pred, got[i].score) for i in (120, 121)] == [("und", 0.0)] * 2
+
+
+def test_embeddings_with_text_ids(spark):
+    d = spark.createDataFrame([("b", [1.0, 0.0], 1), ("a", [1.0, 0.01], 1), ("c", [0.0, 1.0], 1), ("d", [1.0, 0.0], 2)], "vec_id string, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectordup.embedding_duplicates(d).collect()}
+    assert got == {"a": (1, "a", True), "b": (1, "a", False), "c": (0, "c", True), "d": (0, "d", True)}
+
+
+def test_line_dedup_is_linear_in_lines(spark):
+    import time
+
+    rng = random.Random(19)
+    took = []
+    for n in (5000, 40000):
+        text = "\n".join(words(rng, 5, 10**6) for _ in range(n))
+        began = time.time()
+        out = linededup.line_dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+        took.append(time.time() - began)
+        assert {r.doc_id: (r.n_lines, r.n_removed_lines) for r in out} == {1: (n, 0), 2: (n, n)}
+    assert took[1] < 8 * took[0] + 20
+
+
+def test_long_lists_of_near_copies_connect_with_few_comparisons(spark):
+    rng = random.Random(23)
+    base = words(rng, 90, 10**6).split()
+    texts = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(90)] = f"x{i}"
+        texts.append(" ".join(w))
+    d = frame(spark, texts)
+    whole = {r.doc_id: r.component_id for r in neardup.near_duplicates(d, percent=80).collect()}
+    small = {r.doc_id: r.component_id for r in neardup.near_duplicates(d, percent=80, block=8).collect()}
+    assert whole == small == brute_components(texts, 80)
+
+
+def brute_components(texts, percent):
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if both and 100 * both >= percent * len(sets[i] | sets[j]) and root[i] != root[j]:
+                    a, b = sorted((root[i], root[j]))
+                    root = [a if r == b else r for r in root]
+                    changed = True
+    return dict(enumerate(root))
