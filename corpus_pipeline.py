@@ -24,18 +24,21 @@ from framewell.llm.pieces import encode
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough confidence; rejected ones, null and empty texts among them, go."""
-    named = docs.select(carried(docs.columns), "doc_id", "text", "lang")
-    return identify_language(named, carry=True).where(~F.col("rejected")).select(*restored(docs.columns))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "lang")]
+    named = docs.select(carried(rest), "doc_id", "text", "lang")
+    kept = identify_language(named, carry=["text", "lang", "row"]).where(~F.col("rejected"))
+    columns = {c: F.col(c) for c in ("doc_id", "text", "lang")} | dict(zip(rest, restored(rest)))
+    return kept.select(*(columns[c] for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of lines that occur earlier; one whose every line goes is left out, an empty text stays."""
-    named = docs.select(carried(docs.columns), "doc_id", "text")
-    left = line_dedup(named).where((F.col("n_removed_lines") == 0) | (words_of(F.col("text")) > 0))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    left = line_dedup(docs.select(carried(rest), "doc_id", "text")).where((F.col("n_removed_lines") == 0) | (words_of(F.col("text")) > 0))
     cut = F.col("n_removed_lines") > 0
-    columns = dict(zip(docs.columns, restored(docs.columns)))
-    columns |= {"text": F.col("text"), "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(columns["n_chars"]).alias("n_chars")}
-    return left.select(*columns.values())
+    columns = {c: F.col(c) for c in docs.columns} | dict(zip(rest, restored(rest)))
+    columns |= {"n_chars": F.when(cut, F.length("text").cast("long")).otherwise(columns["n_chars"]).alias("n_chars")}
+    return left.select(*(columns[c] for c in docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,16 +57,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pid = F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").alias("id")).alias("pid")
     takes = mix_sources(docs, keyed=True).where("taken > 0").select(pid, "skey", "size", "taken")
     takes = takes.groupBy(*key).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("takes"))
-    sized = docs.select(carried(docs.columns), pid, source_key(F.col("source")).alias("skey"), words_of(F.col("text")).alias("size"), "text")
+    rest = [c for c in docs.columns if c != "text"]
+    sized = docs.select(carried(rest), pid, source_key(F.col("source")).alias("skey"), words_of(F.col("text")).alias("size"), "text")
     both = sized.join(takes, key).withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
     both = both.withColumn("taken", F.get("takes", F.col("k") - 1)).where("taken > 0")
     both = both.withColumn("laps", F.expr("taken div size")).withColumn("rest", F.col("taken") % F.col("size"))
     copies = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("laps") + (F.col("rest") > 0).cast("long"))))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("rest").cast("int")), " ")
     copies = copies.withColumn("whole", F.col("copy") <= F.col("laps")).withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(part))
-    columns = dict(zip(docs.columns, restored(docs.columns)))
-    columns |= {"text": F.col("text"), "n_chars": F.when(F.col("whole"), columns["n_chars"]).otherwise(F.length("text").cast("long")).alias("n_chars")}
-    return copies.select(*columns.values())
+    columns = {"text": F.col("text")} | dict(zip(rest, restored(rest)))
+    columns |= {"n_chars": F.when(F.col("whole"), columns["n_chars"]).otherwise(F.length("text").cast("long")).alias("n_chars")}
+    return copies.select(*(columns[c] for c in docs.columns))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
