@@ -546,13 +546,13 @@ RANDOM = "rs AS (SELECT target_id FROM v_embeddings ORDER BY md5('42:' || target
 
 @query("vec13_against_random", f"""WITH v AS (SELECT target_id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS e, category_id FROM v_embeddings), {RANDOM},
 a AS (SELECT v.target_id, max(list_cosine_similarity(v.e, s.e)) AS best FROM v JOIN v s ON s.category_id IN ('class-1', 'class-4') GROUP BY 1), b AS (SELECT v.target_id, max(list_cosine_similarity(v.e, s.e)) AS best FROM v JOIN v s ON s.target_id IN (SELECT target_id FROM rs) GROUP BY 1)
-SELECT round((SELECT avg(best) FROM a), 6) AS selected, round((SELECT avg(best) FROM b), 6) AS random, round((SELECT avg(best) FROM a) - (SELECT avg(best) FROM b), 6) AS gain""")
+SELECT round((SELECT avg(best) FROM a), 6) AS selected, round((SELECT avg(best) FROM b), 6) AS random, round((SELECT avg(best) FROM a) - (SELECT avg(best) FROM b), 6) + 0.0 AS gain""")
 def _(t: Tables) -> DataFrame:
     return flat(sampling.quality_against_random(t.embeddings, t.embeddings.where("category_id in ('class-1', 'class-4')")))
 
 
 @query("vec13_class_shift", f"""WITH {RANDOM}, n AS (SELECT category_id AS class_id, count(*) AS b, count(rs.target_id) AS a FROM v_embeddings v LEFT JOIN rs ON rs.target_id = v.target_id GROUP BY 1)
-SELECT class_id, round(b / (SELECT sum(b) FROM n), 6) AS share_before, round(a / (SELECT sum(a) FROM n), 6) AS share_after, round(a / (SELECT sum(a) FROM n) - b / (SELECT sum(b) FROM n), 6) AS shift FROM n""")
+SELECT class_id, round(b / (SELECT sum(b) FROM n), 6) AS share_before, round(a / (SELECT sum(a) FROM n), 6) AS share_after, round(a / (SELECT sum(a) FROM n) - b / (SELECT sum(b) FROM n), 6) + 0.0 AS shift FROM n""")
 def _(t: Tables) -> DataFrame:
     n = t.embeddings.where("category_id in ('class-1', 'class-4')").count()
     return flat(sampling.class_shift(t.embeddings.select("target_id", F.col("category_id").alias("class_id")), sampling.random_sample(t.embeddings, n)))
@@ -702,7 +702,7 @@ def _json_tables(t: Tables, at: str) -> list[DataFrame]:
 
 
 @query("snk1_write_coco", f"""WITH {NUMBERED}, a AS (SELECT *, {ABS} FROM an)
-SELECT a.split, a.id, a.image_no AS image_id, pn.unique_name AS file_name, round(ax, 6) AS x, round(ay, 6) AS y, round(greatest(aw, 0) * greatest(ah, 0), 4) AS area, min(category_name) OVER (PARTITION BY a.split, export_key) AS name FROM a JOIN pn ON pn.split = a.split AND pn.id = a.image_no""")
+SELECT a.split, a.id, a.image_no AS image_id, pn.unique_name AS file_name, round(ax, 6) + 0.0 AS x, round(ay, 6) + 0.0 AS y, round(greatest(aw, 0) * greatest(ah, 0), 4) AS area, min(category_name) OVER (PARTITION BY a.split, export_key) AS name FROM a JOIN pn ON pn.split = a.split AND pn.id = a.image_no""")
 def _(t: Tables) -> DataFrame:
     at = shared(t.spark, "coco")
     export.write_coco(_export_rows(t), at)

@@ -394,6 +394,7 @@ def test_streams(spark, tmp_path):
     q = jobs.replay(spark, str(tmp_path / "in"), d.schema, lambda s: jobs.stream_review_marks(s, str(tmp_path / "out"), str(tmp_path / "ck")))
     got = {r.target_id: r.status for r in jobs.latest_snapshot(spark, str(tmp_path / "out"), q).collect()}
     assert got == {"t0": "exclude", "t1": "fix", "t2": "keep"}
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["batch=1", "batch=2"]
     (tmp_path / "labels").mkdir()
     (tmp_path / "labels/a.txt").write_text("0 0.5 0.5 0.2 0.2\n1 0.5 0.5 0.2 0.2")
     q = jobs.stream_ingest(spark, str(tmp_path / "labels"), str(tmp_path / "boxes"), str(tmp_path / "ck2"))
