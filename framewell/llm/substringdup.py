@@ -4,7 +4,10 @@
 2. Candidates: in every `length`-byte string the smallest hash of its 32-byte pieces marks an anchor, so equal strings
    have equal anchors at equal places. Anchors whose hash occurs once can be in no repeat and go.
 3. Of each anchor left, the bytes of all strings that it is the anchor of (its context) are dealt out by the anchor's
-   hash. Equal contexts are folded in order: all but the first are removed whole.
+   hash. Equal contexts are folded in order: all but the first are removed whole. Of an anchor with more than `split`
+   places, equal contexts are folded within a task before they are dealt out, and the rest is dealt out finer: its
+   strings are grouped by where the anchor lies in them, in more groups the more places there are, and the bytes that
+   all strings of a group have around the anchor take the anchor's part. At most a group holds equal strings only.
 4. Different contexts of an anchor are joined to one text. Its suffixes are sorted to depth `length` and more, which
    gives its Burrows-Wheeler transform. Breadth-first backward extension of intervals then sets the longest common
    prefixes (LCP) of neighbouring suffixes by increasing value and stops at `length`: what is still unset is at least
@@ -14,7 +17,7 @@
 
 Ids are whole numbers; other id types are an error.
 
-Anchors and contexts are spread by hash; a task holds `batch` bytes of contexts, or those of one anchor that differ.
+Anchors and contexts are spread by hash; a task holds `batch` bytes of contexts, or those of one group that differ.
 
 Defined results: a null text counts as empty: nothing is removed. Rows with the same id and text are one document and
 get equal results; rows with the same id and different texts are ordered by a hash of the text. Null ids come before
@@ -175,7 +178,27 @@ def _stretches(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + length
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch: int = 1 << 20) -> DataFrame:
+def regrouped(c: bytes, o: int, n: int, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """The strings of a context with its anchor at o, in n groups by the anchor's place in them.
+
+    Each comes as a key, where it starts in the context, and its bytes. The key is a hash of the bytes around the anchor
+    that every string of the group has, so equal strings of any contexts get equal keys.
+    """
+    w = length - Q + 1
+    for g in range(n):
+        lo, hi = -(-g * w // n), -(-(g + 1) * w // n) - 1  # places of the anchor
+        a, b = max(0, o - hi), min(len(c) - length, o - lo)
+        if lo <= hi and a <= b:
+            core = hashlib.blake2b(c[o - lo : o - hi + length], digest_size=8, salt=bytes([g]))
+            yield int.from_bytes(core.digest(), "little", signed=True), a, c[a : b + length]
+
+
+def _spread(k: int, s: int) -> int:
+    """A key that deals rows out by their place alone."""
+    return ((k * _MUL ^ s) * _MUL & (1 << 63) - 1) >> 1
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch: int = 1 << 20, split: int = 4096) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of each removed stretch) for each document."""
     import pyarrow as pa
 
@@ -206,12 +229,38 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(k), pa.array((v << 40) | np.concatenate(at))], ["h", "k", "p"])
 
     marks = first.select("k", "v", "text").mapInArrow(tidied(found), "h long, k long, p long")
-    shared = marks.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    per_doc = marks.join(shared.hint("merge"), "h", "left_semi").groupBy("k", F.shiftrightunsigned("p", 40).alias("v")).agg(F.collect_set(F.col("p").bitwiseAND(_PLACE)).alias("at"))
+    groups = F.when(F.col("m") <= split, 1).otherwise(F.least(F.lit(length - Q + 1), F.pow(F.lit(2), F.ceil(F.log2(F.col("m") / split))))).cast("long")
+    shared = marks.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", groups.alias("groups"))
+    place = F.col("p").bitwiseAND(_PLACE).bitwiseOR(F.shiftleft("groups", 40))  # and in how many groups the anchor's strings go
+    per_doc = marks.join(shared.hint("merge"), "h").groupBy("k", F.shiftrightunsigned("p", 40).alias("v")).agg(F.collect_set(place).alias("at"))
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts of anchors; of one known to be covered whole only its size, dealt out by its place."""
+        out: list[tuple] = []
+        firsts: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}  # of much repeated anchors: k, place, anchor in it, groups
+        done: tuple = ()
+        held = 0
+
+        def folded(h: int, k: int, s: int, c: bytes, o: int, n: int) -> int:
+            seen = firsts.setdefault((h, c), (k, s, o, n))
+            if seen[:2] == (k, s):
+                return len(c)
+            late = max(seen[:2], (k, s))
+            firsts[h, c] = (*min(seen[:2], (k, s)), o, n)
+            out.append((_spread(*late), *late, None, len(c)))
+            return 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["h", "k", "s", "c", "n"])
+                out.clear()
+
+        def deal() -> None:
+            for (_, c), (k, s, o, n) in firsts.items():
+                out.extend((h, k, s + i, x, None) for h, i, x in regrouped(c, o, n, length))
+            firsts.clear()
+
         for b in slices(batches, "text"):
-            out: list[tuple] = []
-            done: tuple = ()
             for k, v, t, at in zip(b.column("k").to_pylist(), b.column("v").to_pylist(), b.column("text").to_pylist(), b.column("at")):
                 raw = t.encode("utf-8", "surrogatepass")
                 if (k, v) == done:
@@ -219,14 +268,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 done = (k, v)
                 p, h, own = anchors(np.frombuffer(raw, np.uint8), length)
                 edge = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
-                wanted = np.isin(p, at.values.to_numpy())
+                wanted = at.values.to_numpy()
+                to = np.searchsorted(p, wanted & _PLACE)
+                ok = (to < len(p)) & (p[np.minimum(to, len(p) - 1)] == wanted & _PLACE)
+                n = np.zeros(len(p), np.int64)
+                n[to[ok]] = wanted[ok] >> 40
                 for s, e in zip(edge[:-1], edge[1:]):
-                    if wanted[own[s]]:
-                        out.append((int(h[own[s]].view(np.int64)), k, (v << 40) | int(s), raw[s : e - 1 + length]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["h", "k", "s", "c"])
+                    a = own[s]
+                    if n[a] == 1:
+                        out.append((int(h[a].view(np.int64)), k, (v << 40) | int(s), raw[s : e - 1 + length], None))
+                    elif n[a]:
+                        held += folded(int(h[a]), k, (v << 40) | int(s), raw[s : e - 1 + length], int(p[a] - s), int(n[a]))
+            if held > batch:
+                deal()
+                held = 0
+            yield from flush()
+        deal()
+        yield from flush()
 
-    parts = first.join(per_doc.hint("merge"), ["k", "v"]).select("k", "v", "text", "at").mapInArrow(tidied(contexts), "h long, k long, s long, c binary")
+    parts = first.join(per_doc.hint("merge"), ["k", "v"]).select("k", "v", "text", "at").mapInArrow(tidied(contexts), "h long, k long, s long, c binary, n long")
     parts = parts.repartition("h").sortWithinPartitions("h", "c", "k", "s")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +315,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out.clear()
 
         for b in batches:
-            for h, k, s, c in zip(*(b.column(x).to_pylist() for x in ("h", "k", "s", "c"))):
+            for h, k, s, c, n in zip(*(b.column(x).to_pylist() for x in ("h", "k", "s", "c", "n"))):
+                if c is None:
+                    out.append((k, s, n))
+                    continue
                 if h != last_h:
                     close()
                     if size > batch:

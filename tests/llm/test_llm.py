@@ -255,12 +255,14 @@ def test_repeated_strings():
             assert got.tolist() == want
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("split", [4096, 1, 3])
+def test_substring_dedup(spark, split):
     rng = random.Random(2)
     parts = [words(rng, 30) + "é" for _ in range(8)]
     texts = [" ".join(rng.choice(parts) if rng.random() < 0.5 else words(rng, 12, 10**6) for _ in range(rng.randint(0, 8))) for _ in range(40)]
+    texts += [words(rng, 3, 10**6) + parts[0][:110] + words(rng, 3, 10**6) for _ in range(20)]  # many contexts of few anchors
     texts += [texts[0], texts[5], None, "ab" * 300]
-    got = {r.doc_id: r for r in substringdup.substring_dedup(frame(spark, texts)).collect()}
+    got = {r.doc_id: r for r in substringdup.substring_dedup(frame(spark, texts), split=split, batch=2000 if split == 3 else 1 << 20).collect()}
     seen: set = set()
     for i, t in enumerate(texts):
         b = (t or "").encode()
@@ -274,6 +276,14 @@ def test_substring_dedup(spark):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(hit.sum()), n, hashlib.sha256(rest).hexdigest())
 
 
+def test_strings_of_a_context_are_regrouped_once(spark):
+    c = bytes(random.Random(4).randbytes(150))
+    for o in (0, 30, 68):
+        for n in (1, 2, 4, 32, 64, 69):
+            starts = [a + i for _, a, x in substringdup.regrouped(c, o, n, 100) for i in range(len(x) - 99)]
+            assert sorted(starts) == [i for i in range(51) if 0 <= o - i <= 68]
+
+
 def test_pieces_are_lossless_and_reproducible(spark):
     texts = [*ODD, "中文 \U0001f600\n\n tail "]
     texts[7] = "y" * 20000
