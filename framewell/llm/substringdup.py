@@ -30,11 +30,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import slices, stored, tidied
+from .common import slices, stored, tasks, tidied
 
 Q = 32  # bytes of a hashed piece
 _MUL = 0x9E3779B97F4A7C15
@@ -198,7 +198,7 @@ def _spread(k: int, s: int) -> int:
     return ((k * _MUL ^ s) * _MUL & (1 << 63) - 1) >> 1
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch: int = 1 << 20, split: int = 4096) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch: int = 1 << 20, split: int = 4096, one_in: int = 64) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of each removed stretch) for each document."""
     import pyarrow as pa
 
@@ -230,9 +230,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     marks = first.select("k", "v", "text").mapInArrow(tidied(found), "h long, k long, p long")
     groups = F.when(F.col("m") <= split, 1).otherwise(F.least(F.lit(length - Q + 1), F.pow(F.lit(2), F.ceil(F.log2(F.col("m") / split))))).cast("long")
-    shared = marks.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", groups.alias("groups"))
+    # anchors seen very often in one in `one_in` documents are dealt out by place, as it is known that they repeat; of the
+    # others all places are counted
+    seen = rows.where(F.pmod(F.xxhash64("k"), F.lit(one_in)) == 0).select("k", F.lit(0).cast("long").alias("v"), "text").mapInArrow(tidied(found), "h long, k long, p long")
+    often = seen.groupBy("h").agg((F.count("*") * one_in).alias("m")).where((F.col("m") > split) & (F.col("m") > one_in))
+    often = often.orderBy(F.desc("m"), "h").limit(4 * tasks(docs)).select("h", groups.alias("often"))
+    spread = marks.join(F.broadcast(often), "h", "left").select("k", "p", "often", F.when(F.col("often").isNull(), F.col("h")).otherwise(F.xxhash64("k", "p")).alias("h"))
+    counted = spread.withColumn("m", F.count("*").over(Window.partitionBy("h"))).where("m > 1 or often is not null").withColumn("groups", F.coalesce("often", groups))
     place = F.col("p").bitwiseAND(_PLACE).bitwiseOR(F.shiftleft("groups", 40))  # and in how many groups the anchor's strings go
-    per_doc = marks.join(shared.hint("merge"), "h").groupBy("k", F.shiftrightunsigned("p", 40).alias("v")).agg(F.collect_set(place).alias("at"))
+    per_doc = counted.groupBy("k", F.shiftrightunsigned("p", 40).alias("v")).agg(F.collect_set(place).alias("at"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts of anchors; of one known to be covered whole only its size, dealt out by its place."""
