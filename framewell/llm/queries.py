@@ -1,4 +1,4 @@
-"""The ten registered queries opN_<name> and the pipeline, each over its whole table."""
+"""The registered queries opN_<name> and the pipeline, each over its whole table."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .convtrie import conversation_trie
 from .langid import identify_language
 from .linededup import line_dedup
 from .mixing import mix_sources
@@ -66,12 +67,16 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), shared_openings=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_pii, op4_toxicity, op5_quality_rules, op6_substrings, op7_pieces, op8_language_id, op9_mixing, op10_embeddings)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_pii, op4_toxicity, op5_quality_rules, op6_substrings, op7_pieces, op8_language_id, op9_mixing, op10_embeddings, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2, "op5_quality_rules": OP5, "op9_mixing": OP9, "op10_embeddings": OP10}
+    return {"op2_minhash": OP2, "op5_quality_rules": OP5, "op9_mixing": OP9, "op10_embeddings": OP10, "op13_conversations": OP13}
 
 
 #: The slots of a source tile its target's words, so a document is taken once for each whole lap of the source and once
@@ -152,3 +157,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT repeated AS kept
 FROM m
 """
+
+
+#: The table of crc32 by its rule, and the checksum of a text of code points below 256 as UTF-8.
+_CRC_TABLE = """g AS (SELECT range AS i, 0 AS k, range AS v FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM g WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM g WHERE k = 8)"""
+
+
+def _crc(x: str) -> str:
+    codes = f"list_transform(string_split({x}, ''), lambda y: ord(y))"
+    octets = f"flatten(list_transform({codes}, lambda y: CASE WHEN y < 128 THEN [CAST(y AS BIGINT)] ELSE [CAST(192 + (y >> 6) AS BIGINT), CAST(128 + (y & 63) AS BIGINT)] END))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda s, b: xor(s >> 8, t[xor(s & 255, b) + 1])), 4294967295)"
+
+
+#: Prefixes as lists of digests joined to one text; a node's subtree are the later prefixes of its members.
+OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+s AS (SELECT conv_id AS c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS said,
+             coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\x0c\\r]+')), 0) AS words FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, said) AS pos FROM s),
+w AS (SELECT c, c - c % 20 AS base, {_crc("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM t), tab),
+lead AS (SELECT w.c, t.pos, said, words FROM w JOIN t ON t.c = w.base AND t.pos <= w.h),
+n AS (SELECT c, count(*) AS n FROM lead GROUP BY c),
+r AS (SELECT * FROM lead UNION ALL SELECT t.c, t.pos - w.h + coalesce(n.n, 0), said, words FROM t JOIN w ON w.c = t.c AND t.pos > w.h LEFT JOIN n ON n.c = t.c),
+p AS (SELECT c, pos, words, string_agg(said, ',') OVER (PARTITION BY c ORDER BY pos) AS k FROM r UNION ALL SELECT c, 0, 0, '' FROM w),
+e AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY pos) AS up, pos = max(pos) OVER (PARTITION BY c) AS ends FROM p),
+v AS (SELECT k, any_value(up) AS up, any_value(pos) AS depth, any_value(words) AS words, count(*) AS n_convs, min(c) AS conv_id,
+             coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '') AS ids FROM e GROUP BY k),
+m AS (SELECT up, count(*) AS n FROM v GROUP BY up),
+x AS (SELECT DISTINCT a.k, b.k AS below FROM p a JOIN p b ON a.c = b.c AND a.pos <= b.pos),
+y AS (SELECT x.k, count(CASE WHEN m.n IS NULL THEN 1 END) AS n_leaves, CAST(sum((v.n_convs - 1) * v.words) AS BIGINT) AS saved_tokens FROM x JOIN v ON v.k = x.below LEFT JOIN m ON m.up = x.below GROUP BY x.k)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(m.n, 0) AS n_children, n_leaves, saved_tokens, sha256(v.ids) AS ends_sha256
+FROM v JOIN y ON y.k = v.k LEFT JOIN m ON m.up = v.k LEFT JOIN v u ON u.k = v.up
+"""
