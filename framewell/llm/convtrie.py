@@ -32,7 +32,7 @@ from .mixing import _ranked
 
 #: Turns of a stretch, as a power of two; so many neighbouring ids make up a part of a node's list of ends, too.
 STRETCH = 10
-ROOT = F.unhex(F.lit("0" * 32))
+ROOT = bytes(16)
 
 
 def numbered_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -126,33 +126,33 @@ def contract(tree: DataFrame, values: list[str]) -> DataFrame:
     own, load = [f"{v}_own" for v in values], [f"{v}_load" for v in values]  # what a node holds, and what rides on it for nodes spliced out above it
     left = tree.select("node", "parent", "kids", *(F.col(v).alias(o) for v, o in zip(values, own)), *(F.lit(0).cast("long").alias(x) for x in load))
     rounds: list[DataFrame] = []
-    while not rounds or rounds[-1].where("fate = 'left'").limit(1).count():
+    while True:
         number = len(rounds)
-        raked = left.where("kids = 0")
-        given = raked.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("gone"), *(F.sum(F.col(o) + F.col(x)).alias(f"{o}_in") for o, x in zip(own, load)))
-        kept = left.where("kids > 0").join(given, "node", "left")
-        kept = kept.select("node", "parent", (F.col("kids") - F.coalesce("gone", F.lit(0))).alias("kids"), *((F.col(o) + F.coalesce(f"{o}_in", F.lit(0))).alias(o) for o in own), *load)
+        given = left.where("kids = 0 and parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("gone"), *(F.sum(F.col(o) + F.col(x)).alias(f"{o}_in") for o, x in zip(own, load)))
+        grown = [(F.col(o) + F.coalesce(f"{o}_in", F.lit(0))).alias(o) for o in own]
+        raked = left.join(given, "node", "left").select("node", "parent", (F.col("kids") == 0).alias("raked"), (F.col("kids") - F.coalesce("gone", F.lit(0))).alias("kids"), *grown, *load)
+        raked = stored(raked, "trie-raked")
         coin = lambda node: F.xxhash64(F.lit(number), node) % 2 == 0
-        only = kept.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.first(F.struct("node", "kids", *load)).alias("child"))
+        only = raked.where("not raked and parent is not null").groupBy(F.col("parent").alias("node")).agg(F.first(F.struct("node", "kids", *load)).alias("child"))
         free = (F.col("child.kids") != 1) | ~coin(F.col("child.node"))
         goes = F.coalesce((F.col("kids") == 1) & F.col("parent").isNotNull() & coin(F.col("node")) & free, F.lit(False))
-        told = kept.join(only, "node", "left").withColumn("goes", goes)
-        news = told.where("goes").select(F.col("child.node").alias("node"), F.col("parent").alias("above"), *((F.col(o) + F.col(x)).alias(f"{x}_in") for o, x in zip(own, load)))
-        moved = told.where("not goes").drop("child", "goes").join(news, "node", "left")
-        moved = moved.select("node", F.coalesce("above", "parent").alias("parent"), "kids", *own, *((F.col(x) + F.coalesce(f"{x}_in", F.lit(0))).alias(x) for x in load))
-        spliced = told.where("goes").select("node", F.col("child.node").alias("via"), *((F.col(o) + F.col(f"child.{x}")).alias(o) for o, x in zip(own, load)))
-        out = moved.withColumn("fate", F.lit("left"))
-        out = out.unionByName(raked.select("node", *own, F.lit("raked").alias("fate")), allowMissingColumns=True)
-        out = out.unionByName(spliced.withColumn("fate", F.lit("spliced")), allowMissingColumns=True)
-        rounds.append(stored(out, "trie-round"))
-        left = rounds[-1].where("fate = 'left'").drop("fate", "via")
+        told = raked.join(only, "node", "left").withColumn("fate", F.when(F.col("raked"), "raked").when(goes, "spliced").otherwise("left"))
+        rounds.append(stored(told, "trie-round"))
+        released(raked)
+        told = rounds[-1]
+        if not told.where("fate = 'left'").limit(1).count():
+            break
+        spliced = told.where("fate = 'spliced'")
+        news = spliced.select(F.col("child.node").alias("node"), F.col("parent").alias("above"), *((F.col(o) + F.col(x)).alias(f"{x}_in") for o, x in zip(own, load)))
+        moved = told.where("fate = 'left'").join(news, "node", "left")
+        left = moved.select("node", F.coalesce("above", "parent").alias("parent"), "kids", *own, *((F.col(x) + F.coalesce(f"{x}_in", F.lit(0))).alias(x) for x in load))
     known, written = None, []
     for number in range(len(rounds) - 1, -1, -1):
         r = rounds[number]
         totals = r.where("fate = 'raked'").select("node", *own)
         if known is not None:
             sums = known.select(F.col("node").alias("via"), *(F.col(o).alias(f"{o}_in") for o in own))
-            again = r.where("fate = 'spliced'").select("node", "via", *own).join(sums, "via")
+            again = r.where("fate = 'spliced'").select("node", F.col("child.node").alias("via"), *((F.col(o) + F.col(f"child.{x}")).alias(o) for o, x in zip(own, load))).join(sums, "via")
             totals = totals.unionByName(known).unionByName(again.select("node", *((F.col(o) + F.col(f"{o}_in")).alias(o) for o in own)))
         known = totals
         if number % 4 == 0:
@@ -170,13 +170,13 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     held = stored(prefixes(turns, lengths), "trie-prefixes")
     nodes = held.groupBy("node").agg(F.first("parent").alias("parent"), F.first("pos").alias("depth"), F.first("words").alias("words"), F.count("*").alias("n_convs"), F.min("conv").alias("conv_id"))
     root = lengths.agg(F.count("*").alias("n_convs"), F.min("conv").alias("conv_id")).where("n_convs > 0")
-    root = root.select(ROOT.alias("node"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("words"), "n_convs", "conv_id")
+    root = root.select(F.lit(ROOT).alias("node"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("words"), "n_convs", "conv_id")
     nodes = nodes.unionByName(root)
     kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
     nodes = stored(nodes.join(kids, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))), "trie-nodes")
     leaf = (F.col("n_children") == 0).cast("long")
     totals = contract(nodes.select("node", "parent", F.col("n_children").alias("kids"), leaf.alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens")), ["n_leaves", "saved_tokens"])
-    ends = held.where("ends").select("node", "conv").unionByName(lengths.where("n = 0").select(ROOT.alias("node"), "conv"))
+    ends = held.where("ends").select("node", "conv").unionByName(lengths.where("n = 0").select(F.lit(ROOT).alias("node"), "conv"))
     above = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     out = nodes.join(totals, "node").join(hashed_lists(ends), "node", "left").join(above, "parent", "left")
     none = hashlib.sha256(b"").hexdigest()

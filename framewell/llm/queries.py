@@ -16,7 +16,9 @@ from .neardup import near_duplicates
 from .pieces import encode
 from .pii import pseudonymize
 from .quality import quality_rules
+from .spelling import spelling_variants
 from .substringdup import substring_dedup
+from .topk import exact_top_k
 from .toxicity import toxicity
 from .vectordup import embedding_duplicates
 
@@ -67,16 +69,25 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries that the contract fixes: ids divisible by 50, against all rows."""
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), shared_openings=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_pii, op4_toxicity, op5_quality_rules, op6_substrings, op7_pieces, op8_language_id, op9_mixing, op10_embeddings, op13_conversations)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_pii, op4_toxicity, op5_quality_rules, op6_substrings, op7_pieces, op8_language_id, op9_mixing, op10_embeddings, op11_top_k, op12_spelling, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2, "op5_quality_rules": OP5, "op9_mixing": OP9, "op10_embeddings": OP10, "op13_conversations": OP13}
+    return {"op2_minhash": OP2, "op5_quality_rules": OP5, "op9_mixing": OP9, "op10_embeddings": OP10, "op11_top_k": OP11, "op12_spelling": OP12, "op13_conversations": OP13}
 
 
 #: The slots of a source tile its target's words, so a document is taken once for each whole lap of the source and once
@@ -190,3 +201,27 @@ y AS (SELECT x.k, count(CASE WHEN m.n IS NULL THEN 1 END) AS n_leaves, CAST(sum(
 SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(m.n, 0) AS n_children, n_leaves, saved_tokens, sha256(v.ids) AS ends_sha256
 FROM v JOIN y ON y.k = v.k LEFT JOIN m ON m.up = v.k LEFT JOIN v u ON u.k = v.up
 """
+
+#: Near words by what is left when a code point goes: a shared rest at the same place, or one word as the other's rest.
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+u AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+f AS (SELECT id, run, count(*) AS m FROM u WHERE length(run) >= 5 GROUP BY ALL),
+c AS (SELECT run, m, {_crc("id || ':' || run")} AS h FROM f, tab),
+o AS (SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, m FROM c),
+v AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM o WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+d AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS x FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.x = b.x AND a.i = b.i AND a.word <> b.word UNION SELECT v.word, d.word FROM v JOIN d ON v.word = d.x UNION SELECT d.word, v.word FROM v JOIN d ON v.word = d.x),
+k AS (SELECT a, b, v.n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) AS k FROM p JOIN v ON v.word = p.b),
+w AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN k.n >= 2 * v.n THEN b END AS form, CASE WHEN k.n >= 2 * v.n THEN k.n END AS form_n FROM v LEFT JOIN k ON k.a = v.word AND k.k = 1),
+r AS (SELECT word, word AS root, form FROM w UNION ALL SELECT r.word, w.word, w.form FROM r JOIN w ON w.word = r.form)
+SELECT w.word, w.form, r.root, w.n, w.n_near, w.form_n FROM w JOIN r ON r.word = w.word AND r.form IS NULL
+"""
+
+#: All pairs of a query and another row.
+OP11 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+"""

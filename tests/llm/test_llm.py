@@ -1,14 +1,17 @@
 """The text and vector operators against brute force, on small inputs, with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import math
 import random
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewell.llm import langid, linededup, mixing, neardup, pieces, pii, quality, substringdup, toxicity, vectordup
+from framewell.llm import convtrie, langid, linededup, mixing, neardup, pieces, pii, quality, spelling, substringdup, topk, toxicity, vectordup
 from framewell.llm import text as tx
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -612,3 +615,148 @@ def brute_components(texts, percent):
                     root = [a if r == b else r for r in root]
                     changed = True
     return dict(enumerate(root))
+
+
+def brute_top(rows, asks, k):
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, (i, x) in enumerate(ints):
+        if asks(i):
+            found = sorted((-sum(a * b for a, b in zip(x, y)), j is None, j or 0, j) for p, (j, y) in enumerate(ints) if p != q)
+            out += [(i, r + 1, j, -s) for r, (s, _, _, j) in enumerate(found[:k])]
+    return sorted(out, key=repr)
+
+
+def test_top_k_is_exact(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 8))
+    rows = [(i, (centres[i % 12] * rng.uniform(0.2, 3) + 0.1 * rng.standard_normal(8)).tolist()) for i in range(1500)]
+    rows += [(2000 + i, rows[7][1]) for i in range(300)]  # copies: one annulus of many blocks
+    rows += [(5000, None), (5050, [1.0, None] + [0.0] * 6), (5100, [float("nan")] * 8), (5150, [float("inf")] * 8), (5200, []), (5250, [0.5, -0.5]), (None, [3.0] * 8), (50, rows[50][1])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "v", "row", "cell", "ring", "r", "norm", "asks", "rank", "score", "query_id", "cuts")})
+    for small in ({}, {"ring": 16, "block": 20, "first": 64}):
+        got = topk.exact_top_k(v, F.col("vec_id") % 50 == 0, **small).collect()
+        assert sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in got), key=repr) == brute_top(rows, lambda i: i is not None and i % 50 == 0, 5)
+
+
+def test_top_k_of_few_rows_and_large_numbers(spark):
+    rows = [(0, [1e6, -3e7]), (1, [2.5, 2.0]), (50, [1e6, 1.0])]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows, lambda i: i % 50 == 0, 5)
+    named = spark.createDataFrame([("a", [1.0]), ("b", [1.0]), ("c", [-1.0])], "vec_id string, embedding array<float>")
+    assert [(r.query_id, r.vec_id, r.score) for r in topk.exact_top_k(named, F.col("vec_id") == "a").orderBy("rank").collect()] == [("a", "b", 65536), ("a", "c", -65536)]
+    assert topk.exact_top_k(named.limit(0), F.lit(True)).count() == 0
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def test_composition_accepts_pairs_one_edit_apart():
+    rng = random.Random(1)
+    for t in range(60):
+        groups = [sorted({"".join(rng.choice("abcé"[: 2 + t % 3]) for _ in range(rng.randrange(7))) for _ in range(rng.randrange(1, 40))}) for _ in range(rng.randrange(1, 5))]
+        flat = [(g, w) for g, ws in enumerate(groups) for w in ws]
+        sizes = np.array([len(w) for _, w in flat])
+        codes = np.frombuffer("".join(w for _, w in flat).encode("utf-32-le"), np.uint32)
+        a, b = spelling.composed(codes, np.cumsum(sizes) - sizes, sizes, np.array([g for g, _ in flat]), np.full(len(groups), 99))
+        got = sorted(tuple(sorted(p)) for p in zip(a.tolist(), b.tolist()))
+        assert got == [(i, j) for i in range(len(flat)) for j in range(i + 1, len(flat)) if flat[i][0] == flat[j][0] and one_edit(flat[i][1], flat[j][1])]
+
+
+def test_acceptor_is_minimal():
+    words = sorted(a + b for a in ("ab", "ba", "c") for b in ("x", "xy", "zy"))
+    sizes = np.array([len(w) for w in words])
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    root, final, first, label, target, skip = spelling.minimised(codes, np.cumsum(sizes) - sizes, sizes, np.zeros(len(words), np.int64))
+
+    def language(s):
+        return frozenset(["" for _ in range(int(final[s]))] + [chr(label[e]) + w for e in range(first[s], first[s + 1]) for w in language(target[e])])
+
+    assert language(root[0]) == set(words)
+    assert len({language(s) for s in range(len(final))}) == len(final)
+
+
+def brute_spelling(texts):
+    n = Counter()
+    for i, t in texts:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+    form, near = {}, {}
+    for w in n:
+        others = [x for x in n if abs(len(x) - len(w)) < 2 and x != w and one_edit(x, w)]
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        near[w], form[w] = len(others), best if best and n[best] >= 2 * n[w] else None
+    root = {}
+    for w in n:
+        root[w] = w
+        while form[root[w]]:
+            root[w] = form[root[w]]
+    return sorted(((w, form[w], root[w], n[w], near[w], n.get(form[w])) for w in n), key=repr)
+
+
+@pytest.mark.parametrize("limit", [4096, 20, 1])
+def test_spelling_variants(spark, limit):
+    rng = random.Random(limit)
+    base = ["".join(rng.choice("abÉéz×") for _ in range(rng.randrange(4, 9))) for _ in range(60)] + ["aaaaa" + "".join(rng.choice("ab") for _ in range(6)) for _ in range(60)]
+    words = [w for w in base for _ in range(rng.choice([1, 3, 9, 40]))]
+    words += [w[: (k := rng.randrange(len(w)))] + rng.choice(["", "a", "Q"]) + w[k + rng.randrange(2) :] for w in words]
+    rng.shuffle(words)
+    texts = [(i, " ".join(words[i::40])) for i in range(40)] + [(7, None), (None, words[0]), (8, ""), (9, " ".join(["q" * 3000, "q" * 3001] * 3)), (9, words[1])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "word", "run", "h", "n", "g", "part", "free", "extra", "form", "root", "many")})
+    got = spelling.spelling_variants(docs, limit=limit).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_spelling(texts)
+    if limit == 1:
+        assert spelling.spelling_variants(docs.limit(0)).count() == 0
+
+
+def brute_trie(rows, shared):
+    said = lambda role, text: (role or "", text or "")
+    order = lambda r: (r[1] is not None, r[1] or 0, hashlib.sha256(f"{len(r[2] or '')}:{r[2] or ''}:{r[3] or ''}".encode()).hexdigest())
+    convs = {}
+    for r in sorted((r for r in rows if r[0] is not None), key=order):
+        convs.setdefault(r[0], []).append(said(r[2], r[3]))
+    if shared:
+        first = lambda c: zlib.crc32(str(c).encode()) % 4
+        convs = {c: convs.get(c - c % 20, [])[: first(c)] + t[first(c) :] for c, t in convs.items()}
+    nodes = {}
+    for c, t in convs.items():
+        for d in range(len(t) + 1):
+            nodes.setdefault(tuple(t[:d]), []).append(c)
+    out = []
+    for k, m in nodes.items():
+        below = [x for x in nodes if x[: len(k)] == k]
+        leaves = sum(not any(y[:-1] == x for y in nodes if y) for x in below)
+        saved = sum((len(nodes[x]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", x[-1][1])) for x in below if x)
+        ends = ",".join(map(str, sorted(c for c in m if len(convs[c]) == len(k))))
+        out.append((min(m), len(k), min(nodes[k[:-1]]) if k else None, len(m), sum(y[:-1] == k for y in nodes if y), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_conversation_trie(spark, shared):
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice(["a b", "a", "c  d\te", ""])) for c in range(90) for t in range(rng.randrange(6)) if c % 11 != 5]
+    rows += [(c, t, "user", "same words here") for c in range(2000, 2030) for t in range(3)]  # one conversation, many times
+    rows += [(3000, t, "user", f"turn {t}") for t in range(40)]  # a chain
+    rows += [(None, 1, "user", "nobody's"), (40, None, None, None), (40, None, "user", "x"), (40, 1, "user", "tie"), (40, 1, "user", "tie"), (40, 1, "user", "other"), (-21, 1, "user", "below zero")]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("conv", "pos", "said", "words", "node", "parent", "b", "m", "n")})
+    got = convtrie.conversation_trie(talks, shared_openings=shared).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_trie([(*r[:2], *r[2:]) for r in rows], shared)
+    if shared:
+        assert convtrie.conversation_trie(talks.limit(0), shared_openings=True).count() == 0
+
+
+def test_long_lists_of_ends_and_long_conversations(spark, monkeypatch):
+    monkeypatch.setattr(convtrie, "STRETCH", 2)
+    rows = [(c, t, "user", "hello") for c in range(0, 60, 2) for t in range(9)] + [(1, t, "user", str(t)) for t in range(70)]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = convtrie.conversation_trie(talks).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_trie(rows, False)
