@@ -6,12 +6,13 @@ by a golden-ratio sequence (i * K mod M, exact in 64-bit integers) through the c
 every stretch of the schedule holds the sources in about the target shares. The slots of a source are ranked; the
 rank-th slot takes the rank-th block of the source's shuffled documents, laid end to end and started again when
 they are used up. All blocks of a source hold equally many words (target / slots, to a word), so a source's blocks
-add up to its target exactly, and no document is taken more than `cap` times.
+add up to its target exactly, and no document is taken more than `cap` times. Each document gets the first slot that
+takes from it, its place in the mix, and how many stretches of slots take from it.
 
 Ranks and word positions are prefix sums over two levels (buckets of a source, then rows of a bucket, about the
 square root of all rows each), so no source is ever gathered in one task.
 
-Defined results: a null text has size 0 and is taken 0 times; null sources form one source, which comes last;
+Defined results: a null text has size 0, is taken 0 times and has no slot; null sources form one source, which comes last;
 repeated rows are separate documents of the same order key, and swapping them changes no result. An empty table
 gives an empty result. Without any word all targets are 0.
 """
@@ -96,7 +97,9 @@ def schedule(shares: DataFrame, n_slots: int, small: bool) -> DataFrame:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, block_words: int = 1024, keyed: bool = False) -> DataFrame:
     """id, size, source_size, target, taken: how many of each document's words the mix takes, repeats counted.
 
-    keyed: and skey, which tells sources apart (see source_key).
+    And first_slot (null where nothing is taken) and n_takes, the stretches of slots (a new one where the source's
+    documents start again) that take words from the document. keyed: and skey, which tells sources apart (see source_key),
+    and lap_slots, how many slots of the schedule it takes on average until the source's documents start again.
     """
     rows = stored(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     n, words, n_sources = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.countDistinct("skey")).first()
@@ -112,13 +115,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     laps = slots.join(by_source.select("skey", "source_size"), "skey").where("end > begin")
     laps = laps.withColumn("lap", F.explode(F.sequence(F.floor(F.col("begin") / F.col("source_size")), F.floor((F.col("end") - 1) / F.col("source_size")))))
     base = F.col("lap") * F.col("source_size")
-    pieces = laps.select("skey", F.greatest(F.col("begin") - base, F.lit(0)).alias("p"), F.least(F.col("end") - base, F.col("source_size")).alias("q"))
+    pieces = laps.select("skey", "slot", F.greatest(F.col("begin") - base, F.lit(0)).alias("p"), F.least(F.col("end") - base, F.col("source_size")).alias("q"))
     cell = lambda a, b: F.explode(F.sequence(F.floor(a / block_words), F.floor((b - 1) / block_words)))
     pieces = pieces.withColumn("cell", cell(F.col("p"), F.col("q")))
     spread = placed.where("size > 0").select("skey", "id", "h", "size", "a", (F.col("a") + F.col("size")).alias("z")).withColumn("cell", cell(F.col("a"), F.col("z")))
     both = spread.join(pieces, ["skey", "cell"])
     lo, hi = F.col("cell") * block_words, (F.col("cell") + 1) * block_words
     overlap = F.greatest(F.least("z", "q", hi) - F.greatest("a", "p", lo), F.lit(0))
-    taken = both.groupBy("skey", "a", "size").agg(F.sum(overlap).alias("taken"))
+    begins = (overlap > 0) & (F.greatest("a", "p") >= lo)  # a stretch counts in the cell where it meets the document first
+    taken = both.groupBy("skey", "a", "size").agg(F.sum(overlap).alias("taken"), F.min(F.when(overlap > 0, F.col("slot"))).alias("first_slot"), F.count_if(begins).alias("n_takes"))
     out = placed.join(taken, ["skey", "a", "size"], "left").join(by_source, "skey")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["skey"] if keyed else []))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_takes", F.lit(0)).alias("n_takes"), *(["skey", (F.col("source_size") / F.col("target") * (words // block_words + 1)).alias("lap_slots")] if keyed else []))

@@ -90,8 +90,8 @@ def oracle_sql() -> dict[str, str]:
     return {"op2_minhash": OP2, "op5_quality_rules": OP5, "op9_mixing": OP9, "op10_embeddings": OP10, "op11_top_k": OP11, "op12_spelling": OP12, "op13_conversations": OP13}
 
 
-#: The slots of a source tile its target's words, so a document is taken once for each whole lap of the source and once
-#: more as far as the last, unfinished lap reaches into it.
+#: The schedule slot by slot: golden-ratio points through the cumulative targets, the slots of a source ranked and dealt
+#: equal stretches of its endless line, cut at its laps, and the documents' words laid end to end below them.
 OP9 = r"""
 WITH d AS (
     SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
@@ -106,10 +106,19 @@ f AS (
     FROM w),
 l AS (SELECT arg_min(level, (r, skey)) AS level FROM f WHERE 3 * s / w > level),
 t AS (SELECT f.skey, f.s, CASE WHEN 3 * f.s / f.w > f.level OR f.r >= (SELECT min(r) FROM f WHERE 3 * s / w > level) THEN l.level * f.w ELSE CAST(3 * f.s AS DOUBLE) END AS t FROM f, l),
-p AS (SELECT doc_id, skey, size, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d)
-SELECT doc_id, size, s AS source_size, t AS target,
-       CAST(CASE WHEN size = 0 THEN 0 ELSE (CAST(floor(t) AS BIGINT) // s) * size + greatest(0, least(a + size, CAST(floor(t) AS BIGINT) % s) - a) END AS BIGINT) AS taken
-FROM p JOIN t USING (skey)
+p AS (SELECT doc_id, skey, size, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d),
+n AS (SELECT CAST(sum(size) // 1024 + 1 AS BIGINT) AS n FROM d),
+e AS (SELECT skey, s, t, CAST(round(sum(t) OVER (ORDER BY skey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / (SELECT sum(t) FROM t) * 2147483647) AS BIGINT) AS hi FROM t WHERE t >= 1),
+b AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY skey), 0) AS lo FROM e),
+i AS (SELECT slot, (slot % 2147483647) * 1327217885 % 2147483647 AS y FROM (SELECT unnest(range(n)) AS slot FROM n)),
+h AS (SELECT slot, skey FROM i JOIN b ON y >= lo AND y < hi UNION ALL SELECT n, skey FROM n, e),
+r AS (SELECT slot, h.skey, s, CAST(floor(t) AS HUGEINT) AS t, row_number() OVER (PARTITION BY h.skey ORDER BY slot) - 1 AS k, count(*) OVER (PARTITION BY h.skey) AS c FROM h JOIN e ON e.skey = h.skey),
+g AS (SELECT slot, skey, s, CAST(k * t // c AS BIGINT) AS p, CAST((k + 1) * t // c AS BIGINT) AS q FROM r),
+o AS (SELECT slot, skey, greatest(p - lap * s, 0) AS p, least(q - lap * s, s) AS q FROM (SELECT *, unnest(range(p // s, (q - 1) // s + 1)) AS lap FROM g WHERE q > p)),
+x AS (SELECT p.skey, p.a, p.size, CAST(sum(least(p.a + p.size, o.q) - greatest(p.a, o.p)) AS BIGINT) AS taken, min(slot) AS first_slot, count(*) AS n_takes
+      FROM p JOIN o ON o.skey = p.skey AND o.p < p.a + p.size AND o.q > p.a WHERE p.size > 0 GROUP BY ALL)
+SELECT doc_id, p.size, s AS source_size, t AS target, coalesce(x.taken, 0) AS taken, first_slot, coalesce(n_takes, 0) AS n_takes
+FROM p JOIN t USING (skey) LEFT JOIN x ON x.skey = p.skey AND x.a = p.a AND x.size = p.size
 """
 
 OP10 = """
