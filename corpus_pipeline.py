@@ -48,26 +48,29 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at which a source's last lap ends is cut after its taken words.
+    """Documents as often as the mix takes them, in the order of the mix's slots, so that any stretch of the result holds
+    the sources in about their target shares; the one at which a source's last lap ends is cut after its taken words.
 
     Texts without a word have nothing to take and go. Rows of one source, id and size take what the mix gives to them in
     the order of their texts' hashes, so no words are given twice.
     """
     key = ["pid", "skey", "size"]
     pid = F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").alias("id")).alias("pid")
-    takes = mix_sources(docs, keyed=True).where("taken > 0").select(pid, "skey", "size", "taken")
-    takes = takes.groupBy(*key).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("takes"))
+    takes = mix_sources(docs, keyed=True).where("taken > 0").select(pid, "skey", "size", "taken", "first_slot", "lap_slots")
+    takes = takes.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("taken", "first_slot", "lap_slots")), asc=False).alias("takes"))
     rest = [c for c in docs.columns if c != "text"]
     sized = docs.select(carried(rest), pid, source_key(F.col("source")).alias("skey"), words_of(F.col("text")).alias("size"), "text")
     both = sized.join(takes, key).withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
-    both = both.withColumn("taken", F.get("takes", F.col("k") - 1)).where("taken > 0")
+    both = both.withColumn("take", F.get("takes", F.col("k") - 1)).withColumn("taken", F.col("take.taken")).where("taken > 0")
     both = both.withColumn("laps", F.expr("taken div size")).withColumn("rest", F.col("taken") % F.col("size"))
     copies = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("laps") + (F.col("rest") > 0).cast("long"))))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("rest").cast("int")), " ")
     copies = copies.withColumn("whole", F.col("copy") <= F.col("laps")).withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(part))
     columns = {"text": F.col("text")} | dict(zip(rest, restored(rest)))
     columns |= {"n_chars": F.when(F.col("whole"), columns["n_chars"]).otherwise(F.length("text").cast("long")).alias("n_chars")}
-    return copies.select(*(columns[c] for c in docs.columns))
+    slot = F.col("take.first_slot") + (F.col("copy") - 1) * F.col("take.lap_slots")
+    ordered = copies.select(*(columns[c] for c in docs.columns), slot.alias(" slot")).repartitionByRange(F.col("` slot`")).sortWithinPartitions(F.col("` slot`"))
+    return ordered.drop(" slot")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
