@@ -118,6 +118,8 @@ def with_views(sql: str) -> str:
     add(sql)
     head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in order)
     body = sql.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body.removeprefix('WITH RECURSIVE ')}"
     if not head:
         return body
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from .ranking import distributed_rank
 
 
 def _sized(boxes: DataFrame) -> DataFrame:
@@ -84,18 +85,21 @@ def cap_majority(boxes: DataFrame, seed: int, multiplier: float = 1.0, reference
     """Images kept when each class is capped at reference * multiplier images, before any split.
 
     A class deals its places out in turns over (source, box size) groups, in seeded order within one; an image stays
-    if any of its classes keeps it. Groups are ranked on their own and turns become one rank a class by a sum over
-    turn counts, so a large class is never sorted in one task.
+    if any of its classes keeps it. Groups are ranked in buckets of the seeded hash, and turns become one rank a class by
+    sums over turn counts and over stretches of turns, so neither a large class nor a large group is sorted in one task.
     """
     size = F.when(F.col("ratio_") < 0.01, 0).when(F.col("ratio_") < 0.1, 1).otherwise(2)
     rows = _sized(boxes).groupBy("export_key", "source_id", "image_id").agg(F.max(size).alias("size"))
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("image_id")).cast("binary"))
-    turn = F.row_number().over(Window.partitionBy("export_key", "source_id", "size").orderBy("h", "image_id"))
-    turns = rows.withColumn("h", h).withColumn("turn", turn)
-    per_turn = turns.groupBy("export_key", "turn").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("export_key").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    per_turn = per_turn.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = F.row_number().over(Window.partitionBy("export_key", "turn").orderBy("source_id", "size", "h", "image_id"))
+    rows = rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("image_id")).cast("binary")))
+    turns = distributed_rank(rows, ["h", "image_id"], F.substring("h", 1, 3), "turn", ["export_key", "source_id", "size"])
+    stretch = F.floor(F.col("turn") / 1024)
+    per_turn = turns.groupBy("export_key", "turn").agg(F.count("*").alias("n")).withColumn("stretch", stretch)
+    ahead = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    sums = per_turn.groupBy("export_key", "stretch").agg(F.sum("n").alias("n"))
+    sums = sums.select("export_key", "stretch", F.coalesce(F.sum("n").over(ahead("export_key").orderBy("stretch")), F.lit(0)).alias("base"))
+    per_turn = per_turn.withColumn("own", F.coalesce(F.sum("n").over(ahead("export_key", "stretch").orderBy("turn")), F.lit(0)))
+    per_turn = per_turn.join(sums, ["export_key", "stretch"]).select("export_key", "turn", (F.col("base") + F.col("own")).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("export_key", "turn").orderBy("source_id", "size", "h", "image_id"))  # a row a group
     ranked = turns.join(per_turn, ["export_key", "turn"]).withColumn("place", F.col("ahead") + within)
     counts = boxes.groupBy("export_key").agg(F.countDistinct("image_id").alias("n"))
     base = F.lit(float(manual)) if manual is not None else F.min("n") if reference == "smallest" else F.percentile("n", 0.5)

@@ -61,10 +61,14 @@ def conflict_rows(images: DataFrame) -> DataFrame:
 
 
 def staged_names(images: DataFrame) -> DataFrame:
-    """Names by a counter for each original name: the first keeps it, the k-th after it gets -k."""
-    k = F.row_number().over(Window.partitionBy("file_name").orderBy("image_id")) - 1
+    """Names by a counter for each original name: the first keeps it, the k-th after it gets -k.
+
+    Ranked in buckets of the ids, so a name that very many images have is shared by tasks.
+    """
+    ranked = distributed_rank(images, ["image_id"], spread_bucket(images, "image_id"), "k_", ["file_name"])
     ext = F.regexp_extract("file_name", r"(?<=.)(\.[^.]*)$", 1)
-    return images.withColumn("staged_name", F.when(k == 0, F.col("file_name")).otherwise(F.concat(fn.stem(F.col("file_name")), F.lit("-"), k.cast("string"), ext)))
+    name = F.when(F.col("k_") == 1, F.col("file_name")).otherwise(F.concat(fn.stem(F.col("file_name")), F.lit("-"), (F.col("k_") - 1).cast("string"), ext))
+    return ranked.select(*images.columns, name.alias("staged_name"))
 
 
 def spread_bucket(rows: DataFrame, column: str, cuts: int = 64) -> Column:

@@ -1,6 +1,6 @@
-"""Keeping tables of a workspace: replace, upsert, remove, evolve, mappings, label sync and logs.
+"""Keeping tables of a workspace: upsert, remove, evolve, mappings, label sync and logs.
 
-Tables are snapshots: every function returns the new table, and `replace_source` writes the partitions it replaces.
+Tables are snapshots: every function returns the new table. snapshots.py keeps several of them in a store.
 """
 
 from __future__ import annotations
@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 
 
-def replace_source(rows: DataFrame, path: str) -> None:
-    """Overwrite only the source_id partitions that rows holds; other sources' files stay untouched."""
-    rows.write.mode("overwrite").partitionBy("source_id").option("partitionOverwriteMode", "dynamic").parquet(path)
-
-
 def upsert(table: DataFrame, updates: DataFrame, keys: list[str], order: Column, keep_first: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """The latest row of each key by `order`; columns in keep_first come from the key's earliest row instead."""
     both = table.unionByName(updates, allowMissingColumns=True)

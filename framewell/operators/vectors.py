@@ -1,4 +1,4 @@
-"""Vectors: norms, projections, neighbours and outliers.
+"""Vectors: norms, projections, outliers and encoders (neighbours: see neighbours.py).
 
 Tables of vectors have target_id and vector (array of float) among their columns. In projections and neighbours, rows
 with a null vector are left out, null components count as 0, and shorter vectors are filled up with zeros to the
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..functions.storage import written
 
 # FNV-1a 64 offset and prime, and the splitmix64 increment and multipliers.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -154,52 +155,6 @@ def pca_denoise(vectors: DataFrame, k: int = 50) -> DataFrame:
     return unit.mapInPandas(reduced, ", ".join(f"`{c}` {k}" for c, k in unit.dtypes))
 
 
-def block_pairs(vectors: DataFrame, block: int, meet: Callable, schema: str, others: DataFrame | None = None) -> DataFrame:
-    """meet(ids, matrix, other ids, other matrix) of every two blocks of unit vectors, each in a task of its own.
-
-    others: the vectors of the other side, the same ones unless given. Blocks hold about `block` vectors, so memory is
-    bounded and the work is that of an exact comparison. A block travels as one row with its vectors in one array.
-    """
-    sides = [filled(v) for v in ([vectors] if others is None else [vectors, others])]
-    width = max(d for _, d in sides)
-    packed = []
-    for v, d in sides:
-        blocks = max(1, -(-v.count() // block))
-        longer = F.concat("vector", F.array_repeat(F.lit(0.0), width - d))
-        unit = v.select("target_id", fn.l2_normalize(longer).alias("v"), F.pmod(F.xxhash64("target_id"), F.lit(blocks)).alias("own"))
-        rows = unit.groupBy("own").agg(F.array_sort(F.collect_list(F.struct("target_id", "v"))).alias("m"))
-        packed.append((rows.select("own", F.transform("m", lambda x: x["target_id"]).alias("ids"), F.flatten(F.transform("m", lambda x: x["v"])).alias("flat")), blocks))
-    (left, n), (right, m) = packed[0], packed[-1]
-    left = left.select(F.col("own").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("q"), F.col("ids").alias("a"), F.col("flat").alias("x"))
-    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"), F.col("own").alias("q"), F.col("ids").alias("b"), F.col("flat").alias("y"))
-
-    def both(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
-        if l.empty or r.empty:
-            return meet(np.array([], object), np.zeros((0, 1)), np.array([], object), np.zeros((0, 1)))
-        a, b = np.asarray(l["a"].iloc[0], object), np.asarray(r["b"].iloc[0], object)
-        return meet(a, np.asarray(l["x"].iloc[0], np.float64).reshape(len(a), -1), b, np.asarray(r["y"].iloc[0], np.float64).reshape(len(b), -1))
-
-    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(both, schema)
-
-
-def knn_cosine(vectors: DataFrame, k: int = 15, block: int = 2048) -> DataFrame:
-    """target_id, neighbour, distance and rank: exact cosine neighbours but for the vector itself."""
-
-    def meet(a, x, b, y):
-        if not len(a):
-            return pd.DataFrame({"target_id": [], "neighbour": [], "distance": []})
-        d = 1 - x @ y.T
-        d[a[:, None] == b[None, :]] = np.inf
-        top = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :k]
-        near = np.maximum(np.take_along_axis(d, top, 1), 0)
-        ok = np.isfinite(near)
-        return pd.DataFrame({"target_id": np.repeat(a, ok.sum(1)), "neighbour": b[top[ok]], "distance": near[ok]})
-
-    near = block_pairs(vectors, block, meet, "target_id string, neighbour string, distance double")
-    order = Window.partitionBy("target_id").orderBy(F.round("distance", 12), "neighbour")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def knn_scores(edges: DataFrame) -> DataFrame:
     return edges.groupBy("target_id").agg(F.avg("distance").alias("score"))
 
@@ -310,8 +265,12 @@ def crop_tensor(pixels: np.ndarray, window: tuple[int, int, int, int], size: int
     return (((rows(y0) * (1 - fy) + rows(y1) * fy) - np.asarray(mean)) / np.asarray(std)).transpose(2, 0, 1)
 
 
-def embed(items: DataFrame, factory: Callable[[], Callable], batch: int = 64) -> DataFrame:
-    """target_id, vector (unit), vector_norm (before that): an encoder made once a task, single items where a batch fails."""
+def embed(items: DataFrame, factory: Callable[[], Callable], batch: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Vectors (target_id, unit vector, vector_norm before that) and failures (target_id, error), one row an item in all.
+
+    An encoder is made once a task; where a batch fails its items are encoded one by one, and those that fail then are
+    failures. All is written once, so that both tables are of the same run.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = factory()
@@ -320,23 +279,23 @@ def embed(items: DataFrame, factory: Callable[[], Callable], batch: int = 64) ->
             pixels = pdf["pixels"].tolist() if "pixels" in pdf else None
             for at in range(0, len(ids), batch):
                 part, px = ids[at : at + batch], pixels[at : at + batch] if pixels else None
+                errors: list[str | None] = [None] * len(part)
                 try:
-                    v = pooled(np.asarray(encoder(part, px)), len(part))
-                    good = part
+                    found = list(pooled(np.asarray(encoder(part, px)), len(part)))
                 except Exception:
-                    good, found = [], []
+                    found = []
                     for k, i in enumerate(part):
                         try:
                             found.append(pooled(np.asarray(encoder([i], px[k : k + 1] if px else None)), 1)[0])
-                            good.append(i)
-                        except Exception:
-                            continue
-                    v = np.array(found)
-                if len(good):
-                    norm = np.linalg.norm(v, axis=1)
-                    yield pd.DataFrame({"target_id": good, "vector": list((v / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)), "vector_norm": norm})
-
-    return items.mapInPandas(run, "target_id string, vector array<float>, vector_norm double")
+                        except Exception as e:
+                            found.append(None)
+                            errors[k] = f"{type(e).__name__}: {e}"
+                norms = [None if v is None else float(np.linalg.norm(v)) for v in found]
+                units = [None if v is None else (v / (n or 1)).astype(np.float32) for v, n in zip(found, norms)]
+                yield pd.DataFrame({"target_id": part, "vector": units, "vector_norm": norms, "error": errors})
+
+    both = written(items.mapInPandas(run, "target_id string, vector array<float>, vector_norm double, error string"), "embedded")
+    return both.where("error is null").drop("error"), both.where("error is not null").select("target_id", "error")
 
 
 def embedding_inventory(vectors: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..functions.storage import joined, listed, removed, shared
 from ..operators.tables import evolve_schema
 from ..operators.ranking import distributed_rank, spread_bucket, staged_names
+from .filetree import remove_files, write_files
 
 BOX = tuple(f"bbox_{c}" for c in ("x", "y", "width", "height"))
 
@@ -39,9 +41,9 @@ def coco_rows(rows: DataFrame, scope: str = "per_split") -> tuple[DataFrame, Dat
 
 
 def write_coco(rows: DataFrame, path: str, scope: str = "per_split", sharded: bool = True) -> None:
-    """COCO data below path: <table>/split=<split> as JSON lines, by table, for splits of any size.
+    """COCO data below path: <table>/split=<split> as JSON lines, by table.
 
-    sharded=False: one document a split below split=<split>, for readers that need one; a split must fit in a task.
+    sharded=False: one document a split, split=<split>/annotations.coco.json. Splits may have any size either way.
     """
     pics, boxes, cats = coco_rows(rows, scope)
     cats = cats.select("split", F.col("class_id").alias("id"), "name", F.lit("object").alias("supercategory"))
@@ -49,9 +51,34 @@ def write_coco(rows: DataFrame, path: str, scope: str = "per_split", sharded: bo
         for name, t in (("images", pics), ("annotations", boxes), ("categories", cats)):
             t.write.partitionBy("split").json(f"{path}/{name}")
         return
-    folded = [t.groupBy("split").agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in t.columns if c not in ("split", "id")]))).alias(n)) for n, t in (("images", pics), ("annotations", boxes), ("categories", cats))]
-    doc = folded[0].join(folded[1], "split", "left").join(folded[2], "split", "left")
-    doc.select("split", F.to_json(F.struct("images", "annotations", "categories")).alias("value")).write.partitionBy("split").text(path)
+    write_documents({"images": pics, "annotations": boxes, "categories": cats}, path)
+
+
+def write_documents(tables: dict[str, DataFrame], path: str, name: str = "annotations.coco.json") -> None:
+    """A JSON document for each split, with an array for each table: its rows by id, which run from 1.
+
+    Every element is a line of text; lines are dealt to tasks by ranges of (split, table, id), and the tasks' files are
+    joined in that order, so neither a row nor a task ever holds a whole document.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    lines = []
+    for k, (table, t) in enumerate(tables.items()):
+        rest = [c for c in t.columns if c not in ("split", "id")]
+        text = F.concat(F.when(F.col("id") > 1, ",").otherwise(""), F.to_json(F.struct("id", *rest)))
+        lines.append(t.select("split", F.lit(k).alias("k"), F.col("id").cast("long").alias("n"), text.alias("value")))
+    splits = lines[0].select("split").distinct()
+    heads = [F.struct(F.lit(k).alias("k"), F.lit(0).cast("long").alias("n"), F.lit(f'{"{" if not k else "],"}"{table}":[').alias("value")) for k, table in enumerate(tables)]
+    heads.append(F.struct(F.lit(len(tables)).alias("k"), F.lit(0).cast("long").alias("n"), F.lit("]}").alias("value")))
+    lines.append(splits.select("split", F.explode(F.array(*heads)).alias("h")).select("split", "h.*"))
+    rows = lines[0]
+    for t in lines[1:]:
+        rows = rows.unionByName(t)
+    tasks, order = int(spark.conf.get("spark.sql.shuffle.partitions")), ["split", "k", "n"]
+    at = shared(spark, "documents")
+    rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("split", "value").write.partitionBy("split").text(at)
+    for folder in listed(spark, at):
+        joined(spark, folder.toString(), f"{path}/{folder.getName()}/{name}")
+    removed(spark, at)
 
 
 def yolo_lines(rows: DataFrame) -> DataFrame:
@@ -68,45 +95,17 @@ def data_yaml(rows: DataFrame) -> DataFrame:
     return names.agg(F.transform(F.array_sort(F.collect_list(F.struct("export_key", "name"))), lambda v: v["name"]).alias("n")).select(F.concat(F.lit("path: .\ntrain: train/images\nval: valid/images\ntest: test/images\nnc: "), F.size("n").cast("string"), F.lit("\nnames: ["), F.array_join(F.transform("n", lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", "), F.lit("]\n")).alias("value"))
 
 
-def _put(files: DataFrame, root: str) -> None:
-    """Write (path, text) rows as files below root, on the executors. root must be a folder that all of them share."""
-
-    def run(rows) -> None:
-        import os
-
-        for r in rows:
-            at = os.path.join(root.removeprefix("file://"), r["path"])
-            os.makedirs(os.path.dirname(at), exist_ok=True)
-            with open(f"{at}.part", "w") as f:
-                f.write(r["text"])
-            os.replace(f"{at}.part", at)
-
-    files.select("path", "text").foreachPartition(run)
-
-
 def write_yolo(rows: DataFrame, root: str) -> None:
-    """<split>/labels/<name>.txt for each image, and data.yaml; an error without categories."""
+    """<split>/labels/<name>.txt for each image, and data.yaml; an error without categories. All files come, or none."""
     if rows.limit(1).count() == 0:
         raise ValueError("nothing to export: no box has a category")
-    _put(yolo_lines(rows).select(F.concat_ws("/", "split", F.lit("labels"), fn.with_extension(F.col("unique_name"), "txt")).alias("path"), "text"), root)
-    _put(data_yaml(rows).select(F.lit("data.yaml").alias("path"), F.col("value").alias("text")), root)
+    labels = yolo_lines(rows).select(F.concat_ws("/", "split", F.lit("labels"), fn.with_extension(F.col("unique_name"), "txt")).alias("path"), F.col("text").alias("content"))
+    write_files(labels.unionByName(data_yaml(rows).select(F.lit("data.yaml").alias("path"), F.col("value").alias("content"))), root)
 
 
 def copy_images(files: DataFrame, root: str) -> None:
-    """Copy (original_path, target) rows below root, on the executors; missing files are left out."""
-
-    def run(rows) -> None:
-        import os
-        import shutil
-
-        for r in rows:
-            at = os.path.join(root.removeprefix("file://"), r["target"])
-            if os.path.exists(r["original_path"]):
-                os.makedirs(os.path.dirname(at), exist_ok=True)
-                shutil.copyfile(r["original_path"], f"{at}.part")
-                os.replace(f"{at}.part", at)
-
-    files.select("original_path", "target").foreachPartition(run)
+    """Copy (original_path, target) rows below root; missing files are left out."""
+    write_files(files.select(F.col("target").alias("path"), F.col("original_path").alias("source")), root)
 
 
 def subset_coco(images: DataFrame, boxes: DataFrame, categories: DataFrame, selected: DataFrame, by: str = "file_name") -> tuple[DataFrame, DataFrame, DataFrame]:

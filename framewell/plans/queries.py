@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..fixtures import TABLES, VIEWS, table, with_views
 from ..functions import scalars as fn
 from ..functions.storage import shared, written
-from ..operators import analysis, browse, ranking, sampling, scope, tables, validate, vectors
-from ..sources import coco, files, yolo
+from ..operators import analysis, browse, neighbours, ranking, sampling, scope, snapshots, tables, validate, vectors
+from ..sources import bigjson, coco, files, yolo
 from ..streaming import jobs
 from . import dataset, export
 
@@ -62,6 +62,8 @@ def flat(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 # --- SQL pieces that several queries share -------------------------------------------------------------------
+NUM = "CAST(regexp_extract(image_id, '[0-9]+$') AS BIGINT)"
+EXT = f"CASE {NUM} % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'bmp' ELSE 'JPG' END"
 KEY = "coalesce(nullif(normalized_name, ''), lower(name))"
 RES = f"r AS (SELECT a.*, {KEY.replace('normalized_name', 'c.normalized_name').replace('(name)', '(c.name)')} AS category_key, c.name AS category_name FROM v_annotations a LEFT JOIN v_categories c ON c.category_id = a.source_category_id)"
 RATIO = "CASE WHEN r.annotation_format = 'yolo' THEN greatest(r.bbox_width, 0) * greatest(r.bbox_height, 0) WHEN i.width > 0 AND i.height > 0 THEN greatest(r.bbox_width, 0) * greatest(r.bbox_height, 0) / (i.width * i.height) END"
@@ -336,7 +338,10 @@ def _(t: Tables) -> DataFrame:
 SELECT scope, target_id, arg_max(status, event_id) AS status, arg_max(updated_at, event_id) AS updated_at, arg_min(created_at, event_id) AS created_at, arg_max(event_id, event_id) AS event_id FROM a GROUP BY scope, target_id""")
 def _(t: Tables) -> DataFrame:
     u = t.review_updates.withColumn("created_at", F.col("updated_at"))
-    return tables.upsert(u.where("event_id % 2 = 0"), u.where("event_id % 2 = 1"), ["scope", "target_id"], F.col("event_id"))
+    order = F.col("event_id")
+    store = _store(t, marks=(u.where("event_id % 2 = 0"), ["scope", "target_id"]))
+    store.upsert("marks", u.where("event_id % 2 = 1"), order)
+    return store.read("marks").select("scope", "target_id", "status", "updated_at", "created_at", "event_id")
 
 
 @query("tbl3_remove_source", "SELECT 'images' AS kept, count(*) AS n FROM v_images WHERE source_id <> 'source-3' UNION ALL SELECT 'annotations', count(*) FROM v_annotations WHERE source_id <> 'source-3' UNION ALL SELECT 'categories', count(*) FROM v_categories WHERE source_id <> 'source-3' UNION ALL SELECT 'embeddings', count(*) FROM v_embeddings")
@@ -484,7 +489,7 @@ e AS (SELECT * FROM k WHERE rank <= 15), s AS (SELECT target_id, avg(distance) A
 
 
 def _edges(t: Tables) -> DataFrame:
-    return vectors.knn_cosine(t.embeddings.select("target_id", "vector"), 15)
+    return neighbours.knn_cosine(t.embeddings.select("target_id", "vector"), 15)
 
 
 @query("vec5_knn_cosine", f"WITH {KNN} SELECT target_id, rank, round(distance, 6) AS distance FROM e")
@@ -521,12 +526,23 @@ def _(t: Tables) -> DataFrame:
     return vectors.pca_denoise(t.embeddings, 16).select("target_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
-@query("vec9_select_balanced")
+#: Similarities of all pairs, and at most 80 rounds of the sequential rule, as an image has two vectors at most; `best` is each vector's best similarity to the picks.
+PICKS = """WITH RECURSIVE v AS (SELECT target_id AS id, image_id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS e FROM v_embeddings),
+x AS (SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.e, b.e) AS c FROM v a, v b),
+{start},
+r AS (SELECT 0 AS pick, v.id, x.c AS best, v.id = f.id AS taken, f.id AS picked FROM v, f JOIN x ON x.i = f.id WHERE x.j = v.id
+      UNION ALL SELECT r.pick + 1, r.id, greatest(r.best, x.c), r.taken OR r.id = p.id, p.id FROM r, ({next}) p JOIN x ON x.i = p.id WHERE x.j = r.id AND r.pick < 80),
+o AS (SELECT DISTINCT pick, picked FROM r), n AS (SELECT pick, picked, image_id, row_number() OVER (PARTITION BY image_id ORDER BY pick) = 1 AS fresh FROM o JOIN v ON v.id = picked),
+u AS (SELECT *, count(CASE WHEN fresh THEN 1 END) OVER (ORDER BY pick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN fresh THEN 1 ELSE 0 END AS before FROM n)
+SELECT picked AS target_id, image_id, CAST(pick AS BIGINT) AS pick FROM u WHERE before < 40"""
+
+
+@query("vec9_select_balanced", PICKS.format(start="f AS (SELECT arg_min(i, (-round(s, 9), i)) AS id FROM (SELECT i, sum(c) AS s FROM x GROUP BY i))", next="SELECT arg_min(i, (-round(g, 9), i)) AS id FROM (SELECT x.i, sum(greatest(x.c - a.best, 0)) AS g FROM r a JOIN x ON x.j = a.id JOIN r q ON q.id = x.i AND NOT q.taken GROUP BY x.i)"))
 def _(t: Tables) -> DataFrame:
     return sampling.select(t.embeddings, 40, "balanced")
 
 
-@query("vec10_select_diverse")
+@query("vec10_select_diverse", PICKS.format(start="f AS (SELECT arg_min(i, (round(s, 12), i)) AS id FROM (SELECT i, avg(c) AS s FROM x GROUP BY i))", next="SELECT arg_min(id, (round(best, 12), id)) AS id FROM r WHERE NOT taken"))
 def _(t: Tables) -> DataFrame:
     return sampling.select(t.embeddings, 40, "diverse")
 
@@ -566,10 +582,28 @@ def _(t: Tables) -> DataFrame:
 
 @query("vec14_embed")
 def _(t: Tables) -> DataFrame:
-    v = vectors.embed(vectors.embedding_items(t.annotations, t.images, "image"), lambda: vectors.mock_encoder(16))
+    v, _ = vectors.embed(vectors.embedding_items(t.annotations, t.images, "image"), lambda: vectors.mock_encoder(16))
     return v.select("target_id", "vector", "vector_norm")
 
 
+def _failing() -> Callable:
+    """The mock encoder, which cannot read images whose number ends in 7: a batch with one of them fails, and then that one alone."""
+    mock = vectors.mock_encoder(16)
+
+    def run(ids: list[str], pixels):
+        if bad := [i for i in ids if i.endswith("7")]:
+            raise ValueError(f"cannot read {bad[0]}")
+        return mock(ids, pixels)
+
+    return run
+
+
+@query("vec14_failures", "SELECT image_id AS target_id, CASE WHEN image_id LIKE '%7' THEN 'ValueError: cannot read ' || image_id END AS error FROM v_images i WHERE health_status = 'healthy' AND EXISTS (SELECT 1 FROM v_annotations a WHERE a.image_id = i.image_id)")
+def _(t: Tables) -> DataFrame:
+    good, bad = vectors.embed(vectors.embedding_items(t.annotations, t.images, "image"), _failing)
+    return good.select("target_id", F.lit(None).cast("string").alias("error")).unionByName(bad)
+
+
 POINTS = f"""{LATEST}, o AS (SELECT 'object' AS scope, 'obj-' || vec_id AS target_id, 'img-' || CAST(floor(vec_id / 2) AS BIGINT) AS image_id FROM embeddings),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY CASE projection_method WHEN 'umap-v1' THEN 1 WHEN 'pca-v1' THEN 2 ELSE 3 END) AS k FROM v_projections) WHERE k = 1),
 points AS (SELECT b.scope, b.target_id, i.image_id, i.source_id, i.file_name, 'class-' || e.label AS source_category_id, b.projection_method, b.x, b.y, 100.0 * 50 / (i.width * i.height) AS area_ratio, coalesce(l.status, 'unreviewed') AS review_status
@@ -705,8 +739,12 @@ def _json_tables(t: Tables, at: str) -> list[DataFrame]:
 SELECT a.split, a.id, a.image_no AS image_id, pn.unique_name AS file_name, round(ax, 6) + 0.0 AS x, round(ay, 6) + 0.0 AS y, round(greatest(aw, 0) * greatest(ah, 0), 4) AS area, min(category_name) OVER (PARTITION BY a.split, export_key) AS name FROM a JOIN pn ON pn.split = a.split AND pn.id = a.image_no""")
 def _(t: Tables) -> DataFrame:
     at = shared(t.spark, "coco")
-    export.write_coco(_export_rows(t), at)
-    pics, boxes, cats = _json_tables(t, at)
+    export.write_coco(_export_rows(t), at, sharded=False)
+    found, _ = bigjson.elements(t.spark, at, ("images", "annotations", "categories"))
+    found = written(found.withColumn("split", F.regexp_extract("path", "split=([^/]*)", 1)), "documents-back")
+    typed = lambda n, kind: found.where(F.col("name") == n).select("split", F.from_json("value", kind).alias("v")).select("split", "v.*")
+    pics, cats = typed("images", "id long, file_name string"), typed("categories", "id long, name string")
+    boxes = typed("annotations", "id long, image_id long, category_id long, bbox array<double>, area double")
     named = boxes.join(cats.select("split", F.col("id").alias("category_id"), "name"), ["split", "category_id"]).join(pics.select("split", F.col("id").alias("image_id"), "file_name"), ["split", "image_id"])
     return named.select("split", "id", "image_id", "file_name", F.round(F.col("bbox")[0], 6).alias("x"), F.round(F.col("bbox")[1], 6).alias("y"), F.round("area", 4).alias("area"), "name")
 
@@ -723,6 +761,33 @@ def _(t: Tables) -> DataFrame:
     return export.yolo_lines(_export_rows(t))
 
 
+def _files(t: Tables, root: str) -> DataFrame:
+    """The files below root: their paths in it and their contents as text."""
+    back = t.spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+    return back.select(F.regexp_extract(F.col("_metadata.file_path"), f"{root.rsplit('/', 1)[1]}/(.*)$", 1).alias("path"), F.col("value").alias("text"))
+
+
+@query("snk2_write_yolo", f"""WITH {PLAN}, keys AS (SELECT export_key, min(category_name) AS name, row_number() OVER (ORDER BY export_key) - 1 AS c FROM plan GROUP BY 1),
+l AS (SELECT split, unique_name, annotation_id, keys.c || ' ' || {" || ' ' || ".join(SIX.format(v) for v in YOLO.values())} AS line FROM plan JOIN keys ON keys.export_key = plan.export_key)
+SELECT split || '/labels/' || regexp_replace(unique_name, '[.][^.]*$', '.txt') AS path, string_agg(line, chr(10) ORDER BY annotation_id) AS text FROM l GROUP BY split, unique_name
+UNION ALL SELECT 'data.yaml', 'path: .' || chr(10) || 'train: train/images' || chr(10) || 'val: valid/images' || chr(10) || 'test: test/images' || chr(10) || 'nc: ' || count(*) || chr(10) || 'names: [' || string_agg(chr(39) || name || chr(39), ', ' ORDER BY export_key) || ']' || chr(10) FROM keys""")
+def _(t: Tables) -> DataFrame:
+    at = shared(t.spark, "yolo")
+    export.write_yolo(_export_rows(t), at)
+    return _files(t, at)
+
+
+#: One file for each image of the plan, of whose originals every tenth is missing.
+@query("snk3_copy_images", f"""WITH {PLAN} SELECT DISTINCT split || '/images/' || unique_name AS path, 'pixels of ' || image_id AS text FROM plan WHERE {NUM} % 10 <> 0""")
+def _(t: Tables) -> DataFrame:
+    source, at = shared(t.spark, "originals"), shared(t.spark, "copies")
+    pics = written(_export_rows(t).select("image_id", "split", "unique_name").distinct(), "copied")
+    there = pics.where(F.regexp_extract("image_id", r"(\d+)$", 1).cast("long") % 10 != 0)
+    export.write_files(there.select(F.concat("image_id", F.lit(".bin")).alias("path"), F.concat(F.lit("pixels of "), "image_id").alias("content")), source)
+    export.copy_images(pics.select(F.concat(F.lit(f"{source}/"), "image_id", F.lit(".bin")).alias("original_path"), F.concat_ws("/", "split", F.lit("images"), "unique_name").alias("target")), at)
+    return _files(t, at)
+
+
 @query("snk4_subset_coco", "WITH p AS (SELECT image_id, file_name, row_number() OVER (ORDER BY file_name, image_id) AS image_no FROM v_images WHERE file_name IN (SELECT file_name FROM v_images WHERE annotation_status = 'annotated' AND width > 700)), c AS (SELECT name, row_number() OVER (ORDER BY name) AS class_id FROM (SELECT DISTINCT name FROM v_categories)) SELECT p.image_no, row_number() OVER (ORDER BY p.image_no, a.annotation_id) AS new_id, a.annotation_id, c.class_id FROM p JOIN v_annotations a ON a.image_id = p.image_id JOIN v_categories k ON k.category_id = a.source_category_id JOIN c ON c.name = k.name")
 def _(t: Tables) -> DataFrame:
     _pics, rows, _cats = export.subset_coco(t.images, t.annotations, t.categories, t.images.where("annotation_status = 'annotated' and width > 700").select("file_name"))
@@ -734,9 +799,9 @@ def _(t: Tables) -> DataFrame:
     return export.stage_task(t.images, t.images.select("image_id")).select("image_id", "staged_name")
 
 
-def _coco_parts(t: Tables, name=None) -> DataFrame:
-    """All images and boxes as COCO documents by source and hundred thousand image numbers: source_id, part, three arrays."""
-    keyed = lambda d: d.withColumn("part", F.floor(F.regexp_extract("image_id", r"(\d+)$", 1).cast("long") / 100000))
+def _coco_parts(t: Tables, name=None, by_part: bool = True) -> DataFrame:
+    """All images and boxes as COCO documents by source and hundred thousand image numbers (or 0): source_id, part, three arrays."""
+    keyed = lambda d: d.withColumn("part", F.floor(F.regexp_extract("image_id", r"(\d+)$", 1).cast("long") / 100000) if by_part else F.lit(0))
     pics = keyed(t.images).select("source_id", "part", F.struct(F.col("image_id").alias("id"), (F.col("file_name") if name is None else name).alias("file_name"), "width", "height").alias("v"))
     box = F.array(*[F.col(c).cast("string") for c in export.BOX])
     anns = keyed(t.annotations).select("source_id", "part", F.struct(F.col("annotation_id").alias("id"), "image_id", F.col("source_category_id").alias("category_id"), box.alias("bbox")).alias("v"))
@@ -746,13 +811,21 @@ def _coco_parts(t: Tables, name=None) -> DataFrame:
     return fold(pics, both, "images").join(fold(cats, ["source_id"], "categories"), "source_id", "left").join(fold(anns, both, "annotations"), both, "left")
 
 
-@query("src5_read_coco", "SELECT i.source_id, count(*) AS boxes, count(DISTINCT a.image_id) AS images, round(sum(a.bbox_width), 4) AS width FROM v_annotations a JOIN v_images i ON i.image_id = a.image_id GROUP BY 1")
+#: A document's name and the place of its boxes in it.
+DOC_OF = "i.source_id || '.' || (CAST(replace(i.image_id, 'img-', '') AS BIGINT) // 100000)"
+PLACED = f"""b AS (SELECT a.*, {DOC_OF} AS doc, row_number() OVER (PARTITION BY {DOC_OF} ORDER BY a.annotation_id) - 1 AS pos FROM v_annotations a JOIN v_images i ON i.image_id = a.image_id),
+cp AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY category_id) - 1 AS place FROM v_categories)"""
+ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in export.BOX)
+
+
+@query("src5_read_coco", f"WITH {PLACED} SELECT 'ann-' || doc || '-' || pos AS annotation_id, 'img-' || doc || '-' || b.image_id AS image_id, doc AS source_id, 'cat-' || doc || '-' || cp.place AS source_category_id, {ROUNDED} FROM b JOIN cp ON cp.category_id = b.source_category_id AND cp.source_id = b.source_id")
 def _(t: Tables) -> DataFrame:
     at = shared(t.spark, "coco-in")
     _coco_parts(t).write.partitionBy("source_id", "part").json(at)
-    _images, _categories, boxes = coco.tables(coco.read_json(t.spark, at), "all")
-    back = boxes.withColumn("img", F.substring("image_id", 9, 100)).join(t.images.select(F.col("image_id").alias("img"), F.col("source_id").alias("sid")), "img")
-    return back.groupBy(F.col("sid").alias("source_id")).agg(F.count("*").alias("boxes"), F.countDistinct("img").alias("images"), F.round(F.sum("bbox_width"), 4).alias("width"))
+    parts, _ = coco.read_coco(t.spark, at)
+    folder = lambda k: F.regexp_extract("path", f"{k}=([^/]*)", 1)
+    _images, _categories, boxes = coco.tables(parts, F.concat_ws(".", folder("source_id"), folder("part")))
+    return flat(boxes.drop("annotation_format"))
 
 
 def _split_docs(t: Tables) -> dict[str, DataFrame]:
@@ -760,18 +833,17 @@ def _split_docs(t: Tables) -> dict[str, DataFrame]:
     at = shared(t.spark, "coco-splits")
     docs = _coco_parts(t).select(F.concat_ws(".", "source_id", F.col("part").cast("string")).alias("split"), F.to_json(F.struct("images", "categories", "annotations")).alias("value"))
     docs.write.partitionBy("split").text(at)
-    back = t.spark.read.text(at, wholetext=True).select("split", F.from_json("value", coco.SCHEMA).alias("d")).select("split", "d.*")
-    return coco.split_tables(back)
+    parts, _ = coco.read_coco(t.spark, at, "*.txt")
+    return coco.split_tables({n: d.withColumn("split", F.regexp_extract("path", "split=([^/]*)", 1)).drop("path") for n, d in parts.items()})
 
 
 PARTS = "s AS (SELECT i.source_id || '.' || (CAST(replace(i.image_id, 'img-', '') AS BIGINT) // 100000) AS split, count(DISTINCT i.image_id) AS images, count(a.annotation_id) AS annotations, 0 AS skipped FROM v_images i LEFT JOIN v_annotations a ON a.image_id = i.image_id GROUP BY 1)"
 
 
-@query("src7_read_coco_splits", f"WITH {PARTS}, k AS (SELECT a.annotation_id, i.source_id || '.' || (CAST(replace(i.image_id, 'img-', '') AS BIGINT) // 100000) AS split, i.image_id, lower(trim(c.name)) AS name, a.bbox_width FROM v_annotations a JOIN v_images i ON i.image_id = a.image_id JOIN v_categories c ON c.category_id = a.source_category_id) SELECT split AS source_id, name, count(*) AS boxes, count(DISTINCT image_id) AS images, round(sum(bbox_width), 4) AS width FROM k GROUP BY 1, 2")
+@query("src7_read_coco_splits", f"WITH {PLACED} SELECT 'ann-' || doc || '-' || pos AS annotation_id, 'img-' || doc || '-' || b.image_id AS image_id, doc AS source_id, lower(trim(cp.name)) AS name, {ROUNDED} FROM b JOIN cp ON cp.category_id = b.source_category_id AND cp.source_id = b.source_id")
 def _(t: Tables) -> DataFrame:
     parts = _split_docs(t)
-    named = parts["annotations"].join(parts["categories"].select("category_id", F.col("key").alias("name")), "category_id")
-    return named.groupBy("source_id", "name").agg(F.count("*").alias("boxes"), F.countDistinct("image_id").alias("images"), F.round(F.sum("bbox_width"), 4).alias("width"))
+    return flat(parts["annotations"].join(parts["categories"].select("category_id", F.col("key").alias("name")), "category_id").drop("category_id"))
 
 
 @query("agg14_ingest_summary", f"WITH {PARTS} SELECT split, images, annotations, CAST(skipped AS BIGINT) AS skipped FROM s UNION ALL SELECT '*', CAST(sum(images) AS BIGINT), CAST(sum(annotations) AS BIGINT), CAST(sum(skipped) AS BIGINT) FROM s")
@@ -787,7 +859,6 @@ def _(t: Tables) -> DataFrame:
 
 
 #: A listing made of the image table: folders and extensions follow the image's number.
-NUM = "CAST(regexp_extract(image_id, '[0-9]+$') AS BIGINT)"
 LISTED = f"""ls AS (SELECT source_id, {NUM} AS n, CASE CAST(regexp_extract(source_id, '[0-9]+$') AS BIGINT) % 5 WHEN 0 THEN CASE WHEN {NUM} % 2 = 0 THEN 'images/' ELSE 'labels/' END WHEN 1 THEN CASE WHEN {NUM} % 9 = 0 THEN 'annotations/' ELSE 'images/' END WHEN 2 THEN 'images/' ELSE 'deep/' END || {NUM}
     || CASE {NUM} % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.TIFF' WHEN 2 THEN '.txt' ELSE '.json' END AS relative FROM v_images)"""
 
@@ -826,7 +897,6 @@ def _headers(t: Tables) -> DataFrame:
     return t.images.select(F.concat(F.lit("/data/"), "image_id", F.lit("."), kind).alias("path"), F.unhex(raw).alias("content"))
 
 
-EXT = f"CASE {NUM} % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'bmp' ELSE 'JPG' END"
 
 
 @query("src3_probe_images", f"SELECT '/data/' || image_id || '.' || {EXT} AS path, width, height, CASE WHEN width IS NULL THEN 'corrupted' ELSE 'healthy' END AS health_status, width IS NULL AS failed FROM v_images")
@@ -834,6 +904,14 @@ def _(t: Tables) -> DataFrame:
     return files.probe(_headers(t)).select("path", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "health_status", F.col("health_error").isNotNull().alias("failed"))
 
 
+@query("src3_probe_files", f"SELECT image_id || '.' || {EXT} AS name, width, height, CASE WHEN width IS NULL THEN 'corrupted' ELSE 'healthy' END AS health_status, true AS bounded FROM v_images")
+def _(t: Tables) -> DataFrame:
+    at = shared(t.spark, "image-files")
+    tail = F.expr("cast(repeat('x', 20000) as binary)")  # what follows a header in a file, and must not be read
+    export.write_files(_headers(t).select(fn.basename(F.col("path")).alias("path"), F.when(F.length("content") > 0, F.concat("content", tail)).otherwise(F.col("content")).alias("content")), at)
+    return files.probe_images(t.spark, at).select(fn.basename(F.col("path")).alias("name"), F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "health_status", (F.col("bytes_read") <= 8192).alias("bounded"))
+
+
 @query("src4_read_raw", f"SELECT 'raw' AS source_id, image_id || '.' || {EXT} AS file_name, width, CASE WHEN width IS NULL THEN 'corrupted' ELSE 'healthy' END AS health_status, 'unannotated' AS annotation_status, 'review' AS status FROM v_images")
 def _(t: Tables) -> DataFrame:
     return files.raw_images(files.probe(_headers(t)), "raw").select("source_id", "file_name", F.col("width").cast("long").alias("width"), "health_status", "annotation_status", "status")
@@ -843,8 +921,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     c = t.images.groupBy("source_id").agg(F.countDistinct(F.when(F.col("health_status") == "healthy", F.col("image_id"))).alias("n"))
     path = F.concat(F.when(F.col("n") % 2 == 0, "/set/annotations/").otherwise("/set/"), "source_id", F.lit(".json"))
-    full = F.array("source_id")
-    return coco.pick_file(c.select(path.alias("path"), full.alias("images"), F.when(F.col("n") % 3 != 0, full).alias("categories"), full.alias("annotations")), "/set")
+    names = F.array(F.lit("images"), F.when(F.col("n") % 3 != 0, "categories").otherwise("images"), F.lit("annotations"))
+    return coco.pick_file(c.select(path.alias("path"), F.explode(names).alias("name")))
 
 
 @query("src8_resolve_names", """WITH n AS (SELECT file_name AS f, CAST(regexp_extract(file_name, '([0-9]+)[.]', 1) AS BIGINT) AS k FROM (SELECT DISTINCT file_name FROM v_images))
@@ -886,8 +964,8 @@ def _(t: Tables) -> DataFrame:
 @query("src12_label_sync", f"SELECT a.image_id, c.name AS category_name, round(a.bbox_x, 6) AS bbox_x, round(a.bbox_height, 6) AS bbox_height FROM v_annotations a JOIN v_categories c ON c.category_id = a.source_category_id WHERE {NUM.replace('image_id', 'a.image_id')} % 3 = 0")
 def _(t: Tables) -> DataFrame:
     staged = t.images.where(F.regexp_extract("image_id", r"(\d+)$", 1).cast("long") % 3 == 0).select(F.concat(F.lit("stage/"), "image_id", F.lit(".jpg")).alias("staged_name"), "image_id")
-    docs = _coco_parts(t, F.concat(F.lit("task/"), "image_id", F.lit(".jpg"))).select(*(F.from_json(F.to_json(c), coco.SCHEMA_OF[c]).alias(c) for c in ("images", "categories", "annotations")))
-    return flat(coco.label_sync(docs, staged).select("image_id", "category_name", "bbox_x", "bbox_height"))
+    docs = _coco_parts(t, F.concat(F.lit("task/"), "image_id", F.lit(".jpg"))).select(F.concat_ws(".", "source_id", F.col("part").cast("string")).alias("path"), *(F.from_json(F.to_json(c), f"array<{coco.SCHEMA_OF[c]}>").alias(c) for c in ("images", "categories", "annotations")))
+    return flat(coco.label_sync(coco.exploded(docs), staged).select("image_id", "category_name", "bbox_x", "bbox_height"))
 
 
 def _faulty(rows: list[DataFrame]) -> list[DataFrame]:
@@ -937,19 +1015,49 @@ def _replayed(t: Tables, df: DataFrame, name: str) -> tuple[str, DataFrame]:
 def _(t: Tables) -> DataFrame:
     at, back = _replayed(t, t.review_updates, "marks")
     out = shared(t.spark, "marks-out")
-    q = jobs.replay(t.spark, at, back.schema, lambda s: jobs.stream_review_marks(s, out, shared(t.spark, "marks-ck")))
-    return jobs.latest_snapshot(t.spark, out, q).select("scope", "target_id", "status")
+    jobs.replay(t.spark, at, back.schema, lambda s: jobs.stream_review_marks(s, out, shared(t.spark, "marks-ck")))
+    return jobs.latest_marks(t.spark, out).select("scope", "target_id", "status")
 
 
-@query("str3_stream_activity", "SELECT CAST(date_trunc('day', updated_at) AS TIMESTAMP) AS window_start, status, count(*) AS n FROM v_review_updates GROUP BY ALL")
+#: Label files by image: in the second round every third is gone and every fifth has one box only; and the boxes of each source as a COCO document, of which two go and two lose their odd boxes.
+@query("str2_ingest_changes", f"""WITH {BOXES}, n AS (SELECT image_id, count(*) AS n FROM boxes GROUP BY 1), k AS (SELECT image_id || '.txt' AS file, CASE WHEN {NUM} % 5 = 0 THEN 1 ELSE n END AS n FROM n WHERE {NUM} % 3 <> 0),
+c AS (SELECT DISTINCT a.annotation_id, i.source_id, CAST(replace(i.source_id, 'source-', '') AS BIGINT) AS s, CAST(regexp_extract(a.annotation_id, '([0-9]+)$', 1) AS BIGINT) AS m FROM v_annotations a JOIN v_images i ON i.image_id = a.image_id AND i.source_id = a.source_id JOIN v_categories g ON g.category_id = a.source_category_id AND g.source_id = a.source_id)
+SELECT file, CAST(n AS BIGINT) AS n FROM k UNION ALL SELECT source_id || '.json', count(*) FROM c WHERE s % 4 <> 1 AND (s % 4 <> 2 OR m % 2 = 0) GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    # files in order of time, so that no mark of the replay is late
-    at = shared(t.spark, "activity")
-    back = t.review_updates.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
-    back.repartitionByRange(3, "updated_at").sortWithinPartitions("updated_at").write.parquet(at)
-    out = shared(t.spark, "activity-out")
-    jobs.replay(t.spark, at, back.schema, lambda s: jobs.stream_activity(s, out, shared(t.spark, "activity-ck")), per_trigger=100)
-    return jobs.latest_counts(t.spark, out)
+    root = shared(t.spark, "drop-folder")
+    n = F.regexp_extract("image_id", r"(\d+)$", 1).cast("long")
+    rows = t.boxes.withColumns({"split": F.lit("all"), "unique_name": F.col("image_id"), "bbox_x": F.lit(0.5), "bbox_y": F.lit(0.5), "bbox_width": F.lit(0.25), "bbox_height": F.lit(0.125), "annotation_format": F.lit("yolo")})
+    lines = written(export.yolo_lines(rows).select(F.col("unique_name").alias("image_id"), F.concat(F.lit("labels/"), "unique_name", F.lit(".txt")).alias("path"), F.col("text").alias("content")), "labels")
+    docs = _coco_parts(t, by_part=False)
+    at = F.concat(F.lit("coco/"), "source_id", F.lit(".json")).alias("path")
+    number = F.regexp_extract("source_id", r"(\d+)$", 1).cast("long")
+    three = [F.col(c) for c in ("images", "categories", "annotations")]
+    export.write_files(lines.unionByName(docs.select(at, F.to_json(F.struct(*three)).alias("content")), allowMissingColumns=True), root)
+    store = jobs.ingest_store(t.spark, shared(t.spark, "ingest"))
+    jobs.ingest_all(store, root, 20000)
+    even = F.filter("annotations", lambda a: F.regexp_extract(a["id"], r"(\d+)$", 1).cast("long") % 2 == 0).alias("annotations")
+    changed = lines.where(n % 5 == 0).select("path", F.substring_index("content", "\n", 1).alias("content"))
+    changed = changed.unionByName(docs.where(number % 4 == 2).select(at, F.to_json(F.struct(*three[:2], even)).alias("content")))
+    export.write_files(changed, root)
+    export.remove_files(lines.where(n % 3 == 0).select("path").unionByName(docs.where(number % 4 == 1).select(at)), root)
+    jobs.ingest_all(store, root, 20000)
+    return store.read("boxes").groupBy(F.element_at(F.split("path", "/"), -1).alias("file")).agg(F.count("*").alias("n"))
+
+
+#: Two thirds of the marks come first, the others late: those whose day has ended two days before the newest of the first are dropped, and a last mark closes all days.
+@query("str3_stream_activity", """WITH u AS (SELECT CAST(updated_at AS TIMESTAMP) AS ts, date_trunc('day', updated_at) AS day, status, event_id % 3 > 0 AS early FROM v_review_updates),
+w AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM u WHERE early), x AS (SELECT day, status, early OR day + INTERVAL 1 DAY > mark AS counted FROM u, w)
+SELECT CAST(day AS TIMESTAMP) AS window_start, status, count(*) AS n FROM x WHERE counted GROUP BY 1, 2 UNION ALL SELECT NULL, 'late ' || status, count(*) FROM x WHERE NOT counted GROUP BY 2""")
+def _(t: Tables) -> DataFrame:
+    at, out, ck = (shared(t.spark, n) for n in ("activity", "activity-out", "activity-ck"))
+    marks = t.review_updates.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    end = marks.agg(F.max("updated_at").alias("m")).select(*(F.lit(None).cast(k).alias(c) if c != "updated_at" else (F.col("m") + F.expr("interval 30 days")).alias(c) for c, k in marks.dtypes))
+    for part in (marks.where("event_id % 3 > 0"), marks.where("event_id % 3 = 0"), end):
+        part.write.mode("append").parquet(at)
+        jobs.replay(t.spark, at, marks.schema, lambda s: jobs.stream_activity(s, out, ck), per_trigger=100_000)
+    closed = jobs.closed_windows(t.spark, out)
+    late = jobs.late_marks(t.spark.read.parquet(at), closed)
+    return closed.unionByName(late.select(F.lit(None).cast("timestamp").alias("window_start"), F.concat(F.lit("late "), "status").alias("status"), F.col("late").alias("n")))
 
 
 # --- kept tables, sample sets and histories ---------------------------------------------------------------------------
@@ -980,12 +1088,27 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(at)
 
 
-@query("tbl1_replace_source", "SELECT source_id, count(*) AS n FROM v_images WHERE source_id <> 'source-3' OR health_status = 'healthy' GROUP BY 1")
+def _store(t: Tables, **tables: tuple[DataFrame, list[str]]) -> snapshots.Store:
+    store = snapshots.Store(t.spark, shared(t.spark, "store"))
+    store.create(tables)
+    return store
+
+
+@query("tbl1_replace_source", """SELECT 'old' AS version, 'images' AS kept, source_id, count(*) AS n FROM v_images GROUP BY 3 UNION ALL SELECT 'old', 'annotations', source_id, count(*) FROM v_annotations GROUP BY 3 UNION ALL SELECT 'old', 'categories', source_id, count(*) FROM v_categories GROUP BY 3
+UNION ALL SELECT 'new', 'images', source_id, count(*) FROM v_images WHERE source_id <> 'source-3' OR health_status = 'healthy' GROUP BY 3 UNION ALL SELECT 'new', 'annotations', source_id, count(*) FROM v_annotations WHERE source_id <> 'source-3' OR bbox_width > 20 GROUP BY 3
+UNION ALL SELECT 'new', 'categories', source_id, count(*) FROM v_categories WHERE source_id <> 'source-3' GROUP BY 3""")
 def _(t: Tables) -> DataFrame:
-    at = shared(t.spark, "by-source")
-    t.images.select("source_id", "image_id").write.partitionBy("source_id").parquet(at)
-    tables.replace_source(browse.healthy(t.images).where("source_id = 'source-3'").select("source_id", "image_id"), at)
-    return t.spark.read.parquet(at).groupBy("source_id").agg(F.count("*").alias("n"))
+    names = ("images", "annotations", "categories")
+    store = _store(t, **{n: (getattr(t, n), ["source_id"]) for n in names})
+    old = {n: store.read(n) for n in names}
+    mine = lambda d: d.where("source_id = 'source-3'")
+    snapshots.replace_source(store, "source-3", {"images": mine(browse.healthy(t.images)), "annotations": mine(t.annotations).where("bbox_width > 20"), "categories": t.categories.limit(0)})
+    count = lambda d, v, k: d.groupBy("source_id").agg(F.count("*").alias("n")).select(F.lit(v).alias("version"), F.lit(k).alias("kept"), "source_id", "n")
+    parts = [count(d, v, k) for v, of in (("old", old), ("new", {n: store.read(n) for n in names})) for k, d in of.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("tbl4_rescan_source", "SELECT s.source_id, CASE WHEN s.source_id = 'source-4' THEN (SELECT count(*) FROM v_images WHERE source_id = 'source-4') ELSE 0 END AS image_count, CASE WHEN s.source_id = 'source-4' THEN (SELECT count(*) FROM v_categories WHERE source_id = 'source-4') ELSE 0 END AS category_count, CASE WHEN s.source_id = 'source-4' AND (SELECT count(*) FROM v_images WHERE source_id = 'source-4' AND health_status = 'corrupted') > 0 THEN 'warning' ELSE 'ready' END AS status, (SELECT count(*) FROM v_annotations a WHERE a.source_id = s.source_id AND (a.source_id <> 'source-4' OR a.version_year > 1995)) AS boxes FROM v_sources s")
@@ -993,7 +1116,9 @@ def _(t: Tables) -> DataFrame:
     old = {"images": t.images, "categories": t.categories, "annotations": t.annotations}
     scan = {k: d.where("source_id = 'source-4'") for k, d in old.items()}
     scan["annotations"] = scan["annotations"].where("version_year > 1995")
-    sources, new = tables.rescan_source(t.sources, old, "source-4", scan)
+    store = _store(t, sources=(tables.evolve_schema(t.sources, {"image_count": 0, "category_count": 0, "status": "ready"}), ["source_id"]), **{k: (d, ["source_id"]) for k, d in old.items()})
+    snapshots.rescan(store, "source-4", scan)
+    sources, new = store.read("sources"), {k: store.read(k) for k in old}
     boxes = new["annotations"].groupBy("source_id").agg(F.count("*").alias("boxes"))
     return sources.join(boxes, "source_id", "left").fillna(0, ["boxes"]).select("source_id", F.col("image_count").cast("long").alias("image_count"), F.col("category_count").cast("long").alias("category_count"), "status", "boxes")
 

@@ -1,5 +1,6 @@
 """Pinned values of the dataset library on small inputs."""
 
+import hashlib
 import json
 import math
 import random
@@ -11,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewell.functions import scalars as fn
-from framewell.operators import analysis, browse, ranking, sampling, scope, tables, validate, vectors
+from framewell.operators import analysis, browse, neighbours, ranking, sampling, scope, snapshots, tables, validate, vectors
 from framewell.plans import dataset, export
-from framewell.sources import coco, files, yolo
+from framewell.sources import bigjson, coco, files, yolo
 from framewell.streaming import jobs
 
 BOX = "annotation_id string, image_id string, source_id string, source_category_id string, annotation_format string, bbox_x double, bbox_y double, bbox_width double, bbox_height double"
@@ -148,7 +149,7 @@ def test_coco_reader(spark, tmp_path):
     boxes = [{"id": i, "image_id": i % 5, "category_id": 1 + i % 2, "bbox": [1, "2.0", " 3 ", 4]} for i in range(12)]
     boxes += [{"id": 90, "image_id": 99, "category_id": 1, "bbox": [1, 2, 3, 4]}, {"id": 91, "image_id": 1, "category_id": 1, "bbox": [1, 2]}, {"id": 92, "image_id": 1, "category_id": 1, "bbox": [1, 2, "x", 4]}]
     _write_coco(tmp_path / "all.json", pics, [{"id": 1, "name": "cat"}, {"id": 2, "name": "dog"}], boxes)
-    images, cats, anns = coco.tables(coco.read_json(spark, str(tmp_path)), "s")
+    images, cats, anns = coco.tables(coco.read_coco(spark, str(tmp_path))[0], "s")
     assert (images.count(), anns.count(), cats.count()) == (5, 12, 2)
     assert {r.annotation_id for r in anns.collect()} >= {"ann-s-0", "ann-s-11"}
 
@@ -185,11 +186,37 @@ def test_upsert_keeps_created(spark):
         assert (r.status, r.note, r.created_at, r.updated_at) == (own[-1][1], own[-1][2], own[0][3], own[-1][4])
 
 
-def test_replace_source(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.createDataFrame([("a", 1), ("b", 2)], "source_id string, x int").write.partitionBy("source_id").parquet(path)
-    tables.replace_source(spark.createDataFrame([("a", 7), ("a", 8)], "source_id string, x int"), path)
-    assert sorted((r.source_id, r.x) for r in spark.read.parquet(path).collect()) == [("a", 7), ("a", 8), ("b", 2)]
+def test_changes_of_several_tables_are_one_commit(spark, tmp_path):
+    store = snapshots.Store(spark, str(tmp_path / "store"), 8)
+    kinds = {"images": "source_id string, x int", "boxes": "source_id string, y int"}
+    rows = {"images": [(f"s{i % 5}", i) for i in range(50)] + [(None, 99)], "boxes": [(f"s{i % 4}", i) for i in range(40)]}
+    store.create({n: (spark.createDataFrame(rows[n], k), ["source_id"]) for n, k in kinds.items()})
+    before, folders = {n: store.read(n) for n in kinds}, store.state()[1]["images"]["buckets"]
+    new = {"images": [("s1", 7), ("s1", 8)], "boxes": []}
+    change = {n: spark.createDataFrame(new[n], k) for n, k in kinds.items()}
+    assert snapshots.replace_source(store, "s1", change) == 1
+    seen = lambda of: {n: sorted(((r[0], r[1]) for r in d.collect()), key=repr) for n, d in of.items()}
+    assert seen(before) == {n: sorted(r, key=repr) for n, r in rows.items()}  # a reader of before sees what was there
+    assert seen({n: store.read(n) for n in kinds}) == {n: sorted([*(x for x in r if x[0] != "s1"), *new[n]], key=repr) for n, r in rows.items()}
+    after = store.state()[1]["images"]["buckets"]
+    assert sum(after[b] == p for b, p in folders.items()) >= len(folders) - 1 and after != folders  # other buckets keep their files
+    with pytest.raises(snapshots.Conflict):
+        snapshots.replace_source(store, "s2", change, version=0)
+    assert store.versions() == [0, 1] and not [p for p in (tmp_path / "store/log").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+    assert snapshots.replace_source(store, "gone", {"boxes": change["boxes"]}) == 2
+    store.vacuum(1)
+    assert seen({n: store.read(n) for n in kinds})["images"] == sorted([*(x for x in rows["images"] if x[0] != "s1"), *new["images"]], key=repr)
+    assert len(list((tmp_path / "store/data/images").glob("*"))) == 2
+
+
+def test_upsert_in_a_store(spark, tmp_path):
+    store = snapshots.Store(spark, str(tmp_path / "store"), 4)
+    cols = "target_id string, status string, created_at int, updated_at int"
+    rows = [(f"t{i % 9}", f"s{i}", i, i) for i in range(40)]
+    store.create({"marks": (spark.createDataFrame(rows[:9], cols), ["target_id"])})
+    for part in (rows[9:20], rows[20:], []):
+        store.upsert("marks", spark.createDataFrame(part, cols), F.col("updated_at"))
+    assert sorted(map(tuple, store.read("marks").collect())) == sorted((f"t{k}", f"s{max(range(k, 40, 9))}", k, max(range(k, 40, 9))) for k in range(9))
 
 
 def test_best_projection(spark):
@@ -275,12 +302,12 @@ def test_neighbours_of_ragged_vectors(spark):
     rows = [(f"v{i:02}", rng.normal(size=3 + i % 2).tolist()) for i in range(40)] + [("none", None), ("gap", [None, 1.0, 2.0])]
     d = spark.createDataFrame(rows, "target_id string, vector array<double>")
     full = {t: np.array([0.0 if v is None else v for v in x] + [0.0] * (4 - len(x))) for t, x in rows if x is not None}
-    got = vectors.knn_cosine(d, 5, block=7).collect()
+    got = neighbours.knn_cosine(d, 5, block=7, first=9).collect()
     for t, x in full.items():
         near = sorted((round(1 - x @ y / np.linalg.norm(x) / np.linalg.norm(y), 12), u) for u, y in full.items() if u != t)[:5]
         mine = sorted((r["rank"], r.neighbour) for r in got if r.target_id == t)
         assert [u for _, u in mine] == [u for _, u in near]
-    assert vectors.knn_cosine(d.limit(0), 5).count() == 0
+    assert neighbours.knn_cosine(d.limit(0), 5).count() == 0
 
 
 def test_hash_layout_spreads(spark):
@@ -323,7 +350,8 @@ def test_embedding_retries_single_items(spark):
         return run
 
     d = spark.createDataFrame([("x",), ("bad",), ("y",)], "target_id string")
-    got = vectors.embed(d, factory).collect()
+    got, failed = (t.collect() for t in vectors.embed(d, factory))
+    assert [tuple(r) for r in failed] == [("bad", "RuntimeError: unreadable")]
     assert sorted(r.target_id for r in got) == ["x", "y"] and all(math.isclose(sum(v * v for v in r.vector), 1, rel_tol=1e-5) for r in got)
 
 
@@ -344,20 +372,69 @@ def test_sampling(spark, mode):
     assert a == b
     s = runs[0][1].first()
     assert s.selected_images == 40 and s.target == 40 and not s.saturated
-    small = sampling.select(d, 40, mode, exact=100)
-    assert small.select("image_id").distinct().count() >= 40
 
 
-@pytest.mark.parametrize("mode", ["diverse", "balanced"])
-def test_sampling_of_a_target_beyond_one_group(spark, mode):
+def _nearest(x, names, k):
+    unit = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+    d = np.round(np.maximum(1 - unit @ unit.T, 0), 12)
+    return {t: [u for _, u in sorted((d[i, j], u) for j, u in enumerate(names) if j != i)[:k]] for i, t in enumerate(names)}
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_neighbours_over_many_blocks(spark, adaptive):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([c + 0.05 * rng.normal(size=(60, 12)) for c in rng.normal(size=(25, 12))] + [np.zeros((3, 12)), np.repeat(rng.normal(size=(1, 12)), 200, 0)])
+    names = [f"v{i:04}" for i in range(len(x))]
+    d = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x)], "target_id string, vector array<double>")
+    want = _nearest(x, names, 6)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        for sizes in ({"block": 16, "first": 40}, {}):
+            edges, compared = neighbours.nearest(d, k=6, **sizes)
+            got = {}
+            for r in sorted(edges.collect(), key=lambda r: r["rank"]):
+                got.setdefault(r.target_id, []).append(r.neighbour)
+            assert got == want
+            if sizes:
+                assert compared.first()[0] < len(x) ** 2 / 3  # clustered vectors: far from all pairs
+        half = d.where("target_id < 'v0700'")
+        best = sampling.coverage_quality(d, half, block=16, first=40).first()
+        unit = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+        assert best.vectors == len(x) and math.isclose(best.mean_similarity, (unit @ unit[:700].T).max(1).mean(), abs_tol=1e-9)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def _sequential(x, names, images, target, mode):
+    """The rules of both choices, one pick after another, over all vectors."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order, left, best = [], set(range(len(x))), None
+    while left and len({images[i] for i in order}) < target:
+        if best is None:
+            score = np.round(x @ x.mean(0), 12) if mode == "diverse" else -np.round(x @ x.sum(0), 9)
+        else:
+            score = np.round(best, 12) if mode == "diverse" else -np.round(np.maximum(x @ x.T - best, 0).sum(1), 9)
+        i = min(left, key=lambda i: (score[i], names[i]))
+        order.append(i)
+        left.discard(i)
+        best = x @ x[i] if best is None else np.maximum(best, x @ x[i])
+    return [names[i] for i in order]
+
+
+@pytest.mark.parametrize("mode,pool", [("diverse", 7), ("diverse", 2048), ("balanced", 70), ("balanced", 2048)])
+def test_choices_are_those_of_the_sequential_rule(spark, mode, pool):
     rng = np.random.default_rng(3)
-    # 180 near copies of one vector come first by id; the other 60 images have directions of their own
-    v = np.concatenate([np.eye(1, 24) + 0.001 * rng.normal(size=(180, 24)), rng.normal(size=(60, 24))])
-    d = spark.createDataFrame([(f"t{i:03}", f"i{i:03}", x.tolist()) for i, x in enumerate(v)], "target_id string, image_id string, vector array<double>")
-    got = sampling.select(d, 120, mode, exact=60).collect()
-    assert len(got) == len({r.image_id for r in got}) == 120
-    assert sum(r.image_id >= "i180" for r in got) >= 55 and len({r.pick for r in got}) > 20
-    assert sorted(got) == sorted(sampling.select(d.repartition(3), 120, mode, exact=60).collect())
+    # 80 near copies of one vector come first by id, 40 equal vectors, and 60 with directions of their own
+    x = np.concatenate([np.eye(1, 24) + 0.001 * rng.normal(size=(80, 24)), np.eye(1, 24, 3).repeat(40, 0), rng.normal(size=(60, 24))])
+    names, images = [f"t{i:03}" for i in range(180)], [f"i{i // 2:03}" for i in range(180)]
+    d = spark.createDataFrame([(n, i, v.tolist()) for n, i, v in zip(names, images, x)] + [("none", "i", None)], "target_id string, image_id string, vector array<double>")
+    for target in (3, 45) if pool == 2048 else (12,):
+        got = sorted(sampling.select(d, target, mode, pool).collect(), key=lambda r: r.pick)
+        assert [r.target_id for r in got] == _sequential(x, names, images, target, mode)
+        assert [r.pick for r in got] == list(range(len(got)))
+    if pool == 2048:
+        assert len(sampling.select(d, 500, mode, pool).collect()) == 180
+        assert sampling.select(d.limit(0), 5, mode).count() == 0
 
 
 def test_outlier_floor(spark):
@@ -386,20 +463,135 @@ def test_validators(spark, tmp_path):
     assert {r.rule for r in validate.validate_yolo(pics.limit(1), worse, splits).collect()} == {"value outside 0 to 1", "extra label"}
 
 
-def test_streams(spark, tmp_path):
-    rows = [("image", f"t{i % 3}", s, i, i) for i, s in enumerate(["keep", "fix", "keep", "exclude", "fix", "keep"])]
+def test_streamed_marks(spark, tmp_path):
+    rows = [("image", f"t{i % 3}", s, i, i) for i, s in enumerate(["keep", "fix", "keep", "exclude", "fix", "keep"])] + [("image", "t9", "old", 0, 9), ("image", "t9", "new", 0, 12)]
     d = spark.createDataFrame(rows, "scope string, target_id string, status string, updated_at int, event_id int")
-    for i in range(3):
-        d.where(F.col("event_id") % 3 == (i + 1) % 3).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    q = jobs.replay(spark, str(tmp_path / "in"), d.schema, lambda s: jobs.stream_review_marks(s, str(tmp_path / "out"), str(tmp_path / "ck")))
-    got = {r.target_id: r.status for r in jobs.latest_snapshot(spark, str(tmp_path / "out"), q).collect()}
-    assert got == {"t0": "exclude", "t1": "fix", "t2": "keep"}
-    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["batch=1", "batch=2"]
-    (tmp_path / "labels").mkdir()
-    (tmp_path / "labels/a.txt").write_text("0 0.5 0.5 0.2 0.2\n1 0.5 0.5 0.2 0.2")
-    q = jobs.stream_ingest(spark, str(tmp_path / "labels"), str(tmp_path / "boxes"), str(tmp_path / "ck2"))
-    q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "boxes")).count() == 2
+    at, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for i in range(3):  # not in order of time, and each part is a run of its own from the same checkpoint
+        d.where(F.col("event_id") % 3 == (i + 1) % 3).coalesce(1).write.mode("append").parquet(at)
+        jobs.replay(spark, at, d.schema, lambda s: jobs.stream_review_marks(s, out, ck))
+        (tmp_path / "out").mkdir(exist_ok=True)
+    got = {r.target_id: r.status for r in jobs.latest_marks(spark, out).collect()}
+    assert got == {"t0": "exclude", "t1": "fix", "t2": "keep", "t9": "new"}
+    changed = spark.read.parquet(out).groupBy("batch").count().collect()
+    assert len(changed) == 3 and max(r["count"] for r in changed) <= 2  # a batch writes what it changed
+    # a batch that is run again: its part of the log and its commit are lost, not the state
+    last = max(int(p.name) for p in (tmp_path / "ck/commits").iterdir() if p.name.isdigit())
+    for p in [*(tmp_path / "ck/commits").glob(f"*{last}*")]:
+        p.unlink()
+    before = sorted(map(tuple, jobs.latest_marks(spark, out).collect()))
+    jobs.replay(spark, at, d.schema, lambda s: jobs.stream_review_marks(s, out, ck))
+    assert sorted(map(tuple, jobs.latest_marks(spark, out).collect())) == before
+
+
+def test_late_marks_are_dropped_and_counted(spark, tmp_path):
+    day = lambda n: f"2024-01-{n:02} 12:00:00"
+    parts = [[("keep", day(1)), ("fix", day(2)), ("keep", day(10))], [("keep", day(1)), ("keep", day(9)), ("fix", day(7)), ("keep", day(20))], [("keep", day(28))]]
+    at, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for p in parts:
+        d = spark.createDataFrame(p, "status string, updated_at string").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+        d.coalesce(1).write.mode("append").parquet(at)
+        jobs.replay(spark, at, d.schema, lambda s: jobs.stream_activity(s, out, ck))
+    closed = jobs.closed_windows(spark, out)
+    assert sorted((r.window_start.day, r.status, r.n) for r in closed.collect()) == [(1, "keep", 1), (2, "fix", 1), (9, "keep", 1), (10, "keep", 1), (20, "keep", 1)]
+    assert sorted(map(tuple, jobs.late_marks(spark.read.parquet(at), closed).collect())) == [("fix", 1), ("keep", 1)]
+
+
+def test_ingest_follows_changed_and_removed_files(spark, tmp_path):
+    root = tmp_path / "drop"
+    (root / "labels").mkdir(parents=True)
+    line = "0 0.5 0.5 0.2 0.2"
+    for n in range(7):
+        (root / f"labels/p{n}.txt").write_text("\n".join([line] * n))
+    _write_coco(root / "a.json", [{"id": 1, "file_name": "x.jpg"}], [{"id": 1, "name": "cat"}], [{"id": k, "image_id": 1, "category_id": 1, "bbox": [1, 2, 3, k]} for k in range(4)])
+    store = jobs.ingest_store(spark, str(tmp_path / "store"), 4)
+    assert jobs.ingest_all(store, str(root), 3) == 7 and store.versions() == [0, 1, 2, 3]
+    count = lambda: {r[0].rsplit("/", 1)[1]: r[1] for r in store.read("boxes").groupBy("path").count().collect()}
+    assert count() == {f"p{n}.txt": n for n in range(1, 7)} | {"a.json": 4}
+    (root / "labels/p0.txt").write_text(line)
+    (root / "labels/p5.txt").write_text(f"{line}\nnot a box")
+    (root / "labels/p6.txt").unlink()
+    _write_coco(root / "a.json", [{"id": 1, "file_name": "x.jpg"}], [{"id": 1, "name": "cat"}], [{"id": 9, "image_id": 1, "category_id": 1, "bbox": [1, 2, 3, 4]}])
+    assert jobs.ingest_all(store, str(root)) == 4 and jobs.ingest_changes(store, str(root)) == 0
+    assert count() == {f"p{n}.txt": n for n in range(1, 5)} | {"p0.txt": 1, "p5.txt": 1, "a.json": 1}
+    assert {(r.image, r.category) for r in jobs.ingest_store(spark, str(tmp_path / "store")).read("boxes").where("path like '%json'").collect()} == {("x.jpg", "cat")}
+
+
+def test_large_documents_over_many_ranges(spark, tmp_path):
+    rng = random.Random(8)
+    odd = ['a"b}{', "c\\", "}]", '","images":[{', "é\n\t{", "[[", "\\\"}"]
+    docs = {}
+    for n in range(3):
+        pics = [{"id": i, "file_name": rng.choice(odd) + str(i), "width": 3, "height": 4} for i in range(60)]
+        anns = [{"id": i, "image_id": i % 60, "category_id": i % 2, "segmentation": rng.choice([[[1, 2, 3]], {"counts": rng.choice(odd), "size": [{"a": {}}, 2]}]), "bbox": [i, 1, 2.5, 3], "images": [{"no": 1}]} for i in range(200)]
+        doc = {"info": {"text": 'x}, "images": [{', "by": {"who": ["}"], "images": [{"id": "no"}]}}, "version": "1{", "licenses": [], "images": pics, "extra": [[{"id": 5}], 7], "annotations": anns, "categories": [{"id": 0, "name": "n{"}, {"id": 1, "name": ""}] if n else []}
+        docs[f"d{n}.json"] = doc
+        (tmp_path / f"d{n}.json").write_text(json.dumps(doc, indent=n or None, ensure_ascii=n == 1))
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "bad.json").write_text('{"images": [{"id": 1}, oops')
+    for size in ("97", "1000", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found, there = bigjson.elements(spark, str(tmp_path), ("images", "annotations", "categories"))
+            found, there = found.collect(), there.collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        got = {}
+        for r in found:
+            got.setdefault((r.path.rsplit("/", 1)[1], r.name), {})[r.pos] = json.loads(r.value) if not r.path.endswith("bad.json") else r.value
+        want = {(f, n): dict(enumerate(d[n])) for f, d in docs.items() for n in ("images", "annotations", "categories") if d[n]}
+        assert {k: v for k, v in got.items() if k[0] != "bad.json"} == want
+        assert {(r.path.rsplit("/", 1)[1], r.name) for r in there if not r.path.endswith("bad.json")} == {(f, n) for f in docs for n in ("images", "annotations", "categories")}
+
+
+def test_a_document_of_many_parts_reads_back(spark, tmp_path):
+    n = 3000
+    pics = spark.range(1, n + 1).select(F.lit("train").alias("split"), "id", F.concat(F.lit('p"}{'), "id").alias("file_name"))
+    pics = pics.unionByName(spark.range(1, 3).select(F.lit("valid").alias("split"), "id", F.lit("v").alias("file_name")))
+    boxes = spark.range(1, 2 * n + 1).select(F.lit("train").alias("split"), "id", (F.col("id") / 2).cast("long").alias("image_id"), F.array(F.lit(1.5), F.lit(2.0)).alias("bbox"))
+    export.write_documents({"images": pics.repartition(7), "annotations": boxes}, str(tmp_path / "out"), "all.json")
+    doc = json.loads((tmp_path / "out/split=train/all.json").read_text())
+    assert [p["id"] for p in doc["images"]] == list(range(1, n + 1)) and [b["id"] for b in doc["annotations"]] == list(range(1, 2 * n + 1))
+    assert json.loads((tmp_path / "out/split=valid/all.json").read_text()) == {"images": [{"id": 1, "file_name": "v"}, {"id": 2, "file_name": "v"}], "annotations": []}
+    assert [p.name for p in (tmp_path / "out/split=train").iterdir() if not p.name.endswith(".crc")] == ["all.json"]
+
+
+def test_files_come_whole_or_not_at_all(spark, tmp_path):
+    root = tmp_path / "tree"
+    rows = spark.range(40).select(F.concat(F.lit("a/"), F.col("id") % 5, F.lit("/"), "id", F.lit(".txt")).alias("path"), F.col("id").cast("string").alias("content")).repartition(4)
+    with pytest.raises(Exception, match="not a path below the root"):
+        export.write_files(rows.withColumn("path", F.when(F.col("content") == "17", "../x").otherwise(F.col("path"))), str(root))
+    assert not list(root.rglob("*.txt"))
+    export.write_files(rows, str(root))
+    export.write_files(rows.where("content = '3'").withColumn("content", F.lit("again")), str(root))
+    assert {p.name: p.read_text() for p in root.rglob("*.txt")} == {f"{k}.txt": "again" if k == 3 else str(k) for k in range(40)}
+    assert sorted(p.name for p in root.iterdir()) == ["_SUCCESS", "a"]
+    export.remove_files(rows.where("content > '2'"), str(root))
+    assert {p.stem for p in root.rglob("*.txt")} == {str(k) for k in range(40) if str(k) <= "2"}
+
+
+def test_headers_are_read_by_range(spark, tmp_path):
+    segment = lambda mark, body: b"\xff" + bytes([mark]) + struct.pack(">H", len(body) + 2) + body
+    frame = segment(0xC0, b"\x08" + struct.pack(">HH", 30, 50) + b"\x01")
+    tiff = lambda at: b"II*\0" + struct.pack("<I", at) + b"x" * (at - 8) + struct.pack("<H", 2) + struct.pack("<HHII", 256, 4, 1, 70) + struct.pack("<HHII", 257, 4, 1, 60)
+    made = {"near.jpg": b"\xff\xd8" + segment(0xE0, b"x") + frame, "far.jpg": b"\xff\xd8" + segment(0xE1, b"x" * 60000) * 4 + frame, "far.tif": tiff(300_000), "cut.jpg": b"\xff\xd8\xff"}
+    for name, start in made.items():
+        (tmp_path / name).write_bytes(start + (b"p" * 1_000_000 if name != "cut.jpg" else b""))
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.probe_images(spark, str(tmp_path)).collect()}
+    assert {n: (r.width, r.height) for n, r in got.items()} == {"near.jpg": (50, 30), "far.jpg": (50, 30), "far.tif": (70, 60), "cut.jpg": (None, None)}
+    assert got["near.jpg"].bytes_read == 4096 and max(r.bytes_read for r in got.values()) < 4096 + 8 * 64
+
+
+def test_a_hot_name_and_a_hot_group_are_shared_by_tasks(spark):
+    pics = spark.range(3000).select(F.format_string("i%05d", "id").alias("image_id"), F.when(F.col("id") % 10 > 0, "a.jpg").otherwise(F.concat("id", F.lit(".jpg"))).alias("file_name"))
+    got = sorted((r.image_id, r.staged_name) for r in ranking.staged_names(pics).collect() if r.file_name == "a.jpg")
+    assert [n for _, n in got] == ["a.jpg"] + [f"a-{k}.jpg" for k in range(1, len(got))]
+    boxes = pics.select("image_id", F.lit("s").alias("source_id"), F.lit("car").alias("export_key"), F.lit("coco").alias("annotation_format"), F.lit(10.0).alias("bbox_width"), F.lit(10.0).alias("bbox_height"), F.lit(100).alias("width"), F.lit(100).alias("height"))
+    boxes = boxes.withColumn("export_key", F.when(F.col("image_id") < "i00100", "van").otherwise("car"))
+    for seed in (1, 2):
+        kept = {r[0] for r in analysis.cap_majority(boxes, seed).collect()}
+        cars = sorted((hashlib.md5(f"{seed}:i{k:05d}".encode()).hexdigest(), f"i{k:05d}") for k in range(100, 3000))
+        assert kept == {f"i{k:05d}" for k in range(100)} | {i for _, i in cars[:100]}
 
 
 def test_empty_tables(spark):
