@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import filename_conflicts, split_sizes
+from .ranking import filename_conflicts
 from .tables import latest_mark
 
 
@@ -56,12 +56,13 @@ def export_preview(scoped: DataFrame, boxes: DataFrame, marks: DataFrame, ratios
     pics = boxes.select("image_id", "file_name").distinct()
     totals = boxes.agg(F.countDistinct("image_id").alias("images"), F.count("*").alias("boxes"), F.countDistinct("export_key").alias("categories"))
     conflicts = filename_conflicts(pics).agg(F.count("*").alias("conflict_groups"))
-    n = totals.first()["images"]
-    sizes = split_sizes(n, ratios)
+    whole = float(sum(ratios))
+    train, valid = (F.floor(F.col("images") * float(r) / whole).cast("long") if whole > 0 else F.lit(0).cast("long") for r in ratios[:2])
+    sizes = {"train": train, "valid": valid, "test": F.col("images") - train - valid if whole > 0 else F.lit(0).cast("long")}  # as split_sizes
     out = totals
     for one_row in (scoped, count_exclusions(boxes, marks), conflicts):
         out = out.crossJoin(F.broadcast(one_row))  # one row each
-    return out.select("images", "boxes", F.greatest(F.col("scoped") - F.col("images"), F.lit(0)).alias("out_of_scope"), "categories", "excluded_images", "excluded_boxes", "conflict_groups", *(F.lit(v).cast("long").alias(k) for k, v in zip(("train", "valid", "test"), sizes)))
+    return out.select("images", "boxes", F.greatest(F.col("scoped") - F.col("images"), F.lit(0)).alias("out_of_scope"), "categories", "excluded_images", "excluded_boxes", "conflict_groups", *(v.alias(k) for k, v in sizes.items()))
 
 
 def export_categories(boxes: DataFrame) -> DataFrame:

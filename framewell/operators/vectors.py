@@ -9,6 +9,7 @@ empty results.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -265,6 +266,50 @@ def crop_tensor(pixels: np.ndarray, window: tuple[int, int, int, int], size: int
     return (((rows(y0) * (1 - fy) + rows(y1) * fy) - np.asarray(mean)) / np.asarray(std)).transpose(2, 0, 1)
 
 
+@dataclass(frozen=True)
+class Model:
+    """An encoder's family, its vectors' length, and the side, mean and deviation of the pixels that it takes."""
+
+    family: str
+    dim: int
+    side: int
+    mean: tuple[float, float, float]
+    std: tuple[float, float, float]
+
+
+# The models by name, with the pixel statistics of their families.
+MODELS = {
+    "clip-vit-b32": Model("clip", 512, 224, (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)),
+    "dinov2-small": Model("dinov2", 384, 224, (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)),
+}
+
+
+def encoder(name: str, run: Callable[[np.ndarray], np.ndarray] | None = None) -> Callable[[], Callable]:
+    """A factory for embed() of a model by name: pixels are cropped as the model takes them and `run` makes the vectors.
+
+    Pixels are decoded, each an array (height, width, 3) of bytes or its nested lists. Vectors of another length than the
+    model's are an error, as is an unknown name. Without `run` the mock encoder stands in, with vectors of that length.
+    """
+    if name not in MODELS:
+        raise ValueError(f"no model {name}; there are {', '.join(MODELS)}")
+    model = MODELS[name]
+
+    def factory() -> Callable:
+        if run is None:
+            return mock_encoder(model.dim)
+
+        def encode(ids: list[str], pixels) -> np.ndarray:
+            whole = [np.asarray([[list(c) for c in r] for r in p], np.uint8) for p in pixels]
+            found = pooled(np.asarray(run(np.stack([crop_tensor(p, (0, 0, p.shape[1], p.shape[0]), model.side, model.mean, model.std) for p in whole]))), len(ids))
+            if found.shape[1] != model.dim:
+                raise ValueError(f"{name} makes vectors of {model.dim} numbers, not {found.shape[1]}")
+            return found
+
+        return encode
+
+    return factory
+
+
 def embed(items: DataFrame, factory: Callable[[], Callable], batch: int = 64) -> tuple[DataFrame, DataFrame]:
     """Vectors (target_id, unit vector, vector_norm before that) and failures (target_id, error), one row an item in all.
 

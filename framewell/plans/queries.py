@@ -1004,6 +1004,27 @@ def _(t: Tables) -> DataFrame:
     return validate.validate_yolo(pics, faulty.unionByName(extra), splits).select("split", "rule", "ref")
 
 
+#: All objects with vectors as COCO splits by image; what SQL can say of the run: what was read, embedded and failed, and how many images it chose and wrote.
+@query("pipe1_run_pipeline", """WITH o AS (SELECT *, CAST(replace(image_id, 'img-', '') AS BIGINT) % 3 AS k FROM v_embeddings), s AS (SELECT CASE k WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split, count(DISTINCT image_id) AS images, count(*) AS annotations FROM o GROUP BY 1),
+g AS (SELECT CAST(greatest(1, round_even(sum(images) * 0.3, 0)) AS BIGINT) AS n FROM s)
+SELECT 'ingest ' || split AS stage, images, annotations, CAST(0 AS BIGINT) AS skipped FROM s UNION ALL SELECT 'ingest *', CAST(sum(images) AS BIGINT), CAST(sum(annotations) AS BIGINT), 0 FROM s UNION ALL SELECT 'failed', 0, 0, 0 UNION ALL SELECT 'selected', n, NULL, NULL FROM g UNION ALL SELECT 'written', n, NULL, NULL FROM g UNION ALL SELECT 'categories', count(DISTINCT category_id), NULL, NULL FROM o""")
+def _(t: Tables) -> DataFrame:
+    n = F.regexp_extract("image_id", r"(\d+)$", 1).cast("long") % 3
+    rows = t.embeddings.select("target_id", "image_id", F.col("category_id").alias("name"), F.when(n == 0, "train").when(n == 1, "valid").otherwise("test").alias("split"))
+    of = lambda name, v: rows.select("split", v.alias("v")).distinct().groupBy("split").agg(F.array_sort(F.collect_list("v")).alias(name))
+    pics = of("images", F.struct(F.col("image_id").alias("id"), F.concat("image_id", F.lit(".jpg")).alias("file_name"), F.lit(100).alias("width"), F.lit(80).alias("height")))
+    cats = of("categories", F.struct(F.col("name").alias("id"), "name"))
+    anns = of("annotations", F.struct(F.col("target_id").alias("id"), "image_id", F.col("name").alias("category_id"), F.array(*map(F.lit, (1.0, 2.0, 30.0, 40.0))).alias("bbox")))
+    docs = pics.join(cats, "split").join(anns, "split")
+    root = shared(t.spark, "pipeline-in")
+    export.write_files(docs.select(F.concat("split", F.lit("/annotations.coco.json")).alias("path"), F.to_json(F.struct("images", "categories", "annotations")).alias("content")), root)
+    out = dataset.run_pipeline(t.spark, root, 0.3)
+    none = F.lit(None).cast("long")
+    count = lambda name, d: d.agg(F.count("*").alias("images")).select(F.lit(name).alias("stage"), "images", *((F.lit(0).cast("long") if name == "failed" else none).alias(c) for c in ("annotations", "skipped")))
+    read = out["ingest"].select(F.concat(F.lit("ingest "), "split").alias("stage"), "images", "annotations", "skipped")
+    return read.unionByName(count("failed", out["failed"])).unionByName(count("selected", out["members"].where("membership = 'selected'"))).unionByName(count("written", out["images"])).unionByName(count("categories", out["categories"].where("name is not null")))
+
+
 # --- streams, over the tables as replayed files -----------------------------------------------------------------------
 def _replayed(t: Tables, df: DataFrame, name: str) -> tuple[str, DataFrame]:
     at = shared(t.spark, name)

@@ -355,6 +355,23 @@ def test_embedding_retries_single_items(spark):
     assert sorted(r.target_id for r in got) == ["x", "y"] and all(math.isclose(sum(v * v for v in r.vector), 1, rel_tol=1e-5) for r in got)
 
 
+def test_encoders_by_name(spark):
+    d = spark.createDataFrame([("a", [[[0, 128, 255]] * 3] * 2), ("b", [[[9, 9, 9]] * 5] * 4), ("c", None)], "target_id string, pixels array<array<array<int>>>")
+
+    def means(x):  # as long as the model's vectors, from the channels' means
+        return np.repeat(x.mean((2, 3)), 171, 1)[:, :512]
+
+    got, failed = (t.collect() for t in vectors.embed(d, vectors.encoder("clip-vit-b32", means)))
+    assert [r.target_id for r in failed] == ["c"] and sorted(r.target_id for r in got) == ["a", "b"]
+    a = next(r for r in got if r.target_id == "a")
+    raw = [(v / 255 - m) / s for v, m, s in zip((0, 128, 255), vectors.MODELS["clip-vit-b32"].mean, vectors.MODELS["clip-vit-b32"].std)]
+    assert len(a.vector) == 512 and np.allclose(np.array(a.vector)[[0, 171, 342]] * a.vector_norm, raw, atol=1e-4)
+    assert [r.error for r in vectors.embed(d.where("target_id = 'a'"), vectors.encoder("dinov2-small", means))[1].collect()] == ["ValueError: dinov2-small makes vectors of 384 numbers, not 512"]
+    assert len(vectors.embed(d.select("target_id"), vectors.encoder("dinov2-small"))[0].first().vector) == 384
+    with pytest.raises(ValueError):
+        vectors.encoder("unknown")
+
+
 def _clusters(spark):
     rng = np.random.default_rng(5)
     rows = []
