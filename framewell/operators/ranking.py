@@ -124,6 +124,8 @@ def unique_names(images: DataFrame, order: str = "image_id", group: list[str] |
     ext = F.regexp_extract("file_name", r"(?<=.)(\.[^.]*)$", 1)
     key = [*group, "file_name"]
     names = written(images.where("file_name is not null").groupBy(*key).agg(F.count("*").alias("n")), "names-counted")
+    if names.where("n > 1").isEmpty():
+        return images.withColumn("unique_name", F.col("file_name"))
     families = _name_families(names, group)
     rest, folded = images, None
     if families is not None:
@@ -156,7 +158,7 @@ def unique_names(images: DataFrame, order: str = "image_id", group: list[str] |
         folded = part.groupBy(*group, "root").applyInPandas(fold, schema)
     twice = rest.join(names.where("n > 1").select(*key), key, "left_semi")
     once = rest.join(names.where("n > 1").select(*key), key, "left_anti").withColumn("unique_name", F.col("file_name"))
-    ranked = distributed_rank(twice, [order], spread_bucket(images, order), "k_", key)
+    ranked = distributed_rank(twice, [order], spread_bucket(twice, order), "k_", key)
     new = F.when(F.col("k_") == 1, F.col("file_name")).otherwise(F.concat(fn.stem(F.col("file_name")), F.lit("-"), (F.col("k_") - 1).cast("string"), ext))
     out = once.unionByName(ranked.withColumn("unique_name", new).select(*once.columns))
     return (out if folded is None else out.unionByName(folded)).select(*images.columns, "unique_name")

@@ -516,7 +516,19 @@ def _(t: Tables) -> DataFrame:
     return sampling.resolve_target(t.embeddings, ratio=0.3)
 
 
-@query("vec3_pca_2d")
+#: The scatter matrix as a list of rows, and 32 rounds of the power iteration for each of the two directions.
+@query("vec3_pca_2d", """WITH RECURSIVE v AS (SELECT target_id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS e FROM v_embeddings),
+n AS (SELECT unnest(range(1, (SELECT max(len(e)) FROM v) + 1)) AS i), m AS (SELECT i, avg(e[i]) AS mu FROM v, n GROUP BY i), c AS (SELECT target_id, i, e[i] - mu AS x FROM v, m),
+s AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS g FROM c a JOIN c b ON a.target_id = b.target_id GROUP BY ALL),
+g AS (SELECT list(r ORDER BY i) AS g FROM (SELECT i, list(g ORDER BY j) AS r FROM s GROUP BY i)),
+z AS (SELECT list(CASE WHEN i % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY i) AS z FROM n),
+p AS (SELECT 0 AS k, z AS u FROM z UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT k, list_transform(g, lambda r: list_inner_product(r, u)) AS w FROM p, g WHERE k < 32)),
+f AS (SELECT u AS f FROM p WHERE k = 32),
+q AS (SELECT 0 AS k, z AS u FROM z UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (
+    SELECT k, list_transform(w, lambda x, i: x - list_inner_product(w, f) * f[i]) AS w FROM (
+        SELECT k, f, list_transform(g, lambda r: list_inner_product(r, list_transform(u, lambda x, i: x - list_inner_product(u, f) * f[i]))) AS w FROM q, g, f WHERE k < 32))),
+o AS (SELECT target_id, sum(x * f[i]) AS x, sum(x * u[i]) AS y FROM c, f, (SELECT u FROM q WHERE k = 32) GROUP BY 1)
+SELECT target_id, 'pca-v1' AS projection_method, round(x / (SELECT max(abs(x)) FROM o), 6) + 0.0 AS x, round(y / (SELECT max(abs(y)) FROM o), 6) + 0.0 AS y FROM o""")
 def _(t: Tables) -> DataFrame:
     return flat(vectors.pca_2d(t.embeddings))
 
@@ -537,7 +549,11 @@ u AS (SELECT *, count(CASE WHEN fresh THEN 1 END) OVER (ORDER BY pick ROWS BETWE
 SELECT picked AS target_id, image_id, CAST(pick AS BIGINT) AS pick FROM u WHERE before < 40"""
 
 
-@query("vec9_select_balanced", PICKS.format(start="f AS (SELECT arg_min(i, (-round(s, 9), i)) AS id FROM (SELECT i, sum(c) AS s FROM x GROUP BY i))", next="SELECT arg_min(i, (-round(g, 9), i)) AS id FROM (SELECT x.i, sum(greatest(x.c - a.best, 0)) AS g FROM r a JOIN x ON x.j = a.id JOIN r q ON q.id = x.i AND NOT q.taken GROUP BY x.i)"))
+MEDOID = "f AS (SELECT arg_min(i, (-round(s, 9), i)) AS id FROM (SELECT i, sum(c) AS s FROM x GROUP BY i))"
+LARGEST_GAIN = "SELECT arg_min(i, (-round(g, 9), i)) AS id FROM (SELECT x.i, sum(greatest(x.c - a.best, 0)) AS g FROM r a JOIN x ON x.j = a.id JOIN r q ON q.id = x.i AND NOT q.taken GROUP BY x.i)"
+
+
+@query("vec9_select_balanced", PICKS.format(start=MEDOID, next=LARGEST_GAIN))
 def _(t: Tables) -> DataFrame:
     return sampling.select(t.embeddings, 40, "balanced")
 
@@ -552,6 +568,23 @@ def _(t: Tables) -> DataFrame:
     return sampling.run_sampling(t.embeddings, t.embeddings.select("target_id", F.col("category_id").alias("class_id")), pca=16)[0]
 
 
+#: The whole run without the reduction of dimensions: outliers by their neighbours go, the balanced choice is made of the others, and members are listed.
+OUTLIERS = """kv AS (SELECT target_id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS e, category_id FROM v_embeddings),
+kd AS (SELECT a.target_id, b.target_id AS neighbour, greatest(1 - list_cosine_similarity(a.e, b.e), 0) AS distance FROM kv a JOIN kv b ON a.target_id <> b.target_id),
+ke AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(distance, 12), neighbour) AS rank FROM kd) WHERE rank <= 15),
+ks AS (SELECT target_id, avg(distance) AS score FROM ke GROUP BY 1),
+kf AS (SELECT ks.target_id, category_id AS class_id, score, row_number() OVER (ORDER BY score DESC, ks.target_id) <= round_even(count(*) OVER () * 0.02, 0) AS hit FROM ks JOIN kv ON kv.target_id = ks.target_id),
+kb AS (SELECT *, row_number() OVER (PARTITION BY class_id, hit ORDER BY score, target_id) AS back, count(CASE WHEN NOT hit THEN 1 END) OVER (PARTITION BY class_id) AS kept FROM kf),
+gone AS (SELECT target_id, hit AND back > 5 - kept AS is_out FROM kb), goal AS (SELECT CAST(greatest(1, round_even(count(DISTINCT image_id) * 0.3, 0)) AS BIGINT) AS n FROM v_embeddings)"""
+FROM_PICKS = """picks AS (SELECT picked AS target_id, image_id, pick FROM u, goal WHERE before < goal.n), chosen AS (SELECT image_id, arg_min(target_id, (pick, target_id)) AS trigger_object_id FROM picks GROUP BY 1)
+SELECT image_id, trigger_object_id, 'selected' AS membership FROM chosen UNION ALL SELECT image_id, NULL, 'outlier-excluded' FROM v_embeddings JOIN gone USING (target_id) WHERE image_id NOT IN (SELECT image_id FROM chosen) GROUP BY 1 HAVING bool_and(is_out)"""
+
+
+@query("vec12_sampling", PICKS.format(start=MEDOID, next=LARGEST_GAIN).replace("WITH RECURSIVE v AS", f"WITH RECURSIVE {OUTLIERS}, v AS").replace("FROM v_embeddings),\nx AS", "FROM v_embeddings WHERE target_id IN (SELECT target_id FROM gone WHERE NOT is_out)),\nx AS").replace("r.pick < 80", "r.pick < (SELECT 2 * n FROM goal)").replace("\nSELECT picked AS target_id, image_id, CAST(pick AS BIGINT) AS pick FROM u WHERE before < 40", f",\n{FROM_PICKS}"))
+def _(t: Tables) -> DataFrame:
+    return sampling.run_sampling(t.embeddings, t.embeddings.select("target_id", F.col("category_id").alias("class_id")), pca=1000)[0].select("image_id", "trigger_object_id", "membership")
+
+
 @query("vec13_coverage_quality", "WITH v AS (SELECT target_id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS e, category_id FROM v_embeddings), b AS (SELECT a.target_id, max(list_cosine_similarity(a.e, s.e)) AS best FROM v a JOIN v s ON s.category_id IN ('class-1', 'class-4') GROUP BY 1) SELECT round(avg(best), 6) AS mean_similarity, count(*) AS vectors FROM b")
 def _(t: Tables) -> DataFrame:
     return flat(sampling.coverage_quality(t.embeddings, t.embeddings.where("category_id in ('class-1', 'class-4')")))

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -492,13 +493,20 @@ def test_streamed_marks(spark, tmp_path):
     assert got == {"t0": "exclude", "t1": "fix", "t2": "keep", "t9": "new"}
     changed = spark.read.parquet(out).groupBy("batch").count().collect()
     assert len(changed) == 3 and max(r["count"] for r in changed) <= 2  # a batch writes what it changed
+    seen = sorted(map(tuple, jobs.latest_marks(spark, out).collect()))
+    jobs.compact_marks(spark, out)
+    assert sorted(map(tuple, jobs.latest_marks(spark, out).collect())) == seen and [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")] == []
     # a batch that is run again: its part of the log and its commit are lost, not the state
     last = max(int(p.name) for p in (tmp_path / "ck/commits").iterdir() if p.name.isdigit())
     for p in [*(tmp_path / "ck/commits").glob(f"*{last}*")]:
         p.unlink()
     before = sorted(map(tuple, jobs.latest_marks(spark, out).collect()))
+    spark.createDataFrame([("image", "t0", "keep", 99, 99)], d.schema).write.mode("append").parquet(at)
     jobs.replay(spark, at, d.schema, lambda s: jobs.stream_review_marks(s, out, ck))
-    assert sorted(map(tuple, jobs.latest_marks(spark, out).collect())) == before
+    assert sorted(map(tuple, jobs.latest_marks(spark, out).collect())) == sorted([*(x for x in before if x[1] != "t0"), ("image", "t0", "keep", 99, 99)])
+    jobs.compact_marks(spark, out)
+    jobs.compact_marks(spark, out)
+    assert {r.target_id: r.status for r in jobs.latest_marks(spark, out).collect()} == {"t0": "keep", "t1": "fix", "t2": "keep", "t9": "new"}
 
 
 def test_late_marks_are_dropped_and_counted(spark, tmp_path):
@@ -534,6 +542,21 @@ def test_ingest_follows_changed_and_removed_files(spark, tmp_path):
     assert {(r.image, r.category) for r in jobs.ingest_store(spark, str(tmp_path / "store")).read("boxes").where("path like '%json'").collect()} == {("x.jpg", "cat")}
 
 
+def test_a_watched_folder(spark, tmp_path):
+    (tmp_path / "drop").mkdir()
+    (tmp_path / "drop/a.txt").write_text("0 0.5 0.5 0.2 0.2")
+    store = jobs.ingest_store(spark, str(tmp_path / "store"), 2)
+    q = jobs.watch(store, str(tmp_path / "drop"), str(tmp_path / "ck"), "1 second")
+    try:
+        for _ in range(120):
+            if store.versions()[-1] > 0:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert [(r.image, r.category) for r in store.read("boxes").collect()] == [("a", "0")]
+
+
 def test_large_documents_over_many_ranges(spark, tmp_path):
     rng = random.Random(8)
     odd = ['a"b}{', "c\\", "}]", '","images":[{', "é\n\t{", "[[", "\\\"}"]
