@@ -376,8 +376,9 @@ def test_mixing(spark):
     assert runs[0] == runs[1]
     size = Counter()
     taken, target = Counter(), {}
-    for i, n, s, t, k in runs[0]:
+    for i, n, s, t, k, first, takes in runs[0]:
         assert n == len(texts[i].split()) and k <= 3 * n
+        assert (k > 0) == (first is not None) == (takes > 0) and k <= takes * n
         size[source(i)] += n
         taken[source(i)] += k
         target[source(i)] = t
@@ -392,6 +393,23 @@ def test_mixing(spark):
             left -= want[s]
         free -= full or free
     assert all(abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 1 for s in order)
+    # slot by slot: which stretches of the schedule take from each document
+    n_slots, at, upto, hits = sum(size.values()) // 64 + 1, 0, 0.0, {}
+    for s in order:
+        upto += target[s]
+        lo, at = at, round(upto / sum(target.values()) * mixing.M)
+        mine = [k for k in range(n_slots) if lo <= k * mixing.K % mixing.M < at] + [n_slots]
+        line, place = [], 0
+        for i in sorted((i for i in range(200) if source(i) == s and texts[i].split()), key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest()):
+            line.append((i, place, place + len(texts[i].split())))
+            place = line[-1][2]
+        for r, k in enumerate(mine):
+            p, q = (x * int(target[s]) // len(mine) for x in (r, r + 1))
+            for lap in range(p // place, -(-q // place)):
+                for i, u, v in line:
+                    if max(p - lap * place, u) < min(q - lap * place, v):
+                        hits.setdefault(i, []).append(k)
+    assert {r[0]: (r[5], r[6]) for r in runs[0] if r[6]} == {i: (min(k), len(k)) for i, k in hits.items()}
 
 
 def test_embeddings(spark):
