@@ -455,6 +455,21 @@ def test_choices_are_those_of_the_sequential_rule(spark, mode, pool):
         assert sampling.select(d.limit(0), 5, mode).count() == 0
 
 
+def test_balanced_choice_takes_many_picks_a_pass(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8, 16))[rng.integers(0, 8, 1200)] + 0.4 * rng.normal(size=(1200, 16))
+    names, images = [f"t{i:04}" for i in range(1200)], [f"i{i // 2:03}" for i in range(1200)]
+    d = spark.createDataFrame([(n, i, v.tolist()) for n, i, v in zip(names, images, x)], "target_id string, image_id string, vector array<double>").repartition(2)
+    spark.sparkContext.setJobGroup("balanced", "")
+    got = sorted(sampling.select(d, 200, "balanced", 300).collect(), key=lambda r: r.pick)
+    spark.sparkContext.setJobGroup("other", "")
+    assert [r.target_id for r in got] == _sequential(x, names, images, 200, "balanced")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("balanced")) < 200  # not even a job a pick
+    rows = sampling.packed(d, 16, ("target_id", "image_id"))
+    few = sampling.facility(rows, 4, 300, entries=2000)  # pools cut to few pairs, some to one candidate
+    assert [r.target_id for r in few.orderBy("pick").collect()] == [r.target_id for r in got[: few.count()]]
+
+
 def test_outlier_floor(spark):
     scores = spark.createDataFrame([(f"t{i}", float(i)) for i in range(10)], "target_id string, score double")
     classes = spark.createDataFrame([(f"t{i}", None if i > 7 else "a") for i in range(10)], "target_id string, class_id string")
