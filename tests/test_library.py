@@ -470,6 +470,30 @@ def test_balanced_choice_takes_many_picks_a_pass(spark):
     assert [r.target_id for r in few.orderBy("pick").collect()] == [r.target_id for r in got[: few.count()]]
 
 
+def _exchanges(d):
+    return d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_boxes_lie_by_image_when_they_meet_the_images(spark):
+    from framewell.fixtures import table
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables too large to be sent to all tasks
+    try:
+        boxes = table(spark, "/root/testdata/sf0.001", "v_annotations")
+        ids = spark.range(9).select(F.concat(F.lit("img-"), "id").alias("image_id"))
+        assert _exchanges(boxes.join(ids, "image_id")) == _exchanges(boxes) + 1  # that of the ids
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_excluded_boxes_are_not_dealt_out_by_their_ids(spark):
+    boxes = spark.range(1000).select(F.concat(F.lit("i"), F.col("id") % 100).alias("image_id"), F.concat(F.lit("a"), "id").alias("annotation_id"))
+    marks = spark.createDataFrame([("image", "i3", "exclude", 1, "e"), ("object", "a5", "exclude", 1, "e"), ("object", "a6", "exclude", 1, "a"), ("object", "a6", "keep", 2, "b")], "scope string, target_id string, status string, updated_at long, event_id string")
+    left = scope.apply_exclusions(boxes, marks)
+    assert left.count() == 989 and _exchanges(left) == 0
+
+
 def test_outlier_floor(spark):
     scores = spark.createDataFrame([(f"t{i}", float(i)) for i in range(10)], "target_id string, score double")
     classes = spark.createDataFrame([(f"t{i}", None if i > 7 else "a") for i in range(10)], "target_id string, class_id string")
