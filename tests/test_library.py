@@ -494,6 +494,13 @@ def test_excluded_boxes_are_not_dealt_out_by_their_ids(spark):
     assert left.count() == 989 and _exchanges(left) == 0
 
 
+def test_many_small_files_are_probed_in_few_tasks(spark, tmp_path):
+    export.write_files(spark.range(800).select(F.concat("id", F.lit(".png")).alias("path"), F.lit(b"not an image").alias("content")), str(tmp_path))
+    found = files.probe_images(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and found.count() == 800
+    assert sorted(x.name for x in tmp_path.iterdir() if x.suffix != ".png" and not x.name.startswith(".")) == ["_SUCCESS"]
+
+
 def test_outlier_floor(spark):
     scores = spark.createDataFrame([(f"t{i}", float(i)) for i in range(10)], "target_id string, score double")
     classes = spark.createDataFrame([(f"t{i}", None if i > 7 else "a") for i in range(10)], "target_id string, class_id string")
