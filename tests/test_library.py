@@ -311,6 +311,27 @@ def test_neighbours_of_ragged_vectors(spark):
     assert neighbours.knn_cosine(d.limit(0), 5).count() == 0
 
 
+def _shuffled_rows(spark):
+    """Rows that the session's stages have written to shuffles so far."""
+    sc = spark.sparkContext
+    lists = sc._jvm.java.util.ArrayList
+    stages = sc._jsc.sc().statusStore().stageList(lists(), False, False, sc._gateway.new_array(sc._jvm.double, 0), lists())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_neighbours_without_clusters_shuffle_a_vector_by_groups(spark):
+    x = np.random.default_rng(3).normal(size=(1500, 24))
+    d = spark.createDataFrame([(f"v{i:04}", v.tolist()) for i, v in enumerate(x)], "target_id string, vector array<double>")
+    before = _shuffled_rows(spark)
+    edges, compared = neighbours.nearest(d, k=3, block=8, first=16)
+    got = {(r.target_id, r["rank"]): r.neighbour for r in edges.collect()}
+    rows = sum(n for i, n in _shuffled_rows(spark).items() if i not in before)
+    want = _nearest(x, [f"v{i:04}" for i in range(len(x))], 3)
+    assert got == {(t, k): u for t, near in want.items() for k, u in enumerate(near, 1)}
+    assert compared.first()[0] > 0.8 * len(x) ** 2  # nearly all of some 190 annuli are visited
+    assert rows < 90 * len(x)
+
+
 def test_hash_layout_spreads(spark):
     xy = vectors.hash_points([f"scope:model:{i * 37}-é" for i in range(4000)] + [""])
     assert np.abs(xy).max() <= 1 and len(np.unique(xy, axis=0)) == 4001
