@@ -210,6 +210,26 @@ def test_changes_of_several_tables_are_one_commit(spark, tmp_path):
     assert len(list((tmp_path / "store/data/images").glob("*"))) == 2
 
 
+def test_rows_of_a_change_are_computed_once(spark, tmp_path):
+    store = snapshots.Store(spark, str(tmp_path / "store"), 4)
+    plain = "source_id string, name string, image_count long, category_count long, status string"
+    store.create({"sources": (spark.createDataFrame([("s1", "a", 0, 0, "new"), ("s2", "b", 0, 0, "new")], plain), ["source_id"]), "images": (spark.createDataFrame([("s1", 1, "healthy"), ("s2", 2, "healthy")], "source_id string, x long, health_status string"), ["source_id"]), "categories": (spark.createDataFrame([("s1", "c")], "source_id string, name string"), ["source_id"])})
+    times = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        times.add(1)
+        return "s2"
+
+    once = F.udf(seen, "string")
+    scanned = lambda n: spark.range(n).select(once("id").alias("source_id"), F.col("id").cast("int").alias("x"), F.lit("healthy").alias("health_status"))
+    snapshots.replace_source(store, "s2", {"images": scanned(30)})
+    assert times.value == 30
+    snapshots.rescan(store, "s2", {"images": scanned(50), "categories": spark.createDataFrame([("s2", "d")], "source_id string, name string")})
+    assert times.value == 80
+    assert sorted((r.source_id, r.x) for r in store.read("images").collect()) == [("s1", 1), *(("s2", i) for i in range(50))]
+    assert {r.source_id: r.image_count for r in store.read("sources").collect()} == {"s1": 0, "s2": 50}
+
+
 def test_upsert_in_a_store(spark, tmp_path):
     store = snapshots.Store(spark, str(tmp_path / "store"), 4)
     cols = "target_id string, status string, created_at int, updated_at int"
