@@ -709,6 +709,20 @@ def test_headers_are_read_by_range(spark, tmp_path):
     assert got["near.jpg"].bytes_read == 4096 and max(r.bytes_read for r in got.values()) < 4096 + 8 * 64
 
 
+def test_a_cap_reads_its_boxes_once(spark):
+    times = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        times.add(1)
+        return f"i{i}"
+
+    box = {"source_id": F.lit("s"), "export_key": F.when(F.col("id") < 8, "few").otherwise("many"), "annotation_format": F.lit("yolo"), **{f"bbox_{c}": F.lit(0.5) for c in ("x", "y", "width", "height")}, "width": F.lit(10), "height": F.lit(10)}
+    boxes = spark.range(60).select(F.udf(seen, "string")("id").alias("image_id"), *(v.alias(k) for k, v in box.items()))
+    kept = {r[0] for r in analysis.cap_majority(boxes, 7).collect()}
+    assert len(kept) == 16 and {f"i{i}" for i in range(8)} < kept
+    assert times.value == 60
+
+
 def test_a_hot_name_and_a_hot_group_are_shared_by_tasks(spark):
     pics = spark.range(3000).select(F.format_string("i%05d", "id").alias("image_id"), F.when(F.col("id") % 10 > 0, "a.jpg").otherwise(F.concat("id", F.lit(".jpg"))).alias("file_name"))
     got = sorted((r.image_id, r.staged_name) for r in ranking.staged_names(pics).collect() if r.file_name == "a.jpg")
