@@ -554,6 +554,39 @@ def test_toxic_evidence_is_that_of_the_models(spark):
     assert set(got) == set(want) and all(abs(got[w] - want[w]) < 2e-9 for w in want)
 
 
+def test_toxic_bigrams_are_interpolated(spark):
+    rng = random.Random(14)
+    rows = [(" ".join(rng.choice("abcdefgh"[: 8 if y else 6]) * rng.choice((1, 1, 2)) for _ in range(rng.randrange(1, 25))), bool(y)) for y in (0, 0, 0, 1) for _ in range(12)]
+    code = lambda w: int(toxicity._codes([w])[0].view(np.int64)[0]) if w else 0
+    n = [Counter((u, x) for t, y in rows if y == c for u, x in zip(["", *t.split()], t.split())) for c in (False, True)]
+    after = [Counter() for _ in n]
+    for c in (0, 1):
+        for (u, _), k in n[c].items():
+            after[c][u] += k
+    bigrams = toxicity._bigrams(spark.createDataFrame(rows, "text string, toxic boolean"))
+    assert {(r.prev, r.word): (r.a, r.b) for r in bigrams.collect()} == {(code(u), code(x)): (n[0][u, x], n[1][u, x]) for u, x in set(n[0]) | set(n[1])}
+    lost = toxicity._bigram_discounts(bigrams)
+    d = [[0, *toxicity.discounts(*(sum(v == k for v in m.values()) for k in (1, 2, 3, 4)))] for m in n]
+    words = {r.word: r for r in toxicity._evidence(toxicity._continued(bigrams), 0.0).collect()}
+    known = {x for m in n for _, x in m}
+    lefts = {u for m in n for u, _ in m} | {"zz"}  # seen before a word by both classes, by one, and by none
+    pairs = spark.createDataFrame([(code(u), code(x), words[code(x)].r, words[code(x)].pa, words[code(x)].pb) for u in lefts for x in known], "prev long, word long, r long, pa double, pb double")
+    got = {(r.prev, r.word): r.full / 1e9 for r in toxicity._interpolated(pairs, bigrams, toxicity._histories(bigrams), lost).collect()}
+    assert len(got) == len(lefts) * len(known)
+    for u in lefts:
+        for x in known:
+            p = []
+            for c in (0, 1):
+                low = (words[code(x)].pa, words[code(x)].pb)[c]
+                freed = sum(d[c][min(k, 3)] for (v, _), k in n[c].items() if v == u)
+                p.append((n[c][u, x] - d[c][min(n[c][u, x], 3)] + freed * low) / after[c][u] if after[c][u] else low)
+            assert abs(got[code(u), code(x)] - np.log(p[1] / p[0])) < 2e-9
+    for c in (0, 1):  # what follows a history has a chance of 1 in all
+        for u in lefts:
+            mass = sum(max(n[c][u, x] - d[c][min(n[c][u, x], 3)], 0) for x in known) + sum(d[c][min(n[c][u, x], 3)] for x in known)
+            assert not after[c][u] or abs(mass / after[c][u] - 1) < 1e-9
+
+
 def _slow_grams(text):
     raw = [b if 97 <= b <= 122 or b >= 128 else 32 for b in (" " + text.lower() + " ").encode()]
     for size, mul in ((3, 0x9E3779B1), (4, 0x85EBCA6B)):
