@@ -1,5 +1,6 @@
 """Pinned values of the dataset library on small inputs."""
 
+import gzip
 import hashlib
 import json
 import math
@@ -671,6 +672,22 @@ def test_large_documents_over_many_ranges(spark, tmp_path):
         assert {(r.path.rsplit("/", 1)[1], r.name) for r in there if not r.path.endswith("bad.json")} == {(f, n) for f in docs for n in ("images", "annotations", "categories")}
 
 
+def test_compressed_documents_are_read_without_a_shuffle_of_their_text(spark, tmp_path):
+    doc = {"categories": [{"id": 1, "name": 'c"}{'}], "images": [{"id": i, "file_name": f"{i}.jpg", "x": {"y": {}}} for i in range(30)], "annotations": []}
+    for n in range(3):
+        (tmp_path / f"d{n}.json.gz").write_bytes(gzip.compress(json.dumps(doc | {"images": doc["images"][n:]}).encode()))
+    names = ("images", "annotations", "categories")
+    found, there = bigjson.elements(spark, str(tmp_path), names, "*.json.gz")
+    got = {}
+    for r in found.collect():
+        got.setdefault((int(r.path[-9]), r.name), {})[r.pos] = json.loads(r.value)
+    assert got == {(n, k): dict(enumerate(v)) for n in range(3) for k, v in (("images", doc["images"][n:]), ("categories", doc["categories"]))}
+    assert there.count() == 9
+    whole = found.where("name = 'categories'")  # elements of one record are only read; those of several are put together by a shuffle
+    plan = whole._jdf.queryExecution().executedPlan().toString().split("Union", 1)[-1]
+    assert plan.count("Exchange hashpartitioning") <= 1 and "Window" not in plan
+
+
 def test_a_document_of_many_parts_reads_back(spark, tmp_path):
     n = 3000
     pics = spark.range(1, n + 1).select(F.lit("train").alias("split"), "id", F.concat(F.lit('p"}{'), "id").alias("file_name"))
