@@ -171,6 +171,15 @@ def test_coco_splits_and_pipeline(spark, tmp_path):
     assert sorted(r.new_id for r in out["images"].collect()) == [1, 2, 3, 4]
 
 
+def test_an_ingest_counts_boxes_by_image(spark, tmp_path):
+    boxes = [{"id": i, "image_id": i % 5, "category_id": 1, "bbox": [1, 2, 3, 4]} for i in range(3000)]
+    _write_coco(tmp_path / "train" / "annotations.coco.json", [{"id": i, "file_name": f"{i}.jpg"} for i in range(4)], [{"id": 1, "name": "a"}, {"id": 1, "name": "b"}], boxes)
+    summary = coco.ingest_summary(coco.read_splits(spark, str(tmp_path)))
+    before = _shuffled_rows(spark)
+    assert {tuple(r) for r in summary.collect()} == {(s, 4, 2400, 600) for s in ("train", "*")}  # a class that comes twice does not double its boxes
+    assert sum(n for i, n in _shuffled_rows(spark).items() if i not in before) < 500
+
+
 def test_exclusions(spark):
     boxes = spark.createDataFrame([("img-1", "ann-1"), ("img-1", "ann-2"), ("img-2", "ann-3")], "image_id string, annotation_id string")
     marks = spark.createDataFrame([("image", "img-2", "exclude", 1, 1), ("object", "ann-1", "exclude", 2, 2), ("object", "ann-2", "exclude", 1, 3), ("object", "ann-2", "keep", 2, 4)], "scope string, target_id string, status string, updated_at int, event_id int")
