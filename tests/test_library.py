@@ -749,6 +749,33 @@ def test_a_cap_reads_its_boxes_once(spark):
     assert times.value == 60
 
 
+def test_known_classes_save_a_reading_of_the_boxes(spark):
+    times = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        times.add(1)
+        return f"a{i}"
+
+    made = F.udf(seen, "string").asNondeterministic()("id")
+    box = {"split": F.lit("all"), "unique_name": F.concat(F.lit("i"), F.col("id") % 3), "annotation_id": made, "export_key": F.lit("b"), "annotation_format": F.lit("yolo"), **{f"bbox_{c}": F.lit(0.5) for c in ("x", "y", "width", "height")}, "width": F.lit(1), "height": F.lit(1)}
+    rows = spark.range(9).withColumns(box)
+    texts = [r.text for r in export.yolo_lines(rows, spark.createDataFrame([("a",), ("b",), ("b",)], "export_key string")).collect()]
+    assert texts == ["\n".join(["1 0.500000 0.500000 0.500000 0.500000"] * 3)] * 3 and times.value == 9
+
+
+@pytest.mark.parametrize("name, most", [("src9_read_yolo_labels", 28_000)])  # 31,200 when boxes were made again
+def test_boxes_of_a_query_are_made_once(spark, name, most):
+    from framewell.plans.queries import QUERIES
+
+    def rows_read():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).inputRecords() for i in range(stages.size())}
+
+    before = rows_read()
+    QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    assert sum(n for i, n in rows_read().items() if i not in before) < most
+
+
 def test_a_hot_name_and_a_hot_group_are_shared_by_tasks(spark):
     pics = spark.range(3000).select(F.format_string("i%05d", "id").alias("image_id"), F.when(F.col("id") % 10 > 0, "a.jpg").otherwise(F.concat("id", F.lit(".jpg"))).alias("file_name"))
     got = sorted((r.image_id, r.staged_name) for r in ranking.staged_names(pics).collect() if r.file_name == "a.jpg")
