@@ -763,7 +763,7 @@ def test_known_classes_save_a_reading_of_the_boxes(spark):
     assert texts == ["\n".join(["1 0.500000 0.500000 0.500000 0.500000"] * 3)] * 3 and times.value == 9
 
 
-@pytest.mark.parametrize("name, most", [("src9_read_yolo_labels", 28_000)])  # 31,200 when boxes were made again
+@pytest.mark.parametrize("name, most", [("src9_read_yolo_labels", 28_000), ("snk9_action_files", 52_000)])  # 31,200 and 56,668 when boxes were made again
 def test_boxes_of_a_query_are_made_once(spark, name, most):
     from framewell.plans.queries import QUERIES
 
