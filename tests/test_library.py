@@ -83,6 +83,23 @@ def test_unique_names_of_one_name_are_shared_by_tasks(spark):
     assert ranking.unique_names(empty).count() == 0
 
 
+@pytest.mark.parametrize("there", [False, True])
+def test_names_of_one_base_are_not_dealt_out_by_it(spark, monkeypatch, there):
+    monkeypatch.setattr(ranking, "LARGE", 100)
+    names = ["a.jpg", "a.jpg", "frame-7.jpg", *(f"frame-{i}.jpg" for i in range(1, 3001)), *(["frame.jpg"] * 2 if there else [])]
+    rows = spark.createDataFrame([(f"{i:05}", n) for i, n in enumerate(names)], "image_id string, file_name string").groupBy("file_name").agg(F.count("*").alias("n"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables too large to be sent to all tasks
+    try:
+        rows = ranking.written(rows, "names")
+        before = _shuffled_rows(spark)
+        found = ranking._name_families(rows, [])
+        assert found.count() == 3002 if there else found is None
+        assert there or sum(n for i, n in _shuffled_rows(spark).items() if i not in before) < 4500  # the names, and not those of the base besides
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_layout(spark):
     rows = [("a", "image.jpg"), ("b", "images/x.jpg"), ("b", "labels/x.txt"), ("c", "annotations/instances.json"), ("d", "data.yaml"), ("e", "x.JSON"), ("f", "images/x.jpg")]
     got = {r.source: r.type for r in files.detect_layout(spark.createDataFrame(rows, "source string, relative string")).collect()}
