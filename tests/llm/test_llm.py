@@ -805,3 +805,44 @@ def test_conversation_trie(spark, shared, monkeypatch):
     assert sorted((tuple(r) for r in got), key=repr) == brute_trie(rows, shared)
     if shared:
         assert convtrie.conversation_trie(talks.limit(0), shared_openings=True).count() == 0
+
+
+@pytest.mark.parametrize("head", [1 << 20, 40])
+def test_toxic_evidence_is_of_all_words(spark, monkeypatch, head):
+    """A text's evidence is its whole log-likelihood ratio: words that both classes have alike count too, and unknown ones."""
+    monkeypatch.setattr(toxicity, "HEAD", head)
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice("abcdefghijkl"[: 12 if i % 4 == 0 else 9]) * rng.choice((1, 1, 2)) for _ in range(rng.randrange(0, 30))) for i in range(160)] + ["a zz a zz zzz", "zz", "", None]
+    toxic = {i: i % 4 == 0 for i in range(160)}
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in toxic}
+    pairs = lambda t: list(zip(["", *t.split()], t.split()))
+    n = [Counter(p for i, y in toxic.items() if y == c and fold[i] < 2 for p in pairs(texts[i])) for c in (False, True)]
+    lost = lambda x: [0, *toxicity.discounts(*(sum(v == k for v in x.values()) for k in (1, 2, 3, 4)))]
+    cont, after = [Counter(x for _, x in m) for m in n], [Counter() for _ in n]
+    d, e = [lost(m) for m in n], [lost(m) for m in cont]
+    known = set(cont[0]) | set(cont[1])
+    assert max(abs(len(m)) for m in cont) <= len(known) < 30
+    freed = [Counter() for _ in n]
+    for c in (0, 1):
+        for (u, _), k in n[c].items():
+            after[c][u] += k
+            freed[c][u] += d[c][min(k, 3)]
+
+    def low(c, x):
+        total = [sum(m.values()) for m in cont]
+        shared = (cont[0][x] + cont[1][x] + 0.5) / (sum(total) + 0.5 * (len(known) + 1))
+        return (cont[c][x] - e[c][min(cont[c][x], 3)] + sum(e[c][min(v, 3)] for v in cont[c].values()) * shared) / total[c]
+
+    def p(c, u, x):
+        return (n[c][u, x] - d[c][min(n[c][u, x], 3)] + freed[c][u] * low(c, x)) / after[c][u] if after[c][u] else low(c, x)
+
+    def says(u, x):
+        a, b = p(0, u, x), p(1, u, x)
+        return np.log(b / a) if a > 0 and b > 0 else np.log(low(1, x) / low(0, x))
+
+    labels = spark.createDataFrame([(i, int(y)) for i, y in toxic.items()], "doc_id long, toxic int")
+    got = {r.doc_id: r.log_ratio for r in toxicity.toxicity(frame(spark, texts), labels).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        each = [says(u, x) for u, x in pairs(t or "")]
+        assert abs(got[i] - sum(each) / max(len(each), 1)) < 1e-5, (i, t)
