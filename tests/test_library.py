@@ -656,6 +656,20 @@ def test_ingest_follows_changed_and_removed_files(spark, tmp_path):
     assert {(r.image, r.category) for r in jobs.ingest_store(spark, str(tmp_path / "store")).read("boxes").where("path like '%json'").collect()} == {("x.jpg", "cat")}
 
 
+def test_commits_of_an_ingest_do_not_rewrite_each_bucket(spark, tmp_path, monkeypatch):
+    (tmp_path / "drop").mkdir()
+    for n in range(40):
+        (tmp_path / f"drop/p{n}.txt").write_text("0 0.5 0.5 0.2 0.2")
+    store, lists = jobs.ingest_store(spark, str(tmp_path / "store"), 4), []
+    of = jobs._changes
+    monkeypatch.setattr(jobs, "_changes", lambda *a: lists.append(a) or of(*a))
+    assert jobs.ingest_all(store, str(tmp_path / "drop"), 10) == 40 and len(store.versions()) == 5
+    assert len(lists) == 2  # one that finds all files, and one that finds no more
+    # four commits over four buckets that hold the files in their order: each is written once, and again where a commit ends in it
+    assert len(list((tmp_path / "store/data/boxes").glob("*/bucket_=*"))) <= 4 + 3
+    assert store.read("boxes").count() == 40
+
+
 def test_a_watched_folder(spark, tmp_path):
     (tmp_path / "drop").mkdir()
     (tmp_path / "drop/a.txt").write_text("0 0.5 0.5 0.2 0.2")
