@@ -656,6 +656,15 @@ def test_ingest_follows_changed_and_removed_files(spark, tmp_path):
     assert {(r.image, r.category) for r in jobs.ingest_store(spark, str(tmp_path / "store")).read("boxes").where("path like '%json'").collect()} == {("x.jpg", "cat")}
 
 
+def test_names_of_a_dataset_are_not_sent_to_all_tasks(spark):
+    splits = spark.createDataFrame([("a",)], "split string")
+    names = spark.createDataFrame([("a", "x.jpg"), ("a", "y.jpg")], "split string, file_name string")
+    out = validate.validate_yolo(names, names.where("file_name = 'x.jpg'").withColumn("text", F.lit("0 0 0 0 0")), splits)
+    assert [(r.rule, r.ref) for r in out.collect()] == [("missing label", "y")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "stem" in x]
+
+
 def test_commits_of_an_ingest_do_not_rewrite_each_bucket(spark, tmp_path, monkeypatch):
     (tmp_path / "drop").mkdir()
     for n in range(40):
