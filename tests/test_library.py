@@ -7,6 +7,7 @@ import math
 import random
 import struct
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewell.functions import scalars as fn
+from framewell.functions import storage
 from framewell.operators import analysis, browse, neighbours, ranking, sampling, scope, snapshots, tables, validate, vectors
 from framewell.plans import dataset, export
 from framewell.sources import bigjson, coco, files, yolo
@@ -656,6 +658,31 @@ def test_ingest_follows_changed_and_removed_files(spark, tmp_path):
     assert {(r.image, r.category) for r in jobs.ingest_store(spark, str(tmp_path / "store")).read("boxes").where("path like '%json'").collect()} == {("x.jpg", "cat")}
 
 
+def _shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p.name for d in dirs for p in Path(d.toString()).rglob("shuffle_*.data")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    before = _shuffle_files(spark)
+    table = storage.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "sevens")
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    storage.released(table)
+
+
+def test_parts_go_as_they_are_joined(spark, tmp_path):
+    (tmp_path / "parts").mkdir()
+    for k in range(3):
+        (tmp_path / f"parts/p{k}").write_text(f"{k}\n")
+    storage.joined(spark, str(tmp_path / "parts"), str(tmp_path / "whole"))
+    assert (tmp_path / "whole").read_text() == "0\n1\n2\n" and storage.listed(spark, str(tmp_path / "parts")) == []
+
+
 def test_names_of_a_dataset_are_not_sent_to_all_tasks(spark):
     splits = spark.createDataFrame([("a",)], "split string")
     names = spark.createDataFrame([("a", "x.jpg"), ("a", "y.jpg")], "split string, file_name string")
