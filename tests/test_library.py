@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from framewell.functions import scalars as fn
 from framewell.functions import storage
 from framewell.operators import analysis, browse, neighbours, ranking, sampling, scope, snapshots, tables, validate, vectors
-from framewell.plans import dataset, export
+from framewell.plans import dataset, export, queries
 from framewell.sources import bigjson, coco, files, yolo
 from framewell.streaming import jobs
 
@@ -683,6 +683,30 @@ def test_parts_go_as_they_are_joined(spark, tmp_path):
     assert (tmp_path / "whole").read_text() == "0\n1\n2\n" and storage.listed(spark, str(tmp_path / "parts")) == []
 
 
+def test_files_of_a_round_go_before_the_next(spark, monkeypatch):
+    monkeypatch.setattr(queries, "ROUND", 10)
+    rows, seen = spark.range(25).select(F.col("id").cast("string").alias("path")), []
+
+    def each(part, at):
+        assert not any(Path(x.removeprefix("file://")).exists() for x in seen)
+        seen.append(at)
+        export.write_files(part.select("path", F.concat(F.lit("text "), "path").alias("content")), at)
+        return queries._files(queries.Tables(spark, ""), at)
+
+    back = queries._rounds(rows, "path", each, queries.Tables(spark, ""))
+    assert len(seen) == 3 and {(r.path, r.text) for r in back.collect()} == {(str(k), f"text {k}") for k in range(25)} and back.count() == 25
+    assert not any(Path(x.removeprefix("file://")).exists() for x in seen)
+
+
+def test_a_part_of_a_yolo_dataset_has_the_classes_of_all(spark, tmp_path):
+    classes = spark.createDataFrame([("a", "A"), ("b", "B")], "export_key string, category_name string")
+    row = ("train", "i", "i.jpg", "1", "b", "B", "yolo", 0.5, 0.5, 0.25, 0.125, 10, 10)
+    rows = spark.createDataFrame([row], "split string, image_id string, unique_name string, annotation_id string, export_key string, category_name string, annotation_format string, bbox_x double, bbox_y double, bbox_width double, bbox_height double, width int, height int")
+    export.write_yolo(rows, str(tmp_path / "set"), classes)
+    assert (tmp_path / "set/train/labels/i.txt").read_text().split()[0] == "1"
+    assert "nc: 2\nnames: ['A', 'B']" in (tmp_path / "set/data.yaml").read_text()
+
+
 def test_names_of_a_dataset_are_not_sent_to_all_tasks(spark):
     splits = spark.createDataFrame([("a",)], "split string")
     names = spark.createDataFrame([("a", "x.jpg"), ("a", "y.jpg")], "split string, file_name string")
